@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from vitalake.plans import q_audit  # noqa: F401
+from vitalake.plans import q_audit, q_merge  # noqa: F401
 from vitalake.plans.registry import ENTRIES
 
 __all__ = ["ENTRIES"]

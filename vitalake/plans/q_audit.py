@@ -112,13 +112,13 @@ LOGIN_OUTCOME = (
 
 @query("audit_login_rate_limit", "W13", with_(v.AUDIT_LOG, f"""
 , att AS (SELECT id, created_at, 'ip' || (actor_user_id % 2) || ':user' AS key, epoch(created_at) // 600 AS sec_slow,
-    TIMESTAMP '2024-01-01' + to_seconds(CAST(floor(epoch(created_at) - epoch(TIMESTAMP '2024-01-01')) AS BIGINT) // 90) AS at,
+    TIMESTAMP '2024-01-01' + to_seconds(CAST(floor(epoch(created_at) - epoch(TIMESTAMP '2024-01-01')) AS BIGINT) // 90) AS tm,
     {LOGIN_OUTCOME} AS outcome FROM audit_log),
 e AS (SELECT *, coalesce(sum(CASE WHEN outcome = 'success' THEN 1 ELSE 0 END) OVER (
-    PARTITION BY key ORDER BY at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch_no FROM att)
+    PARTITION BY key ORDER BY tm, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch_no FROM att)
 SELECT a.id, count(b.id) AS recent_failures, count(b.id) >= 10 AS rate_limited
 FROM e a LEFT JOIN e b ON a.key = b.key AND a.epoch_no = b.epoch_no AND b.outcome = 'bad_credentials'
-  AND b.at >= a.at - INTERVAL 60 SECOND AND (b.at < a.at OR (b.at = a.at AND b.id < a.id))
+  AND b.tm >= a.tm - INTERVAL 60 SECOND AND (b.tm < a.tm OR (b.tm = a.tm AND b.id < a.id))
 GROUP BY a.id""".replace("\n, att", ", att", 1)))
 def audit_login_rate_limit(spark, sf):
     # a month of events is squeezed into hours so that the one-minute window fills up

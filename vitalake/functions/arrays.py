@@ -18,14 +18,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def keep_first(items: Column, key: Callable[[Column], Column]) -> Column:
     """Items whose key is not blank and has not been seen before in the list."""
-    bound = F.struct(items.alias("items"), F.transform(items, key).alias("keys"))
-    return let(
-        bound,
-        lambda s: F.transform(
-            F.filter(F.array_distinct(s["keys"]), lambda k: k != ""),
-            lambda k: F.get(s["items"], F.array_position(s["keys"], k).cast("int") - 1),
-        ),
-    )
+    def pick(it: Column, keys: Column) -> Column:
+        distinct = F.filter(F.array_distinct(keys), lambda k: k != "")
+        return F.transform(distinct, lambda k: F.get(it, F.array_position(keys, k).cast("int") - 1))
+
+    return let(items, lambda it: let(F.transform(it, key), lambda keys: pick(it, keys)))
 
 
 def union_ignore_case(*lists: Column) -> Column:

@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def empty(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
+def explode_items(df: DataFrame, keep: list[str], items: Column, name: str) -> DataFrame:
+    """One row per item. A plain explode makes the optimizer test the whole list expression for
+    emptiness below the generator, which computes it again; the outer form with a filter above does not."""
+    return df.select(*keep, F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` over ``value`` computed once: a lambda argument is a value, an outer expression is run per item."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -7,6 +7,8 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from vitalake.functions import arrays as A
+
 ISSUE = "array<struct<rule:string,category:string,level:string,field:string,message:string>>"
 
 
@@ -60,4 +62,4 @@ def weighted(issues: Column, weights: dict[str, float]) -> Column:
 
 def issue_rows(df: DataFrame, column: str = "issues", key: str = "cv_id") -> DataFrame:
     """One row per issue."""
-    return df.select(key, F.explode(column).alias("i")).select(key, "i.*")
+    return A.explode_items(df, [key], F.col(column), "i").select(key, "i.*")

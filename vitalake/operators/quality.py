@@ -6,6 +6,8 @@ from functools import partial
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from vitalake.functions import arrays as A
+
 # Texts that stand for no value, and the ends stripped before comparing with them.
 NULL_WORDS = ["none", "null", "n/a", "na", "undefined", "[]", "{}"]
 EDGE_CHARS = " ,.;:-"
@@ -42,7 +44,8 @@ def traceability(df: DataFrame, fields: dict[str, str], evidence: str, *, key: s
     record's texts and nothing is shuffled. Values of one or two characters count as supported.
     """
     corpus = F.filter(F.transform(evidence, normalize_text), lambda t: t != "")
-    rows = df.select(key, corpus.alias("_corpus"), F.explode(extracted_values(df, fields, key=key)).alias("f"))
+    held = df.select(key, corpus.alias("_corpus"), extracted_values(df, fields, key=key).alias("_values"))
+    rows = A.explode_items(held, [key, "_corpus"], F.col("_values"), "f")
     first = F.try_element_at(F.filter("_corpus", lambda t: t.contains(F.col("f.value"))), F.lit(1))
     short = F.length("value") <= 2
     found = rows.select(key, "f.field_path", "f.value", first.alias("_first"))

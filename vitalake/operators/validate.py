@@ -465,7 +465,7 @@ def impact_report(df: DataFrame) -> DataFrame:
 def chronology_issues(df: DataFrame) -> DataFrame:
     """Entries whose start is after their end, compared as text."""
     bad = F.filter("work", lambda w: (w["start_date"] != "") & (w["end_date"] != "") & (w["start_date"] > w["end_date"]))
-    return df.select("cv_id", F.explode(bad).alias("w")).select(
+    return A.explode_items(df, ["cv_id"], bad, "w").select(
         "cv_id", F.concat(F.lit("Invalid chronology: "), "w.start_date", F.lit(" is after "), "w.end_date", F.lit(".")).alias("message")
     )
 
@@ -505,7 +505,7 @@ def gap_rows(df: DataFrame) -> DataFrame:
     ])
     entries = R.entry_issues(F.col("work"), "work_experience", lambda w, i: [
         gap(".responsibilities", "high", w["description"] == ""), gap(".end_date", "medium", w["end_date"] == "")])
-    return df.select("cv_id", F.explode(F.concat(record, entries)).alias("g")).select(
+    return A.explode_items(df, ["cv_id"], F.concat(record, entries), "g").select(
         "cv_id", F.col("g.field").alias("field"), F.col("g.level").alias("severity")
     )
 

@@ -80,10 +80,9 @@ def quality_metrics(
         key,
         F.greatest(F.lit(1), expected).alias("expected_fields"),
         F.size("_values").alias("extracted_fields"),
-        F.size(F.filter(
-            "_values",
-            lambda s: (F.length(s["value"]) <= 2) | F.exists("_corpus", lambda t: t.contains(s["value"])),
-        )).alias("supported_fields"),
+        A.let(F.col("_corpus"), lambda held: F.size(F.filter(
+            "_values", lambda s: (F.length(s["value"]) <= 2) | F.exists(held, lambda t: t.contains(s["value"])),
+        ))).alias("supported_fields"),
         (F.lit(False) if validation_pass is None else validation_pass).alias("_pass"),
     )
     got, ok, want = F.col("extracted_fields"), F.col("supported_fields"), F.col("expected_fields")

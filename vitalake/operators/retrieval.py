@@ -231,44 +231,60 @@ def vector_scores(queries: DataFrame, docs: DataFrame, *, k: int) -> DataFrame:
     return left.groupBy("_tile", "_block").cogroup(right.groupBy("_tile", "_block")).applyInPandas(cell, schema)
 
 
+def _levels(terms: Column) -> Column:
+    """Distinct terms that occur at least once, at least twice, ...: a repeated query term counts each time."""
+    distinct = F.array_distinct(terms)
+    counted = F.transform(distinct, lambda t: F.struct(t.alias("t"), F.size(F.filter(terms, lambda x: x == t)).alias("n")))
+    return A.let(counted, lambda c: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.coalesce(F.array_max(F.transform(c, lambda s: s["n"])), F.lit(1)))),
+        lambda n: F.transform(F.filter(c, lambda s: s["n"] >= n), lambda s: s["t"]),
+    ))
+
+
 def substring_scores(queries: DataFrame, docs: DataFrame, *, scoring: str = "share") -> DataFrame:
     """R4 d, e and R10 by substring: ``count``, ``share``, ``fuzzy`` (share x 0.8) or ``lines``; only scores above 0.
 
-    Each document row meets the query blocks of its tile as arrays and tests
-    them in place, so a row leaves only for a (query, document) with a score.
+    Each document row meets the query blocks of its tile. The block's distinct
+    terms are searched in the document once; every query then intersects its
+    terms with those found, so a row leaves only for a (query, document) with a
+    score. A term holds no blank, so the distinct words stand for the text.
     """
     left, right = tiled(queries.select("query_id", F.lower("text").alias("q")), docs.select("doc_id", F.lower("text").alias("d")))
-    packed = left.groupBy("_tile", "_block").agg(
-        F.collect_list(F.struct("query_id", "q", _words(F.col("q")).alias("terms"))).alias("queries")
+    terms = left.withColumn("_terms", _words(F.col("q")))
+    packed = terms.groupBy("_tile", "_block").agg(
+        F.collect_list(F.struct("query_id", "q", F.size("_terms").alias("n"), _levels(F.col("_terms")).alias("levels"))).alias("queries"),
+        F.array_distinct(F.flatten(F.collect_list(F.array_distinct("_terms")))).alias("_all"),
     )
-    pairs = right.join(packed, ["_tile", "_block"])
+    words = right.withColumn("_words", F.array_join(F.array_distinct(_words(F.col("d"))), " "))
+    pairs = words.join(packed, ["_tile", "_block"])
+    # bound by let: a column that a lambda reads once would be folded into it and searched again per query
+    found = F.filter("_all", lambda w: F.col("_words").contains(w))
 
-    def hits(terms: Column, text: Column) -> Column:
-        return F.size(F.filter(terms, lambda w: text.contains(w)))
+    def hits(x: Column, held: Column) -> Column:
+        return F.aggregate(x["levels"], F.lit(0), lambda a, level: a + F.size(F.array_intersect(level, held)))
 
-    def share(terms: Column, text: Column) -> Column:
-        return F.when(F.size(terms) > 0, hits(terms, text) / F.size(terms)).otherwise(0.0)
+    def share(x: Column, held: Column) -> Column:
+        return F.when(x["n"] > 0, hits(x, held) / x["n"]).otherwise(0.0)
 
-    if scoring == "lines":
-        pairs = pairs.withColumn("_lines", F.split("d", "\n"))
+    def per_query(score) -> Column:
+        return F.transform("queries", lambda x: F.struct(x["query_id"].alias("query_id"), F.round(score(x), 6).alias("score")))
 
-        def score(x: Column) -> Column:
-            total = F.aggregate(
-                "_lines", F.lit(0.0), lambda a, line: a + F.when(line.contains(x["q"]), 1.0).otherwise(share(x["terms"], line))
-            )
-            return F.least(F.lit(1.0), total / F.greatest(F.lit(1), F.size("_lines")))
+    if scoring == "lines":
+        def line_score(x: Column, lines: Column) -> Column:
+            total = F.aggregate(lines, F.lit(0.0), lambda a, s: a + F.when(s["l"].contains(x["q"]), 1.0).otherwise(share(x, s["found"])))
+            return F.least(F.lit(1.0), total / F.greatest(F.lit(1), F.size(lines)))
+
+        scored = A.let(found, lambda f: A.let(
+            F.transform(F.split("d", "\n"), lambda line: F.struct(line.alias("l"), F.filter(f, lambda w: line.contains(w)).alias("found"))),
+            lambda lines: per_query(lambda x: line_score(x, lines)),
+        ))
+    elif scoring == "count":
+        scored = A.let(found, lambda f: per_query(lambda x: hits(x, f).cast("double")))
     else:
-        factor = {"count": None, "share": 1.0, "fuzzy": 0.8}[scoring]
-
-        def score(x: Column) -> Column:
-            if factor is None:
-                return hits(x["terms"], F.col("d")).cast("double")
-            return share(x["terms"], F.col("d")) * factor
-
-    scored = F.filter(
-        F.transform("queries", lambda x: F.struct(x["query_id"].alias("query_id"), F.round(score(x), 6).alias("score"))), lambda s: s["score"] > 0
-    )
-    return A.explode_items(pairs, ["doc_id"], scored, "s").select("s.query_id", "doc_id", "s.score")
+        factor = {"share": 1.0, "fuzzy": 0.8}[scoring]
+        scored = A.let(found, lambda f: per_query(lambda x: share(x, f) * factor))
+    out = A.explode_items(pairs, ["doc_id"], scored, "s").select("s.query_id", "doc_id", "s.score")
+    return out.where("score > 0")
 
 
 # --- fusion and re-ranking of score tables (query_id, doc_id, score)

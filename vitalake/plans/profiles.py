@@ -57,12 +57,12 @@ def _build(df: DataFrame) -> DataFrame:
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _build(v.load(spark, sf_dir, "documents").selectExpr("doc_id AS cv_id", "text"))
+    return _build(v.load_spread(spark, sf_dir, "documents", "doc_id").selectExpr("doc_id AS cv_id", "text"))
 
 
 def page_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incoming records for the merge: the same shape, read from web pages."""
-    pages = v.load(spark, sf_dir, "pages")
+    pages = v.load_spread(spark, sf_dir, "pages", "page_id")
     return _build(pages.select(pages.page_id.alias("cv_id"), page_text(pages.html).alias("text")))
 
 

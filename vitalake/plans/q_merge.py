@@ -363,7 +363,7 @@ LEAVES_SQL = """WITH leaves AS (
 
 
 def _payloads(spark, sf):
-    return v.load(spark, sf, "orders").selectExpr(
+    return v.load_spread(spark, sf, "orders", "o_orderkey").selectExpr(
         "o_orderkey % 500 AS cv_id", "concat('bucket', o_orderkey % 3) AS src", "CAST(o_orderdate AS TIMESTAMP_NTZ) AS seen_at",
         """concat('{"Order":{"Status ":"', o_orderstatus, '","tags":["', o_orderpriority, '",',
             CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE '""' END, ']},"n":', o_custkey % 4, ',"blank":" "}') AS payload""",

@@ -12,7 +12,7 @@ P = "WITH " + p.PROFILES
 
 
 def _docs(spark, sf):
-    docs = v.load(spark, sf, "documents").selectExpr(
+    docs = v.load_spread(spark, sf, "documents", "doc_id").selectExpr(
         "doc_id", "text", "map_from_arrays(array('lang', 'role', 'seniority'), array(lang, source, CASE WHEN doc_id % 2 = 0 THEN 'mid' ELSE 'senior' END)) AS metadata"
     )
     vectors = v.load(spark, sf, "embeddings").selectExpr("vec_id AS doc_id", "embedding")
@@ -70,7 +70,7 @@ VEC_SQL = """, vs AS MATERIALIZED (SELECT b.item_id AS query_id, d.doc_id, round
 SELECT doc_id, i AS chunk_no, md5(array_to_string(ws[s + 1 : s + 500], ' ')) AS content FROM (
   SELECT doc_id, ws, unnest(range(0, len(ws), 450)) AS s, generate_subscripts(range(0, len(ws), 450), 1) - 1 AS i FROM (SELECT doc_id, {WORDS.format('text')} AS ws FROM documents))""")
 def retrieval_chunks_words(spark, sf):
-    out = r.chunk_words(v.load(spark, sf, "documents"))
+    out = r.chunk_words(v.load_spread(spark, sf, "documents", "doc_id"))
     return out.select("doc_id", F.col("chunk_no").cast("long"), F.md5("content").alias("content"))
 
 
@@ -83,7 +83,7 @@ f AS (SELECT doc_id, 0 AS i, 0 AS len, 0 AS no FROM w WHERE len(ws) > 0
 g AS (SELECT f.doc_id, f.i, f.no - CASE WHEN f.len = 0 AND f.i > 0 THEN 1 ELSE 0 END AS chunk_no FROM f WHERE f.i > 0)
 SELECT g.doc_id, chunk_no, count(*) AS words FROM g GROUP BY ALL""")
 def retrieval_chunks_chars(spark, sf):
-    out = r.chunk_chars(v.load(spark, sf, "documents"))
+    out = r.chunk_chars(v.load_spread(spark, sf, "documents", "doc_id"))
     return out.select("doc_id", F.col("chunk_no").cast("long"), F.size(F.split("content", " ")).cast("long").alias("words"))
 
 
@@ -97,7 +97,7 @@ def retrieval_chunks_sections(spark, sf):
 
 @query("retrieval_chunks_paragraphs", "R1")
 def retrieval_chunks_paragraphs(spark, sf):
-    out = r.chunk_paragraphs(v.load(spark, sf, "documents"), max_words=120, separator="\n")
+    out = r.chunk_paragraphs(v.load_spread(spark, sf, "documents", "doc_id"), max_words=120, separator="\n")
     return out.select("doc_id", F.col("chunk_no").cast("long"), F.md5("content").alias("content"))
 
 
@@ -106,7 +106,7 @@ for _mode in ("short", "clean", "ordered"):
         @query(f"retrieval_keywords_{mode}", "R2 R3", f"SELECT doc_id, count(*) AS keyword_count, md5(string_agg(keyword, ' ' ORDER BY i)) AS keywords FROM {_kw(DOC_SRC, 'doc_id', mode)} GROUP BY 1")
         def run(spark, sf):
             k = r.keywords(F.col("text"), mode)
-            out = v.load(spark, sf, "documents").select("doc_id", k.alias("k")).where("size(k) > 0")
+            out = v.load_spread(spark, sf, "documents", "doc_id").select("doc_id", k.alias("k")).where("size(k) > 0")
             return out.select("doc_id", F.size("k").cast("long").alias("keyword_count"), F.md5(F.array_join("k", " ")).alias("keywords"))
 
     _register(_mode)

@@ -45,18 +45,18 @@ _RESUME = f"""concat(first_name, ' ', last_name, '{_N}Senior Software Engineer{_
 
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = v.load(spark, sf_dir, "customer").selectExpr(*_split(_FACTS))
+    facts = v.load_spread(spark, sf_dir, "customer", "c_custkey").selectExpr(*_split(_FACTS))
     return facts.select("doc_id", F.lit("transcript").alias("channel"), F.expr(_TRANSCRIPT).alias("text"), "years", "first_name")
 
 
 def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = v.load(spark, sf_dir, "customer").selectExpr(*_split(_FACTS))
+    facts = v.load_spread(spark, sf_dir, "customer", "c_custkey").selectExpr(*_split(_FACTS))
     return facts.select("doc_id", F.lit("resume").alias("channel"), F.expr(_RESUME).alias("text"), "years", "first_name")
 
 
 def all_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcripts, resumes and documents as (doc_id, channel, text)."""
-    docs = v.load(spark, sf_dir, "documents").select("doc_id", F.lit("document").alias("channel"), "text")
+    docs = v.load_spread(spark, sf_dir, "documents", "doc_id").select("doc_id", F.lit("document").alias("channel"), "text")
     cols = ["doc_id", "channel", "text"]
     return transcripts(spark, sf_dir).select(cols).unionByName(resumes(spark, sf_dir).select(cols)).unionByName(docs)
 

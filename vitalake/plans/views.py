@@ -51,6 +51,17 @@ def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("props")
 
 
+def load_spread(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """Table whose rows need much work each, on at least as many partitions as there are cores.
+
+    Only a scan with fewer partitions than cores is hashed by its unique id; a
+    large table has enough splits and is read as it is, without a shuffle.
+    """
+    df = load(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 AUDIT_LOG = """audit_base AS (
   SELECT event_id AS id, 's_' || user_id || '_' || strftime(ts, '%Y%m%d') AS session_id,
     user_id AS actor_user_id,

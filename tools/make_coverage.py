@@ -12,7 +12,7 @@ from vitalake.plans.catalog import ENTRIES  # noqa: E402
 
 LIBRARY = {
     "S4": "sources.readers.read_sessions_json", "S5": "sources.readers.write_sessions_json", "S8": "operators.retrieval.save_index / load_index",
-    "S9": "operators.tracing.export_spans", "S11": "sources.readers.schema_guard", "X13": "functions.text.skills_flatten", "X33": "functions.text.highlights",
+    "S9": "operators.tracing.export_spans", "S11": "sources.readers.schema_guard",
 }
 
 

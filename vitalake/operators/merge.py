@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vitalake.functions import arrays as A, values as V
+from vitalake.operators.sessions import renew
+from vitalake.operators.validate import validate
 
 # Arbitration priority of sources, and the precedence of source types.
 MANUAL_PRIORITY = {"manual": 4, "voice": 3, "docx": 2, "pdf": 1}
@@ -134,6 +136,23 @@ def merge_profiles(
     )
 
 
+def update_from_source(state: DataFrame, incoming: DataFrame, source_type: str, *, now: Column, key: str = "cv_id") -> DataFrame:
+    """Incoming records merged into stored ones, validated, with a source event, a new time to live and version + 1.
+
+    ``state`` is the record columns plus ``version``; a record that is not stored yet starts at version 1.
+    """
+    merged = merge_profiles(state, incoming, source_type, key=key).withColumns({"city": F.col("location.city"), "country": F.col("location.country")})
+    checked = validate(merged, "save_and_validate").select(key, "completeness", "can_export", "warnings")
+    out = merged.join(checked, key).join(state.select(key, F.col("version").alias("_v")), key, "left")
+    out = out.withColumns(
+        {
+            "version": F.coalesce("_v", F.lit(0)), "status": F.lit("active"),
+            "source_event": F.struct(F.lit(source_type).alias("source_type"), now.alias("event_at"), F.lit("merge").alias("description")),
+        }
+    )
+    return renew(out, now=now).drop("_v")
+
+
 def _location(col) -> Column:
     return F.struct(
         F.coalesce(col("city"), F.lit("")).alias("city"), F.lit("").alias("state"),

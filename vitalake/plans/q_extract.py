@@ -254,9 +254,21 @@ def extract_spoken_employment(spark, sf):
     return e.spoken_employment(tx.all_texts(spark, sf)).withColumn("clients", F.array_join("clients", "|"))
 
 
-@query("extract_spoken_education", "E8 E20")
+SPOKEN_YEAR = "coalesce(" + ", ".join(
+    f"CASE WHEN try_cast({x} AS INT) BETWEEN 1950 AND 2030 THEN {x} END" for x in (
+        _rx(rf"([0-9]{{4}})\s*{e.DASH}\s*([0-9]{{4}})", 2, "entry"), _rx(r"([0-9]{4})\s+to\s+([0-9]{4})", 2, "entry"),
+        _rx(r"(?:^|[^A-Za-z0-9_])(19[0-9]{2}|20[0-2][0-9])(?:[^A-Za-z0-9_]|$)", 1, "entry"))) + ")"
+
+
+@query("extract_spoken_education", "E8 E20", T + f""", a AS (SELECT doc_id, channel, regexp_extract(text, '(?is)(?:educational background|education)(.*)$', 1) AS part FROM transcripts),
+b AS (SELECT doc_id, channel, list_filter(string_split(regexp_replace(part, '(?i)(Then |Next, )', chr(1) || '\\1', 'g'), chr(1)), lambda x: trim(x) <> '') AS es FROM a),
+c AS (SELECT doc_id, channel, unnest(es) AS entry, generate_subscripts(es, 1) - 1 AS position FROM b),
+d AS (SELECT doc_id, channel, position, trim({_cues(e.EDUCATION_CUES['degree'], 'entry')}) AS degree, trim({_cues(e.EDUCATION_CUES['field'], 'entry')}) AS field,
+  trim({_cues(e.EDUCATION_CUES['institution'], 'entry')}) AS school, {SPOKEN_YEAR} AS year, trim({_cues(e.EDUCATION_CUES['gpa'], 'entry')}) AS gpa FROM c),
+r AS (SELECT doc_id, channel, position, degree, field, CASE WHEN length(school) >= 4 AND NOT regexp_matches(school, '{e.BAD_SCHOOL}') THEN school END AS institution, year, gpa FROM d)
+SELECT * FROM r WHERE degree IS NOT NULL OR institution IS NOT NULL""")
 def extract_spoken_education(spark, sf):
-    return e.spoken_education(tx.transcripts(spark, sf))
+    return e.spoken_education(tx.transcripts(spark, sf)).withColumn("position", F.col("position").cast("long"))
 
 
 # --- choosing and scoring

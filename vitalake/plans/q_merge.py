@@ -48,7 +48,7 @@ def _longer(a: str, b: str) -> str:
     return f"CASE WHEN coalesce({b}, '') <> '' AND (coalesce({a}, '') = '' OR length({b}) > length({a})) THEN {b} ELSE {a} END"
 
 
-@query("merge_canonical_records", "M5 M6 M7 U1 U2 M22", PP + PAIRS_SQL + f"""
+@query("merge_canonical_records", "M5 M6 M7 U1 U2", PP + PAIRS_SQL + f"""
 SELECT cv_id, {', '.join(f"{_longer('o.' + f, 'n.' + f)} AS {f}" for f in merge.TEXT_FIELDS)},
   CASE WHEN n.years <> 0 AND (coalesce(o.years, 0) = 0 OR length(n.years::VARCHAR) > length(o.years::VARCHAR)) THEN n.years ELSE o.years END AS years,
   coalesce({_longer('o.city', 'n.city')}, '') AS city, coalesce({_longer('o.country', 'n.country')}, '') AS country,
@@ -64,6 +64,16 @@ def merge_canonical_records(spark, sf):
     )
 
 
+@query("merge_source_update", "M22", PP + PAIRS_SQL + f""",
+t AS (SELECT cv_id, CASE WHEN o.cv_id IS NULL THEN 1 ELSE o.cv_id % 5 + 2 END AS version, {', '.join(f"coalesce({_longer('o.' + f, 'n.' + f)}, '') AS {f}" for f in ('full_name', 'phone', 'email', 'city', 'country'))} FROM pairs)
+SELECT cv_id, version, TIMESTAMP '2024-02-02 00:00:00' AS expires_at, 'active' AS status, full_name <> '' AND phone <> '' AND email <> '' AND city <> '' AND country <> '' AS can_export FROM t""")
+def merge_source_update(spark, sf):
+    state = p.profiles(spark, sf).withColumn("version", F.col("cv_id") % 5 + 1)
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    out = merge.update_from_source(state, p.page_profiles(spark, sf), "document_upload", now=now)
+    return out.select("cv_id", "version", "expires_at", "status", "can_export")
+
+
 PROJECT_MATCH_SQL = """(trim(lower(e.name)) <> '' AND trim(lower(f.name)) <> '' AND (trim(lower(e.name)) = trim(lower(f.name))
     OR len(list_intersect(string_split(e.name, ' '), string_split(f.name, ' ')))
        / len(list_distinct(list_concat(string_split(e.name, ' '), string_split(f.name, ' ')))) > 0.6))"""

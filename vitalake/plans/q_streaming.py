@@ -40,20 +40,28 @@ def stream_ingest(spark, sf):
 
 @query("stream_hourly_failures", "ST2 A3", with_(v.AUDIT_LOG, """
 SELECT date_trunc('hour', created_at) AS hour_bucket, count(*) AS failed_events FROM audit_log WHERE status = 'failed' GROUP BY 1
-HAVING date_trunc('hour', created_at) + INTERVAL 1 HOUR <= (SELECT max(created_at) FROM audit_log) - INTERVAL 10 MINUTE"""))
+HAVING date_trunc('hour', created_at) + INTERVAL 1 HOUR <= (SELECT max(created_at) FROM audit_log WHERE status = 'failed') - INTERVAL 10 MINUTE"""))
 def stream_hourly_failures(spark, sf):
     out = _run(spark, jobs.hourly_failures(_stream(spark, sf)), "hourly")
     return out.select(F.col("hour_bucket").cast("timestamp_ntz").alias("hour_bucket"), "failed_events")
 
 
-@query("stream_login_abuse", "ST3")
+@query("stream_login_abuse", "ST3", with_(v.AUDIT_LOG, """
+, w AS (SELECT coalesce(lower(actor_username), 'unknown') AS actor, (epoch_us(created_at) // 10000000 - unnest(range(0, 6))) * 10 AS s FROM audit_log WHERE module_name = 'auth' AND status = 'failed')
+SELECT actor, make_timestamp(s * 1000000) AS window_start, count(*) AS failures FROM w GROUP BY ALL
+HAVING make_timestamp((s + 60) * 1000000) <= (SELECT max(created_at) FROM audit_log WHERE module_name = 'auth' AND status = 'failed') - INTERVAL 10 MINUTE""".replace("\n, w", ", w", 1)))
 def stream_login_abuse(spark, sf):
-    return _run(spark, jobs.login_abuse(_stream(spark, sf), threshold=1), "abuse")
+    out = _run(spark, jobs.login_abuse(_stream(spark, sf), threshold=1), "abuse")
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query("stream_session_expiry", "ST4")
+@query("stream_session_expiry", "ST4", with_(v.AUDIT_LOG, """
+, e AS (SELECT session_id, date_trunc('millisecond', max(created_at)) + CASE WHEN arg_max(module_name, created_at) = 'export' THEN INTERVAL 6 HOUR ELSE INTERVAL 24 HOUR END AS expires_at
+  FROM audit_log GROUP BY 1)
+SELECT * FROM e WHERE expires_at < date_trunc('millisecond', (SELECT max(created_at) FROM audit_log)) - INTERVAL 10 MINUTE""".replace("\n, e", ", e", 1)))
 def stream_session_expiry(spark, sf):
-    return _run(spark, jobs.session_expiry(_stream(spark, sf).select("session_id", "created_at", "exported")), "expiry")
+    out = _run(spark, jobs.session_expiry(_stream(spark, sf).select("session_id", "created_at", "exported")), "expiry")
+    return out.withColumn("expires_at", F.col("expires_at").cast("timestamp_ntz"))
 
 
 @query("stream_attribute_counts", "ST5 A8", with_(v.AUDIT_LOG, """

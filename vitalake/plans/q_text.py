@@ -284,3 +284,19 @@ def text_hash_embedding(spark, sf):
 SELECT doc_id, channel, CASE WHEN s.a <> '' THEN s.a || '@' || s.b || '.' || lower(s.c) WHEN d.a <> '' THEN d.a || '@' || d.b || '.' || lower(d.c) END AS email FROM m""")
 def text_spoken_email(spark, sf):
     return tx.all_texts(spark, sf).select("doc_id", "channel", t.spoken_email(F.col("text")).alias("email"))
+
+
+@query("text_highlights", "X33", T + """, l AS (SELECT doc_id, channel, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND (contains(lower(x), 'java') OR contains(lower(x), 'the'))) AS ls FROM all_texts)
+SELECT doc_id, channel, array_to_string(ls[1:3], chr(10)) AS lines FROM l""")
+def text_highlights(spark, sf):
+    found = t.highlights(F.col("text"), F.array(F.lit("java"), F.lit("the")))
+    return tx.all_texts(spark, sf).select("doc_id", "channel", F.array_join(found, "\n").alias("lines"))
+
+
+@query("text_flat_skills", "X13", P + """
+SELECT cv_id, array_to_string(list_filter(list_transform(list_concat(primary_skills, list_concat(secondary_skills, [' ', ' x '])), lambda s: trim(s)), lambda s: s <> ''), '|') AS skills FROM profiles""")
+def text_flat_skills(spark, sf):
+    groups = F.create_map(
+        F.lit("primary"), F.col("primary_skills"), F.lit("secondary"), F.col("secondary_skills"), F.lit("tools"), F.array(F.lit(" "), F.lit(" x "))
+    )
+    return p.profiles(spark, sf).select("cv_id", F.array_join(t.skills_flatten(groups), "|").alias("skills"))

@@ -2,7 +2,8 @@
 
 Sources and sinks are files; each job takes a streaming DataFrame and returns a
 started query. ``available_now`` ends a job when its input is read. Event times
-are cast to TIMESTAMP because watermarks reject TIMESTAMP_NTZ (T14).
+are cast to TIMESTAMP because watermarks reject TIMESTAMP_NTZ (T14). A filter
+after the watermark is pushed below it, so the watermark follows the kept events.
 """
 
 from __future__ import annotations
@@ -74,7 +75,7 @@ def _expire(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator
     for batch in batches:
         hours = batch["exported"].map({True: EXPORT_TTL_HOURS, False: TTL_HOURS}).astype("int64")
         newest = batch["created_at"].idxmax()
-        expires = max(expires, int(batch["created_at"][newest].timestamp() * 1000) + int(hours[newest]) * 3_600_000)
+        expires = max(expires, batch["created_at"][newest].value // 1_000_000 + int(hours[newest]) * 3_600_000)
     state.update((expires,))
     state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
 

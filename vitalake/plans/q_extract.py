@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vitalake.functions.text import INVALID_PROJECT_NAMES
 from vitalake.operators import extract as e
 from vitalake.plans import profiles as p, texts as tx
 from vitalake.plans.registry import query
@@ -201,41 +202,72 @@ def extract_education(spark, sf):
     return e.extract_education(e.segment_sections(tx.all_texts(spark, sf))).withColumn("position", F.col("position").cast("long"))
 
 
-@query("extract_numbered_projects", "E21 E7")
+NUMBERED_SQL = T + r""", l0 AS (SELECT doc_id, channel, trim(unnest(string_split(text, chr(10)))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM all_texts),
+l AS (SELECT *, regexp_matches(line, '^\s*[0-9]+\)\s*\S') AS head, regexp_matches(line, '(?i)^(education|certification|qualification|declaration)([^A-Za-z0-9_]|$)') AS stop FROM l0 WHERE line <> ''),
+f AS (SELECT doc_id, channel, min(i) FILTER (head) AS first FROM l GROUP BY ALL),
+z AS (SELECT l.doc_id, l.channel, min(i) AS stop_i FROM l JOIN f ON f.doc_id = l.doc_id AND f.channel = l.channel WHERE stop AND NOT head AND i > first GROUP BY ALL),
+k AS (SELECT l.*, sum(head::INT) OVER (PARTITION BY l.doc_id, l.channel ORDER BY i) - 1 AS position FROM l JOIN f ON f.doc_id = l.doc_id AND f.channel = l.channel AND i >= first
+  LEFT JOIN z ON z.doc_id = l.doc_id AND z.channel = l.channel WHERE stop_i IS NULL OR i < stop_i),
+m AS (SELECT *, min(CASE WHEN NOT head AND regexp_matches(line, '(?i)^primary\s+responsibilities\s*:?\s*$') THEN i END) OVER (PARTITION BY doc_id, channel, position) AS mark FROM k),
+g AS (SELECT doc_id, channel, position, max(CASE WHEN head THEN trim(regexp_extract(line, '^\s*[0-9]+\)\s*(.+)$', 1)) END) AS title,
+  coalesce(string_agg(line, ' ' ORDER BY i) FILTER (NOT head AND (mark IS NULL OR i < mark) AND length(line) > 15), '') AS description,
+  coalesce(string_agg(trim(line, ' -•*'), '|' ORDER BY i) FILTER (NOT head AND i > mark), '') AS responsibilities FROM m GROUP BY ALL)
+SELECT doc_id, channel, position::BIGINT AS position, trim(regexp_replace(title, '(?i)\(\s*tenure\s+[^)]*\)', '', 'g'), ' ,.;:-') AS name,
+  trim(nullif(regexp_extract(title, '(?i)\(\s*tenure\s+([^)]+)\)', 1), ''), ' ,.;:-') AS duration, description, responsibilities FROM g
+WHERE trim(regexp_replace(title, '(?i)\(\s*tenure\s+[^)]*\)', '', 'g'), ' ,.;:-') <> ''"""
+
+
+@query("extract_numbered_projects", "E21 E7", NUMBERED_SQL)
 def extract_numbered_projects(spark, sf):
     out = e.numbered_projects(tx.all_texts(spark, sf), "text")
-    return out.withColumn("responsibilities", F.array_join("responsibilities", "|"))
+    return out.withColumns({"position": F.col("position").cast("long"), "responsibilities": F.array_join("responsibilities", "|")})
 
 
-@query("extract_spoken_segments", "E9 E22", T + f""", s AS (SELECT doc_id, channel, list_filter(list_transform(CASE WHEN regexp_matches(text, '(?m)^\\s*[0-9]+\\.\\s+(?:\\*\\*)?.')
+SEGMENT_SQL = T + f""", s AS (SELECT doc_id, channel, list_filter(list_transform(CASE WHEN regexp_matches(text, '(?m)^\\s*[0-9]+\\.\\s+(?:\\*\\*)?.')
   THEN list_transform(string_split(regexp_replace(text, '(?m)^(\\s*[0-9]+\\.\\s+(?:\\*\\*)?.)', chr(1) || '\\1', 'g'), chr(1))[2:], lambda x: regexp_split_to_array(x, '(?im)^\\s*education\\b')[1])
-  ELSE string_split(regexp_replace(text, '{e.PROJECT_CUE}', chr(1) || '\\1', 'g'), chr(1)) END, lambda x: trim(x, chr(10) || ' ' || chr(9) || chr(13))), lambda x: x <> '') AS xs FROM all_texts)
-SELECT doc_id, channel, generate_subscripts(xs, 1) - 1 AS position, unnest(xs) AS segment FROM s""")
+  ELSE string_split(regexp_replace(text, '{e.PROJECT_CUE}', chr(1) || '\\1', 'g'), chr(1)) END, lambda x: trim(x, chr(10) || ' ' || chr(9) || chr(13))), lambda x: x <> '') AS xs FROM all_texts)"""
+
+
+@query("extract_spoken_segments", "E9 E22", SEGMENT_SQL + " SELECT doc_id, channel, generate_subscripts(xs, 1) - 1 AS position, unnest(xs) AS segment FROM s")
 def extract_spoken_segments(spark, sf):
     out = tx.all_texts(spark, sf).select("doc_id", "channel", F.posexplode(e.spoken_segments(F.col("text"))).alias("position", "segment"))
     return out.withColumn("position", F.col("position").cast("long"))
 
 
-@query("extract_spoken_projects", "E8 E23")
-def extract_spoken_projects(spark, sf):
-    out = e.spoken_projects(tx.all_texts(spark, sf))
-    return out.withColumns({"technologies": F.array_join("technologies", "|"), "responsibilities": F.array_join("responsibilities", "|")})
 
 
 def _cues(patterns: list[str], column: str) -> str:
     return "coalesce(" + ", ".join(_rx(x, 1, column) for x in patterns) + ")"
 
 
+SKILL_LEAD = (
+    "^(my\\s+)?(primary|secondary|supporting|key|core)?\\s*(skills|skill|technology|technologies|tools|tool|platforms|platform|frameworks|framework)"
+    "\\s*(is|are|includes|include|:)?\\s*"
+)
+PROJECTS_SQL = SEGMENT_SQL + f""", g AS (SELECT doc_id, channel, generate_subscripts(xs, 1) - 1 AS position, unnest(xs) AS segment FROM s),
+n AS (SELECT doc_id, channel, position, trim(regexp_replace({_cues(e.NAME_CUES, 'segment')}, '(?i)^\\s*(?:is|called|named)\\s+', '')) AS name, trim({_cues(e.CLIENT_CUES, 'segment')}) AS client,
+  trim({_cues(e.ROLE_CUES, 'segment')}) AS role, coalesce({_rx(e.TECH_CUE, 1, 'segment')}, '') AS tech,
+  list_filter(list_transform(string_split(segment, '.'), lambda x: trim(x)), lambda x: regexp_matches(x, '(?i)^(?:I|we)\\s+(?:[A-Za-z]+ed|led|built)([^A-Za-z]|$)') AND length(x) > 10) AS duties FROM g),
+c AS (SELECT *, trim(lower(regexp_replace(name, '\\s+', ' ', 'g')), ' .,:;') AS k, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(tech, chr(10), ', '), '\\s+and\\s+', ', ', 'gi'), '[;/]+', ', ', 'g'),
+  '\\s+(\\||-|&)\\s+', ', ', 'g'), '{SKILL_LEAD}', '', 'i') AS x FROM n)
+SELECT doc_id, channel, position, name, client, role, array_to_string(list_transform(list_filter(list_transform(string_split(x, ','), lambda y: trim(y)), lambda y: y <> ''), lambda y: rtrim(y, '.')), '|') AS technologies,
+  array_to_string(duties, '|') AS responsibilities FROM c WHERE length(name) > 3 AND k NOT IN ({', '.join(f"'{x}'" for x in INVALID_PROJECT_NAMES)}) AND NOT starts_with(k, 'worked on ') AND NOT starts_with(k, 'responsibilities')"""
+
+
+@query("extract_spoken_projects", "E8 E23", PROJECTS_SQL)
+def extract_spoken_projects(spark, sf):
+    out = e.spoken_projects(tx.all_texts(spark, sf))
+    return out.withColumns({
+        "position": F.col("position").cast("long"), "technologies": F.array_join("technologies", "|"), "responsibilities": F.array_join("responsibilities", "|"),
+    })
+
+
 @query("extract_spoken_person", "E8 E27", T + ", d AS (SELECT doc_id, channel, " + ", ".join(f"trim({_cues(ps, 'lower(text)')}) AS {f}" for f, ps in e.PERSON_CUES.items())
        + " FROM all_texts) " + _unpivot("d", {f: (f, "cue", .85) for f in e.PERSON_CUES}))
 def extract_spoken_person(spark, sf):
     return e.spoken_person(tx.all_texts(spark, sf))
 
 
-SKILL_LEAD = (
-    "^(my\\s+)?(primary|secondary|supporting|key|core)?\\s*(skills|skill|technology|technologies|tools|tool|platforms|platform|frameworks|framework)"
-    "\\s*(is|are|includes|include|:)?\\s*"
-)
 SKILL_UNION = " UNION ALL ".join(f"SELECT doc_id, channel, '{k}' AS kind, trim({_cues(ps, 'text')}) AS x FROM all_texts" for k, ps in e.SKILL_CUES.items())
 
 

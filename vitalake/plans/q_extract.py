@@ -161,18 +161,34 @@ def extract_section_items(spark, sf):
     return e.section_items(e.segment_sections(tx.all_texts(spark, sf))).withColumn("position", F.col("position").cast("long"))
 
 
-@query("extract_jobs", "E16 E17 E18")
-def extract_jobs(spark, sf):
-    return e.extract_jobs(e.segment_sections(tx.all_texts(spark, sf)))
-
-
-def _dates(index: int) -> str:
+def _dates(index: int, column: str = "text") -> str:
     d = e.DASH
     shapes = [
         rf"(?i)([0-9]{{1,2}}/[0-9]{{4}})\s*{d}\s*([0-9]{{1,2}}/[0-9]{{4}}|Present|Current)", rf"(?i)([A-Za-z0-9_]+\s+[0-9]{{4}})\s*{d}\s*([A-Za-z0-9_]+\s+[0-9]{{4}}|Present|Current)",
         rf"(?i)([0-9]{{4}})\s*{d}\s*([0-9]{{4}}|Present|Current)",
     ]
-    return "coalesce(" + ", ".join(_rx(s, index) for s in shapes) + ")"
+    return "coalesce(" + ", ".join(_rx(s, index, column) for s in shapes) + ")"
+
+
+WS = "chr(10) || ' ' || chr(9) || chr(13)"
+JOBS_SQL = SECTION_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+jp AS MATERIALIZED (SELECT doc_id, channel, list_filter(regexp_split_to_array(content, '{e.JOB_BOUNDARY}'), lambda x: trim(x) <> '') AS ps FROM sections WHERE section = 'experience'),
+jf AS (SELECT doc_id, channel, 0 AS i, '' AS cur, CAST([] AS VARCHAR[]) AS done FROM jp
+  UNION ALL SELECT jf.doc_id, jf.channel, i + 1, CASE WHEN length(cur) > 50 THEN ps[i + 1] ELSE cur || ps[i + 1] END,
+    CASE WHEN length(cur) > 50 THEN list_append(done, trim(cur, {WS})) ELSE done END FROM jf JOIN jp ON jp.doc_id = jf.doc_id AND jp.channel = jf.channel WHERE i < len(ps)),
+je AS (SELECT jf.doc_id, jf.channel, list_filter(list_append(done, trim(cur, {WS})), lambda x: x <> '') AS es FROM jf JOIN jp ON jp.doc_id = jf.doc_id AND jp.channel = jf.channel WHERE i = len(ps)),
+en AS (SELECT doc_id, channel, unnest(es) AS entry, generate_subscripts(es, 1) - 1 AS position FROM je),
+l AS (SELECT *, list_transform(list_filter(list_transform(string_split(trim(entry), chr(10))[1:3], lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, '[0-9]{{4}}')),
+  lambda x: regexp_replace(x, '\\s*{e.DASH}\\s*$', '')) AS ls, {_rx(r'(?:Position|Title|Role)[:\s]+([^\n]{5,60})', 1, 'entry')} AS t1, {_rx(r'(?m)^([A-Z][^\n]{10,60})$', 1, 'entry')} AS t2 FROM en),
+r AS (SELECT doc_id, channel, position, list_filter(ls, lambda x: length(x) BETWEEN 3 AND 99)[1] AS company,
+  coalesce(CASE WHEN NOT regexp_matches(t1, '[0-9]{{4}}') THEN t1 END, CASE WHEN NOT regexp_matches(t2, '[0-9]{{4}}') THEN t2 END) AS title,
+  {_dates(1, 'entry')} AS start, {_dates(2, 'entry')} AS "end" FROM l)
+SELECT * FROM r WHERE company IS NOT NULL OR title IS NOT NULL"""
+
+
+@query("extract_jobs", "E16 E17 E18", JOBS_SQL)
+def extract_jobs(spark, sf):
+    return e.extract_jobs(e.segment_sections(tx.all_texts(spark, sf))).withColumn("position", F.col("position").cast("long"))
 
 
 @query("extract_dates_and_titles", "E17 E18", T + f""", l AS (SELECT doc_id, channel, text, list_transform(list_filter(list_transform(string_split(trim(text), chr(10))[1:3], lambda x: trim(x)),

@@ -95,7 +95,12 @@ def retrieval_chunks_sections(spark, sf):
     return r.chunk_sections(tx.resumes(spark, sf)).withColumn("chunk_no", F.col("chunk_no").cast("long"))
 
 
-@query("retrieval_chunks_paragraphs", "R1")
+@query("retrieval_chunks_paragraphs", "R1", f"""WITH RECURSIVE p AS (SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents),
+w AS MATERIALIZED (SELECT doc_id, ps, list_transform(ps, lambda x: len({WORDS.format('x')})) AS ns FROM p),
+f AS (SELECT doc_id, 0 AS i, -1::BIGINT AS n, -1 AS g FROM w
+  UNION ALL SELECT f.doc_id, f.i + 1, CASE WHEN f.n < 0 OR f.n + ns[f.i + 1] > 120 THEN ns[f.i + 1] ELSE f.n + ns[f.i + 1] END,
+    f.g + CASE WHEN f.n < 0 OR f.n + ns[f.i + 1] > 120 THEN 1 ELSE 0 END FROM f JOIN w ON w.doc_id = f.doc_id WHERE f.i < len(ps))
+SELECT f.doc_id, g::BIGINT AS chunk_no, md5(string_agg(ps[i], ' ' ORDER BY i)) AS content FROM f JOIN w ON w.doc_id = f.doc_id WHERE i > 0 GROUP BY ALL""")
 def retrieval_chunks_paragraphs(spark, sf):
     out = r.chunk_paragraphs(v.load_spread(spark, sf, "documents", "doc_id"), max_words=120, separator="\n")
     return out.select("doc_id", F.col("chunk_no").cast("long"), F.md5("content").alias("content"))

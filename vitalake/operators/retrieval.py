@@ -185,9 +185,9 @@ def tiled(queries: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     Cells hold about TILE_ROWS documents and BLOCK_ROWS queries, whatever the
     table sizes; ids are hashed, so no cell depends on the data's skew.
     """
-    tiles, blocks = _cells(docs.count(), TILE_ROWS), _cells(queries.count(), BLOCK_ROWS)
+    n_docs, blocks = docs.count(), _cells(queries.count(), BLOCK_ROWS)
     parallel = docs.sparkSession.sparkContext.defaultParallelism
-    tiles = max(tiles, min(parallel, _cells(docs.count(), 64)))
+    tiles = max(_cells(n_docs, TILE_ROWS), min(parallel, _cells(n_docs, 64)))
     left = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn(
         "_tile", F.explode(_range(tiles))
     )

@@ -79,7 +79,7 @@ PROJECT_MATCH_SQL = """(trim(lower(e.name)) <> '' AND trim(lower(f.name)) <> ''
        / len(list_distinct(list_concat(string_split(e.name, ' '), string_split(f.name, ' ')))) > 0.6))"""
 
 
-@query("merge_match_projects", "J13 T10", PP + PAIRS_SQL + f""",
+WALK_SQL = PP + PAIRS_SQL + f""",
 both_sides AS MATERIALIZED (SELECT cv_id, o.projects AS op, n.projects AS np FROM pairs WHERE len(o.projects) > 0 AND len(n.projects) > 0),
 hits AS MATERIALIZED (
   SELECT cv_id, i, list(j ORDER BY j) AS js FROM (
@@ -90,8 +90,10 @@ walk AS (
   SELECT cv_id, 0 AS i, len(op) AS n, CAST([] AS BIGINT[]) AS used FROM both_sides
   UNION ALL
   SELECT w.cv_id, w.i + 1, w.n, list_append(w.used, coalesce(list_filter(h.js, lambda j: NOT list_contains(w.used, j))[1], 0))
-  FROM walk w LEFT JOIN hits h ON h.cv_id = w.cv_id AND h.i = w.i + 1 WHERE w.i < w.n)
-SELECT cv_id, array_to_string(list_transform(used, lambda u: u - 1), '|') AS partners FROM walk WHERE i = n""")
+  FROM walk w LEFT JOIN hits h ON h.cv_id = w.cv_id AND h.i = w.i + 1 WHERE w.i < w.n)"""
+
+
+@query("merge_match_projects", "J13 T10", WALK_SQL + " SELECT cv_id, array_to_string(list_transform(used, lambda u: u - 1), '|') AS partners FROM walk WHERE i = n")
 def merge_match_projects(spark, sf):
     both = p.profiles(spark, sf).select("cv_id", F.col("projects").alias("op")).join(
         p.page_profiles(spark, sf).select("cv_id", F.col("projects").alias("np")), "cv_id"
@@ -117,7 +119,26 @@ def merge_match_work(spark, sf):
     return both.select("cv_id", F.array_join(partners, "|").alias("partners"))
 
 
-@query("merge_project_lists", "M8 M9 M5", None)
+TECHS = "array_to_string({}, '|')"
+MERGED_SQL = WALK_SQL + f""",
+done AS MATERIALIZED (SELECT w.cv_id, used, op, np FROM walk w JOIN both_sides b ON b.cv_id = w.cv_id WHERE i = n),
+ex AS (SELECT cv_id, unnest(op) AS e, unnest(used) AS u, np FROM done),
+mg AS (SELECT cv_id, e, np[u] AS f, u FROM ex),
+lists AS (
+  SELECT cv_id, CASE WHEN u > 0 AND f.name <> '' AND (e.name = '' OR length(f.name) >= length(e.name)) THEN f.name ELSE e.name END AS name,
+    CASE WHEN u > 0 AND f.client <> '' AND (e.client = '' OR length(f.client) >= length(e.client)) THEN f.client ELSE e.client END AS client,
+    CASE WHEN u > 0 AND f.description <> '' AND (e.description = '' OR len(regexp_split_to_array(trim(f.description), '\\s+')) > len(regexp_split_to_array(trim(e.description), '\\s+')) * 1.2
+      OR length(f.description) > length(e.description) * 1.5) THEN f.description ELSE e.description END AS description,
+    CASE WHEN u > 0 THEN {UNION_CI.format(a='e.technologies', b='f.technologies')} ELSE {TECHS.format('e.technologies')} END AS technologies,
+    CASE WHEN u > 0 AND len(f.responsibilities) > len(e.responsibilities) THEN len(f.responsibilities) ELSE len(e.responsibilities) END AS responsibilities FROM mg
+  UNION ALL SELECT cv_id, x.name, x.client, x.description, {TECHS.format('x.technologies')}, len(x.responsibilities) FROM (
+    SELECT cv_id, used, unnest(np) AS x, generate_subscripts(np, 1) AS j FROM done) WHERE NOT list_contains(used, j)
+  UNION ALL SELECT cv_id, x.name, x.client, x.description, {TECHS.format('x.technologies')}, len(x.responsibilities) FROM (
+    SELECT cv_id, unnest(list_concat(coalesce(o.projects, []), coalesce(n.projects, []))) AS x FROM pairs WHERE cv_id NOT IN (SELECT cv_id FROM done)))
+SELECT * FROM lists"""
+
+
+@query("merge_project_lists", "M8 M9 M5", MERGED_SQL)
 def merge_project_lists(spark, sf):
     merged = merge.merge_profiles(p.profiles(spark, sf), p.page_profiles(spark, sf), "document_upload")
     return merged.select("cv_id", F.explode("projects").alias("x")).select(

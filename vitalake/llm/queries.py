@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vitalake.llm import chat, langid, mix, sketch, tokens, warc
+from vitalake.llm import chat, decontam, langid, mix, nearcopy, sketch, spans, tokens, warc
 from vitalake.session import fresh_path
 
 #: Tokenizer files of the installation; a parameter of the operator.
@@ -19,6 +19,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_load(spark, sf_dir, "documents"), tokens.read_vocabulary(VOCABULARY))
 
 
+def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(_load(spark, sf_dir, "documents"), _load(spark, sf_dir, "benchmark"))
+
+
+def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.remove_repeated_spans(_load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _load(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(langid.remainder() == 1, F.lit(False)))
     model = langid.learn(docs, ~F.col("held_out"))
@@ -41,12 +49,17 @@ def op8_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.rotate(_load(spark, sf_dir, "conversations")))
 
 
+def op9_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopy.classes(_load(spark, sf_dir, "documents"))
+
+
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprints(_load(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_counts, op5_language_id, op6_source_mix, op7_warc_revisits, op8_chat_perspectives, op10_document_fingerprints,
+    op1_token_counts, op2_benchmark_leaks, op3_sentence_spans, op5_language_id, op6_source_mix, op7_warc_revisits, op8_chat_perspectives,
+    op9_near_copies, op10_document_fingerprints,
 )}
 OP7_SQL = """
 WITH coded AS (

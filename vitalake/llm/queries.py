@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vitalake.llm import chat, decontam, langid, mix, nearcopy, sketch, spans, tokens, warc
+from vitalake.llm import chat, decontam, langid, mix, nearcopy, sketch, spans, suffix, tokens, warc
 from vitalake.session import fresh_path
 
 #: Tokenizer files of the installation; a parameter of the operator.
@@ -27,6 +27,14 @@ def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.remove_repeated_spans(_load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix.remove_repeats(_load(spark, sf_dir, "documents"))
+    return kept.select(
+        "doc_id", "n_bytes", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _load(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(langid.remainder() == 1, F.lit(False)))
     model = langid.learn(docs, ~F.col("held_out"))
@@ -58,7 +66,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_counts, op2_benchmark_leaks, op3_sentence_spans, op5_language_id, op6_source_mix, op7_warc_revisits, op8_chat_perspectives,
+    op1_token_counts, op2_benchmark_leaks, op3_sentence_spans, op4_repeated_strings, op5_language_id, op6_source_mix, op7_warc_revisits, op8_chat_perspectives,
     op9_near_copies, op10_document_fingerprints,
 )}
 OP7_SQL = """

@@ -152,24 +152,32 @@ def as_text(cells: Column) -> Column:
     return F.array_join(F.transform(cells, lambda c: F.concat_ws("-", F.hex(c["n"]), F.hex(c["k"]), F.hex(c["c"]))), ".")
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str, buckets: int = 256) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str, text_col: str, ranges: int = 256, rows_per_bucket: int = 20_000) -> DataFrame:
     """``(id, text, next_text)``: the text of the next row by descending id (then text); the last is followed by the first.
 
-    Rows are cut into buckets by quantiles of the id, a window runs inside each, and only the first row of each
-    bucket (``buckets`` rows at most) is ordered over the whole table.
+    Ids (numbers) are cut into ``ranges`` quantile ranges, and each of those evenly into as many buckets as
+    ``rows_per_bucket`` asks for. A window runs inside each bucket; over the whole table only bucket numbers are ordered.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    shares = [i / buckets for i in range(1, buckets)]
-    bounds = rows.agg(F.percentile_approx("_id", shares, 4 * buckets).alias("b")).first()["b"] or []
-    edges = F.array(*[F.lit(b) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<bigint>")
-    cut = rows.withColumn("_bucket", F.when(F.col("_id").isNull(), -1).otherwise(F.size(F.filter(edges, lambda e: e <= F.col("_id")))))
+    shares = [i / ranges for i in range(ranges + 1)]
+    seen = rows.agg(F.percentile_approx("_id", shares, 4 * ranges).alias("b"), F.count("_id").alias("n")).first()
+    bounds = sorted(set(seen["b"] or []))
+    parts = max(1, -(-seen["n"] // (ranges * rows_per_bucket)))
+    edges = F.array(*[F.lit(x) for x in bounds]) if bounds else F.array().cast("array<bigint>")
+    at = F.size(F.filter(edges, lambda e: e <= F.col("_id")))
+    bucket = at.cast("long") * parts
+    if parts > 1:
+        low, high = (F.get(edges, F.greatest(F.lit(0), F.least(F.lit(len(bounds) - 1), at - k))) for k in (1, 0))
+        share = (F.col("_id").cast("double") - low) / F.greatest(F.lit(1.0), high.cast("double") - low)
+        bucket += F.least(F.lit(parts - 1), F.greatest(F.lit(0), F.floor(share * parts)))
+    cut = rows.withColumn("_bucket", F.when(F.col("_id").isNull(), -1).otherwise(bucket))
     inside = W.partitionBy("_bucket").orderBy(F.col("_id").desc(), F.col("_text").desc())
     ranked = cut.withColumns({"_rank": F.row_number().over(inside), "_lead": F.lead("_text").over(inside)})
-    heads = ranked.where(F.col("_rank") == 1).select(F.col("_bucket").alias("_of"), F.col("_text").alias("_head"))
+    heads = ranked.where(F.col("_rank") == 1).select(F.col("_bucket").alias("_next"), F.col("_text").alias("_head"))
     every = W.orderBy(F.col("_of").desc())
-    carried = heads.select(
-        F.col("_of"), F.coalesce(F.lead("_head").over(every), F.first("_head").over(every.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("_head")
-    )
+    following = cut.select(F.col("_bucket").alias("_of")).distinct().select(
+        "_of", F.coalesce(F.lead("_of").over(every), F.max("_of").over(every.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("_next"))
+    carried = following.join(heads, "_next").select("_of", "_head")
     joined = ranked.join(carried, (F.col("_bucket") == F.col("_of")) & F.col("_lead").isNull(), "left")
     return joined.select(F.col("_id").alias(id_col), F.col("_text").alias(text_col), F.coalesce("_lead", "_head").alias("next_text"))
 

@@ -6,8 +6,6 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-MAX_LIST_LIMIT = 500
-
 
 def as_of_column(df: DataFrame, column: str, as_of: dt.datetime | str | None) -> Column:
     """The given instant, or the newest value of ``column`` as a scalar subquery (never the clock)."""
@@ -19,7 +17,7 @@ def as_of_column(df: DataFrame, column: str, as_of: dt.datetime | str | None) ->
 def audit_events(
     df: DataFrame,
     *,
-    limit: int = 100,
+    limit: int | None = 100,
     module_name: str | None = None,
     operation: str | None = None,
     status: str | None = None,
@@ -28,7 +26,7 @@ def audit_events(
     created_from: dt.datetime | str | None = None,
     created_to: dt.datetime | str | None = None,
 ) -> DataFrame:
-    """filtered listing, newest first; empty filters are ignored, the limit is clamped to 1..500."""
+    """filtered listing, newest first; empty filters are ignored, ``limit=None`` lists all, a limit below 1 counts as 1."""
     equal = {
         "module_name": module_name, "operation": operation, "status": status,
         "session_id": session_id, "actor_username": actor_username,
@@ -40,7 +38,8 @@ def audit_events(
         df = df.where(F.col("created_at") >= utc_instant(created_from))
     if created_to is not None:
         df = df.where(F.col("created_at") <= utc_instant(created_to))
-    return df.orderBy(F.desc("created_at"), F.desc("id")).limit(max(1, min(limit, MAX_LIST_LIMIT)))
+    listed = df.orderBy(F.desc("created_at"), F.desc("id"))
+    return listed if limit is None else listed.limit(max(1, limit))
 
 
 def utc_instant(value: dt.datetime | str) -> Column:

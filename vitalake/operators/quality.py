@@ -11,7 +11,6 @@ from vitalake.functions import arrays as A
 # Texts that stand for no value, and the ends stripped before comparing with them.
 NULL_WORDS = ["none", "null", "n/a", "na", "undefined", "[]", "{}"]
 EDGE_CHARS = " ,.;:-"
-EVIDENCE_CHARS = 220
 
 
 def normalize_text(value: Column) -> Column:
@@ -37,22 +36,26 @@ def extracted_values(df: DataFrame, fields: dict[str, str], *, key: str = "cv_id
     return F.filter(F.concat(*parts), lambda s: s["value"] != "")
 
 
-def traceability(df: DataFrame, fields: dict[str, str], evidence: str, *, key: str = "cv_id") -> DataFrame:
+def traceability(
+    df: DataFrame, fields: dict[str, str], evidence: str, *, key: str = "cv_id", evidence_chars: int | None = None
+) -> DataFrame:
     """Each extracted value with the first evidence text of the same record that contains it.
 
     ``evidence`` is an array column of the record, so values meet only their own
-    record's texts and nothing is shuffled. Values of one or two characters count as supported.
+    record's texts and nothing is shuffled. Values of one or two characters count as supported. The evidence is
+    given whole, or its first ``evidence_chars`` characters.
     """
     corpus = F.filter(F.transform(evidence, normalize_text), lambda t: t != "")
     held = df.select(key, corpus.alias("_corpus"), extracted_values(df, fields, key=key).alias("_values"))
     rows = A.explode_items(held, [key, "_corpus"], F.col("_values"), "f")
     first = F.try_element_at(F.filter("_corpus", lambda t: t.contains(F.col("f.value"))), F.lit(1))
     short = F.length("value") <= 2
+    shown = F.col("_first") if evidence_chars is None else F.substring("_first", 1, evidence_chars)
     found = rows.select(key, "f.field_path", "f.value", first.alias("_first"))
     return found.select(
         key, "field_path", "value",
         (short | F.col("_first").isNotNull()).alias("supported"),
-        F.when(short, "").otherwise(F.coalesce(F.substring("_first", 1, EVIDENCE_CHARS), F.lit(""))).alias("evidence"),
+        F.when(short, "").otherwise(F.coalesce(shown, F.lit(""))).alias("evidence"),
     )
 
 

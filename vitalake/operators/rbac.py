@@ -33,7 +33,7 @@ def permissions_for_user(users, role_permissions) -> DataFrame:
     The set is built per role (a handful of rows) before it meets the users.
     """
     per_role = role_permissions.groupBy("role").agg(F.sort_array(F.collect_set("permission")).alias("permissions"))
-    return users.join(F.broadcast(per_role), "role", "left").withColumn(
+    return users.join(per_role, "role", "left").withColumn(
         "permissions", F.coalesce("permissions", F.array().cast("array<string>"))
     )
 

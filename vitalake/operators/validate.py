@@ -550,7 +550,7 @@ def role_required_missing(present: DataFrame, required: DataFrame) -> DataFrame:
     """
     per_role = required.groupBy("role").agg(F.sort_array(F.collect_list("field")).alias("_need"))
     return (
-        present.join(F.broadcast(per_role), "role")
+        present.join(per_role, "role")
         .select("cv_id", "role", F.explode(F.array_except("_need", "fields")).alias("field"))
     )
 

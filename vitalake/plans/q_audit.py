@@ -23,10 +23,10 @@ TIMELINE_SQL = "id, created_at, actor_username, module_name, operation, status,
 SELECT id, session_id, actor_username, module_name, operation, status, http_status, event_message, created_at
 FROM audit_log WHERE module_name = 'auth' AND status = 'failed'
   AND created_at >= TIMESTAMP '2024-01-05' AND created_at <= TIMESTAMP '2024-01-25'
-ORDER BY created_at DESC, id DESC LIMIT 500"""))
+ORDER BY created_at DESC, id DESC"""))
 def audit_events_filtered(spark, sf):
     return audit.audit_events(
-        v.audit_log(spark, sf), limit=9999, module_name="auth", operation="", status="failed",
+        v.audit_log(spark, sf), limit=None, module_name="auth", operation="", status="failed",
         created_from="2024-01-05 00:00:00", created_to="2024-01-25 00:00:00",
     ).select("id", "session_id", "actor_username", "module_name", "operation", "status", "http_status", "event_message", "created_at")
 

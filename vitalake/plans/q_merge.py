@@ -464,7 +464,7 @@ n AS (SELECT cv_id, field_path, """ + NORM.format(x="coalesce(raw, '')") + """ A
 ev AS (SELECT cv_id, field_path, value, length(value) <= 2 AS short,
   list_filter(list_transform(lines, lambda l: """ + NORM.format(x="l") + """), lambda l: l <> '' AND contains(l, value))[1] AS first FROM n WHERE value <> ''),
 trace AS (SELECT cv_id, field_path, value, short OR first IS NOT NULL AS supported,
-  CASE WHEN short THEN '' ELSE coalesce(first[1:220], '') END AS evidence FROM ev)"""
+  CASE WHEN short THEN '' ELSE coalesce(first, '') END AS evidence FROM ev)"""
 
 
 @query("quality_traceability", "J9 X6", TRACE_SQL + " SELECT * FROM trace")

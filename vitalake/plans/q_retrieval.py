@@ -11,12 +11,16 @@ from vitalake.plans.registry import query
 P = "WITH " + p.PROFILES
 
 
-def _docs(spark, sf):
-    docs = v.load_spread(spark, sf, "documents", "doc_id").selectExpr(
+def _plain(spark, sf):
+    """Documents without vectors, for the searches that read none."""
+    return v.load_spread(spark, sf, "documents", "doc_id").selectExpr(
         "doc_id", "text", "map_from_arrays(array('lang', 'role', 'seniority'), array(lang, source, CASE WHEN doc_id % 2 = 0 THEN 'mid' ELSE 'senior' END)) AS metadata"
     )
+
+
+def _docs(spark, sf):
     vectors = v.load(spark, sf, "embeddings").selectExpr("vec_id AS doc_id", "embedding")
-    return docs.join(vectors, "doc_id", "left")
+    return _plain(spark, sf).join(vectors, "doc_id", "left")
 
 
 def _queries(spark, sf):
@@ -40,10 +44,9 @@ def _kw(source: str, key: str, mode: str) -> str:
         "ordered": ("lower(text)", f"length(u) > 2 AND u NOT IN {_stop(r.STOP_LONG)}"),
     }[mode]
     word = "regexp_replace(x, '[^\\pL\\pN]', '', 'g')" if mode == "ordered" else "x"
-    cut = "QUALIFY row_number() OVER (PARTITION BY k ORDER BY i) <= 20" if mode == "short" else ""
     return (
         f"(SELECT k AS {key}, u AS keyword, i FROM (SELECT k, u, min(i) AS i FROM (SELECT k, {word} AS u, i FROM ("
-        f"SELECT {key} AS k, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM (SELECT {key}, {WORDS.format(body[0])} AS ws FROM ({source})))) WHERE {body[1]} GROUP BY k, u) {cut})"
+        f"SELECT {key} AS k, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM (SELECT {key}, {WORDS.format(body[0])} AS ws FROM ({source})))) WHERE {body[1]} GROUP BY k, u))"
     )
 
 
@@ -119,7 +122,7 @@ for _mode in ("short", "clean", "ordered"):
 
 @query("retrieval_keyword_jaccard", "J10 R4 O1 W8", _keyword_sql("short", "jaccard") + f" SELECT query_id, doc_id, score, rank FROM {_ranked('kws', 5)}")
 def retrieval_keyword_jaccard(spark, sf):
-    return _long(r.retrieve(_queries(spark, sf), _docs(spark, sf), strategy="keyword"))
+    return _long(r.retrieve(_queries(spark, sf), _plain(spark, sf), strategy="keyword"))
 
 
 def _long(df):
@@ -128,14 +131,13 @@ def _long(df):
 
 @query("retrieval_keyword_share", "J10 R4 O2", _keyword_sql("clean", "share") + f" SELECT query_id, doc_id, score, rank FROM {_ranked('(SELECT * FROM kws WHERE score >= 0.5)', 5)}")
 def retrieval_keyword_share(spark, sf):
-    scores = r.keyword_scores(_queries(spark, sf), _docs(spark, sf), scoring="share", mode="clean")
+    scores = r.keyword_scores(_queries(spark, sf), _plain(spark, sf), scoring="share", mode="clean")
     return _long(r.rank_results(scores, k=5, min_score=0.5))
 
 
 @query("retrieval_vector", "J11 R5 X18", "WITH x AS (SELECT 1)" + VEC_SQL + f" SELECT query_id, doc_id, score, rank FROM {_ranked('vs', 5)}")
 def retrieval_vector(spark, sf):
-    queries = _queries(spark, sf).where("embedding IS NOT NULL")
-    return _long(r.retrieve(queries, _docs(spark, sf), strategy="semantic"))
+    return _long(r.retrieve(_queries(spark, sf), _docs(spark, sf), strategy="semantic"))
 
 
 HYBRID_SQL = _keyword_sql("short", "jaccard") + VEC_SQL + """,
@@ -146,7 +148,7 @@ hy AS MATERIALIZED (SELECT coalesce(s.query_id, w.query_id) AS query_id, coalesc
 
 @query("retrieval_hybrid", "R6", HYBRID_SQL.replace("{S}", _ranked("vs", 10)).replace("{W}", _ranked("kws", 10)) + f" SELECT query_id, doc_id, score, rank FROM {_ranked('hy', 5)}")
 def retrieval_hybrid(spark, sf):
-    return _long(r.retrieve(_queries(spark, sf).where("embedding IS NOT NULL"), _docs(spark, sf), strategy="hybrid"))
+    return _long(r.retrieve(_queries(spark, sf), _docs(spark, sf), strategy="hybrid"))
 
 
 CTX_SQL = HYBRID_SQL.replace("{S}", _ranked("vs", 20)).replace("{W}", _ranked("kws", 20)) + f""",
@@ -157,7 +159,7 @@ cx AS (SELECT h.query_id, h.doc_id, round(h.score * CASE WHEN d.source = 'engine
 
 @query("retrieval_contextual", "R8", CTX_SQL + f" SELECT query_id, doc_id, score, rank FROM {_ranked('cx', 5)}")
 def retrieval_contextual(spark, sf):
-    return _long(r.retrieve(_queries(spark, sf).where("embedding IS NOT NULL"), _docs(spark, sf), strategy="contextual"))
+    return _long(r.retrieve(_queries(spark, sf), _docs(spark, sf), strategy="contextual"))
 
 
 @query("retrieval_rrf", "R7", _keyword_sql("short", "jaccard") + VEC_SQL + f""",
@@ -165,8 +167,8 @@ u AS (SELECT query_id, doc_id, 1 / (60 + rank) AS p FROM {_ranked('vs', 10)} UNI
 f AS (SELECT query_id, doc_id, round(sum(p), 6) AS score FROM u GROUP BY ALL)
 SELECT query_id, doc_id, score, rank FROM {_ranked('f', 5)}""")
 def retrieval_rrf(spark, sf):
-    queries, docs = _queries(spark, sf).where("embedding IS NOT NULL"), _docs(spark, sf)
-    lists = [r.vector_scores(queries, docs.where("embedding IS NOT NULL"), k=10), r.keyword_scores(_queries(spark, sf), docs, mode="short")]
+    queries, docs = _queries(spark, sf), _docs(spark, sf)
+    lists = [r.vector_scores(queries.where("embedding IS NOT NULL"), docs.where("embedding IS NOT NULL"), k=10), r.keyword_scores(queries, docs, mode="short")]
     return _long(r.rank_results(r.reciprocal_rank_fusion(lists), k=5))
 
 
@@ -176,7 +178,7 @@ t AS (SELECT * FROM {_ranked('kws', 10)}), w AS (SELECT query_id, doc_id, score,
 o AS (SELECT query_id, doc_id, round(round(score * CASE WHEN phrase THEN 1.2::DOUBLE ELSE 1 END, 6) * (1 + len(list_intersect(q, d)) * 0.1::DOUBLE), 6) AS score FROM w)
 SELECT query_id, doc_id, score, rank FROM {_ranked('o', 5)}""")
 def retrieval_rerank(spark, sf):
-    queries, docs = _queries(spark, sf), _docs(spark, sf)
+    queries, docs = _queries(spark, sf), _plain(spark, sf)
     top = r.rank_results(r.keyword_scores(queries, docs, mode="short"), k=10).drop("rank")
     return _long(r.rank_results(r.rerank(r.rerank(top, queries, docs), queries, docs, method="overlap"), k=5))
 
@@ -190,7 +192,7 @@ sc AS (SELECT query_id, doc_id, q, d, terms, len(list_filter(terms, lambda w: co
 c AS (SELECT query_id, doc_id, hits::DOUBLE AS score FROM sc WHERE hits > 0), f AS (SELECT query_id, doc_id, round(hits / len(terms) * 0.8::DOUBLE, 6) AS score FROM sc WHERE hits > 0)
 SELECT 'count' AS kind, query_id, doc_id, score, rank FROM {_ranked('c', 3)} UNION ALL SELECT 'fuzzy', query_id, doc_id, score, rank FROM {_ranked('f', 3)}""")
 def retrieval_substring(spark, sf):
-    queries, docs = _queries(spark, sf), _docs(spark, sf)
+    queries, docs = _queries(spark, sf), _plain(spark, sf)
     count = r.rank_results(r.substring_scores(queries, docs, scoring="count"), k=3)
     fuzzy = r.rank_results(r.substring_scores(queries, docs, scoring="fuzzy"), k=3)
     return _long(count).withColumn("kind", F.lit("count")).unionByName(_long(fuzzy).withColumn("kind", F.lit("fuzzy")))
@@ -202,7 +204,7 @@ sc AS (SELECT query_id, doc_id, n, sum(CASE WHEN contains(l, q) THEN 1 ELSE len(
 s AS (SELECT query_id, doc_id, round(least(1, t / n), 6) AS score FROM sc WHERE round(least(1, t / n), 6) > 0)
 SELECT query_id, doc_id, score, rank FROM {_ranked('s', 5)}""")
 def retrieval_lines(spark, sf):
-    scores = r.substring_scores(_queries(spark, sf), _docs(spark, sf), scoring="lines")
+    scores = r.substring_scores(_queries(spark, sf), _plain(spark, sf), scoring="lines")
     return _long(r.rank_results(scores, k=5))
 
 
@@ -211,7 +213,7 @@ f AS (SELECT query_id, doc_id, round(hits / len(terms) * 0.8::DOUBLE, 6) AS scor
 u AS (SELECT query_id, doc_id, coalesce(k.score, f.score) AS score FROM f FULL JOIN kws k USING (query_id, doc_id))
 SELECT query_id, doc_id, score, rank FROM {_ranked('u', 5)}""")
 def retrieval_combined_modes(spark, sf):
-    queries, docs = _queries(spark, sf), _docs(spark, sf)
+    queries, docs = _queries(spark, sf), _plain(spark, sf)
     lists = [r.keyword_scores(queries, docs, scoring="share"), r.substring_scores(queries, docs, scoring="fuzzy")]
     return _long(r.rank_results(r.combine_first(lists), k=5))
 
@@ -220,13 +222,13 @@ def retrieval_combined_modes(spark, sf):
 b AS (SELECT query_id, max(m) AS best FROM mm GROUP BY 1), s AS (SELECT query_id, doc_id, round(m / best, 6) AS score FROM mm JOIN b USING (query_id))
 SELECT query_id, doc_id, score, rank FROM {_ranked('s', 5)}""")
 def retrieval_similar(spark, sf):
-    return _long(r.similar_documents(_queries(spark, sf), _docs(spark, sf)))
+    return _long(r.similar_documents(_queries(spark, sf), _plain(spark, sf)))
 
 
 @query("retrieval_filtered", "R11 R13", _keyword_sql("short", "jaccard") + f"""
 SELECT query_id, doc_id, score, rank FROM {_ranked("(SELECT k.* FROM kws k JOIN documents d USING (doc_id) WHERE d.lang = 'en' AND d.doc_id % 2 = 0)", 5)}""")
 def retrieval_filtered(spark, sf):
-    return _long(r.retrieve(_queries(spark, sf), _docs(spark, sf), strategy="keyword", filters={"lang": "en", "seniority": "mid"}))
+    return _long(r.retrieve(_queries(spark, sf), _plain(spark, sf), strategy="keyword", filters={"lang": "en", "seniority": "mid"}))
 
 
 ITEM_SQL = P + """, it AS (
@@ -238,7 +240,7 @@ ITEM_SQL = P + """, it AS (
   UNION ALL SELECT cv_id, 'education', 'Education: ' || x.degree || ' ' || x.institution || ' ' || x.year FROM (SELECT cv_id, unnest(education) AS x FROM profiles))"""
 
 
-@query("retrieval_profile_documents", "R12 X19", ITEM_SQL + " SELECT cv_id, index_type, md5(content) AS content, md5(index_type || content[1:100]) AS content_key FROM it")
+@query("retrieval_profile_documents", "R12 X19", ITEM_SQL + " SELECT cv_id, index_type, md5(content) AS content, md5(index_type || content) AS content_key FROM it")
 def retrieval_profile_documents(spark, sf):
     return r.profile_documents(p.profiles(spark, sf)).select("cv_id", "index_type", F.md5("content").alias("content"), "content_key")
 

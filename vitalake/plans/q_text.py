@@ -110,19 +110,19 @@ SKILL_LEAD = (
 )
 
 
-@query("text_skill_lists", "X8", T + f""", s AS (SELECT doc_id, channel, unnest(string_split_regex(text, '[.]')) AS sentence, generate_subscripts(string_split_regex(text, '[.]'), 1) AS n FROM all_texts WHERE channel <> 'document'),
+@query("text_skill_lists", "X8", T + f""", s AS (SELECT doc_id, channel, unnest(string_split_regex(text, '[.]')) AS sentence, generate_subscripts(string_split_regex(text, '[.]'), 1) AS n FROM all_texts),
 c AS (SELECT doc_id, channel, n, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(trim(sentence), chr(10), ', '), '\\s+and\\s+', ', ', 'gi'), '[;/]+', ', ', 'g'),
   '\\s+(\\||-|&)\\s+', ', ', 'g'), '{SKILL_LEAD}', '', 'i') AS x FROM s)
 SELECT doc_id, channel, n, array_to_string(list_transform(list_filter(list_transform(string_split(x, ','), lambda y: trim(y)), lambda y: y <> ''), lambda y: rtrim(y, '.')), '|') AS items FROM c""")
 def text_skill_lists(spark, sf):
-    rows = tx.all_texts(spark, sf).where("channel <> 'document'").select("doc_id", "channel", F.posexplode(F.split("text", "[.]")).alias("n", "sentence"))
+    rows = tx.all_texts(spark, sf).select("doc_id", "channel", F.posexplode(F.split("text", "[.]")).alias("n", "sentence"))
     return rows.select(
         "doc_id", "channel", (F.col("n") + 1).cast("long").alias("n"), F.array_join(t.parse_skill_list(F.trim("sentence")), "|").alias("items")
     )
 
 
 @query("text_dictionaries", "X28 X29 E14", T + f"""
-SELECT doc_id, channel, concat_ws('|', {', '.join(f"CASE WHEN contains(lower(text), '{d}') THEN '{d.title()}' END" for d in t.DOMAINS if not d.startswith('e-') and d != 'ecommerce')}) AS plain_domains,
+SELECT doc_id, channel, concat_ws('|', {', '.join(f"CASE WHEN contains(lower(text), '{d}') THEN '{d.title()}' END" if d not in ('ecommerce', 'e-commerce') else "CASE WHEN contains(lower(text), 'ecommerce') OR contains(lower(text), 'e-commerce') THEN 'E-Commerce' END" for d in t.DOMAINS if d != 'e-commerce')}) AS plain_domains,
   concat_ws('|', CASE WHEN contains(lower(text), 'mysql') THEN 'MySQL' END, CASE WHEN contains(lower(text), 'postgres') THEN 'PostgreSQL' END,
     CASE WHEN contains(lower(text), 'oracle') THEN 'Oracle' END, CASE WHEN contains(lower(text), 'sql server') THEN 'SQL Server' END,
     CASE WHEN contains(lower(text), 'mongodb') THEN 'MongoDB' END, CASE WHEN contains(lower(text), 'db2') THEN 'DB2' END) AS databases,
@@ -135,7 +135,7 @@ FROM (SELECT *, coalesce(nullif(regexp_extract(lower(text), 'operating systems?[
 def text_dictionaries(spark, sf):
     c = F.col("text")
     return tx.all_texts(spark, sf).select(
-        "doc_id", "channel", F.array_join(F.filter(t.domains_in_text(c), lambda d: d != "E-Commerce"), "|").alias("plain_domains"),
+        "doc_id", "channel", F.array_join(t.domains_in_text(c), "|").alias("plain_domains"),
         F.array_join(t.databases_in_text(c), "|").alias("databases"), F.array_join(t.clouds_in_text(c), "|").alias("clouds"),
         F.array_join(t.systems_in_text(c), "|").alias("systems"),
     )
@@ -188,16 +188,15 @@ def text_weak_words(spark, sf):
 POWER = [w for words in t.POWER_WORDS.values() for w in words]
 
 
-@query("text_enhanced", "X24", T + f""", w AS (SELECT doc_id, channel, trim(text) AS o, {_weak_sql('trim(text)')} AS x, len({METRICS_SQL}) > 0 AS m FROM all_texts WHERE trim(text) <> ''),
+@query("text_enhanced", "X24", T + f""", w AS (SELECT doc_id, channel, trim(text) AS o, {_weak_sql('trim(text)')} AS x, len({METRICS_SQL}) > 0 AS m, text FROM all_texts),
 p AS (SELECT *, {_weak_count('o')} AS wk, NOT {_any('lower(x)', POWER)} AND NOT (upper(x[1]) = x[1] AND lower(x[1]) <> x[1]) AS add FROM w),
 q AS (SELECT *, CASE WHEN add THEN 'Achieved ' || x ELSE x END AS y FROM p),
 r AS (SELECT *, CASE WHEN contains(lower(y), 'implemented') AND NOT contains(lower(y), 'resulting in') THEN y || ' with measurable business impact' ELSE y END AS z FROM q),
 e AS (SELECT *, CASE WHEN NOT {_any('lower(z)', t.ROLE_KEYWORDS['architect'])} THEN z || ' demonstrating design' ELSE z END AS final FROM r)
-SELECT doc_id, channel, md5(final) AS enhanced, round(least(1, greatest(0, 1.0::DOUBLE - CASE WHEN m::INT + least(3, wk) + add::INT + 1 < 2 THEN 0.2::DOUBLE ELSE 0 END
-  - CASE WHEN length(final) > length(o) * 1.5 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN m THEN 0.1::DOUBLE ELSE 0 END)), 6) AS confidence FROM e""")
+SELECT doc_id, channel, md5(CASE WHEN o = '' THEN text ELSE final END) AS enhanced, CASE WHEN o = '' THEN 1 ELSE round(least(1, greatest(0, 1.0::DOUBLE - CASE WHEN m::INT + least(3, wk) + add::INT + 1 < 2 THEN 0.2::DOUBLE ELSE 0 END
+  - CASE WHEN length(final) > length(o) * 1.5 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN m THEN 0.1::DOUBLE ELSE 0 END)), 6) END AS confidence FROM e""")
 def text_enhanced(spark, sf):
-    texts = tx.all_texts(spark, sf).where(F.trim("text") != "")
-    return t.enhance_text(texts, role="architect").select("doc_id", "channel", F.md5("enhanced").alias("enhanced"), "confidence")
+    return t.enhance_text(tx.all_texts(spark, sf), role="architect").select("doc_id", "channel", F.md5("enhanced").alias("enhanced"), "confidence")
 
 
 @query("text_cleanup", "X34", T + ", c AS (SELECT doc_id, channel, trim(regexp_replace({}, '\\s+', ' ', 'g')) AS x FROM all_texts) "
@@ -249,7 +248,7 @@ def text_answer_features(spark, sf):
     return v.answers(spark, sf).select("session_id", "ordinal", f.pop("word_count").cast("long").alias("word_count"), *[c.alias(n) for n, c in f.items()])
 
 
-@query("text_locations_and_durations", "X9 X11 X12", T + """, l AS (SELECT doc_id, channel, unnest(string_split(text, '.')) AS s, generate_subscripts(string_split(text, '.'), 1) AS n FROM all_texts WHERE channel <> 'document'),
+@query("text_locations_and_durations", "X9 X11 X12", T + """, l AS (SELECT doc_id, channel, unnest(string_split(text, '.')) AS s, generate_subscripts(string_split(text, '.'), 1) AS n FROM all_texts),
 q AS (SELECT *, list_transform(string_split(s, ','), lambda x: trim(x)) AS ps, regexp_extract(trim(regexp_extract(lower(s), '(?s)^(.*?)year', 1)), '(\\S+)$', 1) AS yw,
   regexp_extract(trim(regexp_extract(lower(s), '(?s)^(.*?)month', 1)), '(\\S+)$', 1) AS mw FROM l),
 d AS (SELECT *, CASE WHEN regexp_matches(yw, '^[0-9]+$') THEN yw::INT ELSE 0 END AS y, CASE WHEN regexp_matches(mw, '^[0-9]+$') THEN mw::INT ELSE 0 END AS m FROM q)
@@ -257,13 +256,13 @@ SELECT doc_id, channel, n, ps[1] AS city, CASE WHEN len(ps) > 2 THEN ps[2] ELSE
   (y + m // 12)::INT AS years, (m % 12)::INT AS months,
   CASE WHEN regexp_matches(trim(s), '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$') THEN trim(s)::DOUBLE END AS number FROM d""")
 def text_locations_and_durations(spark, sf):
-    rows = tx.all_texts(spark, sf).where("channel <> 'document'").select("doc_id", "channel", F.posexplode(F.split("text", "[.]")).alias("n", "s"))
+    rows = tx.all_texts(spark, sf).select("doc_id", "channel", F.posexplode(F.split("text", "[.]")).alias("n", "s"))
     out = rows.withColumns({"l": t.location_parts(F.col("s")), "d": t.duration_parts(F.col("s")), "x": t.number_or_text(F.col("s"))})
     return out.select("doc_id", "channel", (F.col("n") + 1).cast("long").alias("n"), "l.city", "l.state", "l.country", "d.years", "d.months", "x.number")
 
 
 @query("text_ids", "X19", T + """
-SELECT doc_id, channel, md5(text)[1:16] AS content_id, md5(channel || text[1:100]) AS typed_id FROM all_texts""")
+SELECT doc_id, channel, md5(text)[1:16] AS content_id, md5(channel || text) AS typed_id FROM all_texts""")
 def text_ids(spark, sf):
     return tx.all_texts(spark, sf).select(
         "doc_id", "channel", t.content_id(F.col("text")).alias("content_id"), t.typed_id(F.col("channel"), F.col("text")).alias("typed_id")

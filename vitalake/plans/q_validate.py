@@ -294,7 +294,7 @@ ROLE_EXPR = "CASE cv_id % 3 WHEN 0 THEN 'solution_architect' WHEN 1 THEN 'projec
 @query("validate_role_required", "V16", P + f""", r AS (SELECT cv_id, {ROLE_EXPR} AS role, list_concat(
     CASE WHEN email <> '' THEN ['cloud_experience', 'tools_used'] ELSE [] END, CASE WHEN summary <> '' THEN ['business_outcomes', 'methodologies'] ELSE [] END) AS fields FROM profiles)
 SELECT cv_id, role, field FROM (SELECT cv_id, role, fields, unnest(string_split(CASE role
-  WHEN 'solution_architect' THEN '{dims.ROLE_REQUIRED_FIELDS["solution_architect"]}' ELSE '{dims.ROLE_REQUIRED_FIELDS["project_manager"]}' END, ' ')) AS field
+  WHEN 'solution_architect' THEN '{" ".join(dims.ROLE_REQUIRED_FIELDS["solution_architect"])}' ELSE '{" ".join(dims.ROLE_REQUIRED_FIELDS["project_manager"])}' END, ' ')) AS field
   FROM r WHERE role <> 'common') WHERE NOT list_contains(fields, field)""")
 def validate_role_required(spark, sf):
     present = p.profiles(spark, sf).select(

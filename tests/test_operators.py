@@ -4,14 +4,16 @@ import datetime as dt
 import itertools
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from vitalake.functions import arrays as A, text as T, values as V
 from vitalake.functions.json_rows import flatten_json
 from vitalake.functions.windows import number_rows, previous_row
-from vitalake.operators import audit, extract, merge, questionnaire as qn, retrieval, sessions, tracing, unmapped
+from vitalake.operators import audit, extract, mapping, merge, questionnaire as qn, retrieval, sessions, tracing, unmapped
 from vitalake.sources import readers
+from vitalake.streaming import jobs
 
 TS = dt.datetime(2024, 1, 1)
 
@@ -339,3 +341,75 @@ def test_state_changes_and_ranks(spark):
     assert one(spark, tracing.state_changes(before, after)) == ["modified_a", "added_b"]
     scores = spark.createDataFrame([(1, d, s) for d, s in itertools.product(range(5), [0.5])], "query_id long, doc_id long, score double")
     assert [r.doc_id for r in retrieval.rank_results(scores, k=3).orderBy("rank").collect()] == [0, 1, 2]
+
+
+def test_spans_in_a_cycle_end_without_root(spark):
+    rows = [(1, 2), (2, 1), (3, 3), (4, 1), (5, None), (6, 5), (7, 6), (8, 99)]
+    found = {r.span_id: (r.root_span_id, r.depth) for r in tracing.span_tree(spark.createDataFrame(rows, "span_id long, parent_span_id long")).collect()}
+    assert found == {1: (None, None), 2: (None, None), 3: (None, None), 4: (None, None), 5: (5, 0), 6: (5, 1), 7: (5, 2), 8: (8, 0)}
+
+
+def test_edit_log_has_the_value_before_each_edit(spark):
+    fields = spark.createDataFrame([(1, "a", "x")], "cv_id long, path string, value string")
+    edits = spark.createDataFrame(
+        [(1, "a", "b", TS, 1), (1, "a", "c", TS, 2), (1, "n", "d", TS, 3), (1, "n", None, TS, 4), (1, "n", "e", TS, 5)],
+        "cv_id long, path string, new_value string, edited_at timestamp_ntz, id long")
+    after, log = mapping.apply_edits(fields, edits)
+    assert {(r.path, r.value) for r in after.collect()} == {("a", "c"), ("n", "e")}
+    assert [(r.id, r.previous_value) for r in log.orderBy("id").collect()] == [(1, "x"), (2, "b"), (3, None), (4, "d"), (5, None)]
+
+
+def test_last_reviewer_mapping_wins_by_number(spark):
+    fields = spark.createDataFrame([], "cv_id long, path string, value string")
+    rows = [(1, n, "candidate.email", f"v{n}", "s", str(n)) for n in (2, 9, 10)]
+    after, _, _ = mapping.apply_reviewer_mappings(fields, spark.createDataFrame(rows, "cv_id long, ordinal long, target_path string, value string, source string, key string"))
+    assert [r.value for r in after.collect()] == ["v10"]
+
+
+def _batches(spark, folder, rows, schema, cut):
+    for i in range(0, len(rows), cut):
+        spark.createDataFrame(rows[i:i + cut], schema).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1 if cut < len(rows) else 100).parquet(folder)
+
+
+def test_streams_do_not_depend_on_the_batches(spark, tmp_path):
+    day = dt.datetime(2024, 1, 1)
+    updates = [("s", day + dt.timedelta(hours=9), False), ("s", day + dt.timedelta(hours=10), True), ("t", day, True), ("t", day + dt.timedelta(hours=1), False),
+               ("end", day + dt.timedelta(days=9), False)]
+    events = [(1, day), (2, day + dt.timedelta(days=3)), (3, day), (2, day + dt.timedelta(days=3)), (4, day + dt.timedelta(days=1)), (1, day)]
+    for cut in (1, 100):
+        out, state = str(tmp_path / f"out{cut}"), str(tmp_path / f"state{cut}")
+        stream = _batches(spark, str(tmp_path / f"u{cut}"), updates, "session_id string, created_at timestamp_ntz, exported boolean", cut)
+        jobs.write(jobs.session_expiry(stream, delay="30 days"), out, state, available_now=True).awaitTermination()
+        sink, seen = str(tmp_path / f"sink{cut}"), str(tmp_path / f"seen{cut}")
+        jobs.ingest_audit(_batches(spark, str(tmp_path / f"e{cut}"), events, "id long, created_at timestamp_ntz", cut), sink, seen, available_now=True).awaitTermination()
+        assert sorted(r.id for r in spark.read.parquet(sink).collect()) == [1, 2, 3, 4]
+
+
+def test_expiry_state_keeps_the_newest_update():
+    class State:
+        exists, hasTimedOut, value, at = False, False, None, None
+        get = property(lambda self: self.value)
+
+        def update(self, value):
+            self.exists, self.value = True, value
+
+        def setTimeoutTimestamp(self, at):
+            self.at = at
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+        def remove(self):
+            self.exists = False
+
+    day = pd.Timestamp("2024-01-01")
+    rows = [(day + pd.Timedelta(hours=9), False), (day + pd.Timedelta(hours=10), True), (day + pd.Timedelta(hours=8), False)]
+    whole = pd.DataFrame(rows, columns=["created_at", "exported"])
+    for cuts in ([whole], [whole[:1], whole[1:2], whole[2:]], [whole[2:], whole[:2]]):
+        state = State()
+        for part in cuts:
+            list(jobs._expire(("s",), iter([part]), state))
+        state.hasTimedOut = True
+        (done,) = jobs._expire(("s",), iter([]), state)
+        assert done["expires_at"][0] == day + pd.Timedelta(hours=16)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vitalake.functions import text as T
+from vitalake.functions.windows import previous_row
 from vitalake.operators.merge import SOURCE_ALIASES
 
 # Canonical path -> (source names in order, default). Callers may pass their own registry.
@@ -96,25 +97,30 @@ def canonical_source(source: Column) -> Column:
 def apply_edits(fields: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(fields after the last edit per path, change log with the value before each edit).
 
-    ``fields`` is (cv_id, path, value), ``edits`` (cv_id, path, new_value, edited_by, edited_at, reason).
+    ``fields`` is (cv_id, path, value), ``edits`` (cv_id, path, new_value, edited_by, edited_at, reason). Edits of
+    one instant follow by ``id`` where there is one, then by their other columns. The first edit of a path has the field's value before it.
     """
-    last = edits.groupBy("cv_id", "path").agg(F.max_by("new_value", "edited_at").alias("_new"))
+    named = [c for c in ("edited_at", "id") if c in edits.columns]
+    order = [*named, *sorted(set(edits.columns) - {"cv_id", "path", *named})]
+    last = edits.groupBy("cv_id", "path").agg(F.max_by("new_value", F.struct(*order)).alias("_new"))
     after = fields.join(last, ["cv_id", "path"], "full_outer").select("cv_id", "path", F.coalesce("_new", "value").alias("value"))
-    log = edits.join(fields.select("cv_id", "path", F.col("value").alias("previous_value")), ["cv_id", "path"], "left")
+    seen = previous_row(edits, ["cv_id", "path"], order, F.date_trunc("day", "edited_at"), F.struct("new_value"), "_before")
+    log = seen.join(fields.select("cv_id", "path", F.col("value").alias("_base")), ["cv_id", "path"], "left").withColumn(
+        "previous_value", F.when(F.col("_before").isNull(), F.col("_base")).otherwise(F.col("_before.new_value"))).drop("_before", "_base")
     return after, log
 
 
 def apply_reviewer_mappings(fields: DataFrame, mappings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(fields after mapping, counts per record, edit log).
 
-    ``mappings`` is (cv_id, target_path, value, source, key). Only allowed roots
-    with a value apply; text for a skills path becomes a list.
+    ``mappings`` is (cv_id, ordinal, target_path, value, source, key). Only allowed roots
+    with a value apply, the one of the highest ordinal last; text for a skills path becomes a list.
     """
     root = F.substring_index("target_path", ".", 1)
     checked = mappings.withColumn("applied", root.isin(ALLOWED_ROOTS) & (F.trim(F.coalesce("value", F.lit(""))) != ""))
     stored = F.when(root == "skills", F.array_join(T.parse_skill_list(F.col("value")), "|")).otherwise(F.trim("value"))
-    good = checked.where("applied").select("cv_id", F.col("target_path").alias("path"), stored.alias("_new"), "source", "key")
-    one = good.groupBy("cv_id", "path").agg(F.max_by("_new", "key").alias("_new"))
+    good = checked.where("applied").select("cv_id", F.col("target_path").alias("path"), stored.alias("_new"), "source", "key", "ordinal")
+    one = good.groupBy("cv_id", "path").agg(F.max_by("_new", F.struct("ordinal", "source", "key")).alias("_new"))
     after = fields.join(one, ["cv_id", "path"], "full_outer").select("cv_id", "path", F.coalesce("_new", "value").alias("value"))
     counts = checked.groupBy("cv_id").agg(
         F.count(F.when(F.col("applied"), 1)).alias("applied"), F.count(F.when(~F.col("applied"), 1)).alias("skipped")

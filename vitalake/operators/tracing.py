@@ -61,7 +61,8 @@ def span_tree(spans: DataFrame) -> DataFrame:
 
     Each round replaces a span's pointer by its ancestor's pointer, so the
     number of joins is the logarithm of the depth. A parent that is not in the
-    table makes its child a root.
+    table makes its child a root. Spans in a cycle, or below one, have no root:
+    after as many rounds as the number of spans allows they get nulls.
     """
     ids = spans.select(F.col("span_id").alias("parent_span_id"), F.lit(True).alias("_known"))
     links = spans.select("span_id", "parent_span_id").join(ids, "parent_span_id", "left")
@@ -71,6 +72,7 @@ def span_tree(spans: DataFrame) -> DataFrame:
         F.when(up.isNotNull(), 1).otherwise(0).cast("long").alias("depth"),
     )
     state = cut_lineage(state)
+    rounds = state.count().bit_length() + 1
     while True:
         above = state.select(
             F.col("span_id").alias("root_span_id"), F.col("root_span_id").alias("_top"), F.col("depth").alias("_more")
@@ -84,6 +86,9 @@ def span_tree(spans: DataFrame) -> DataFrame:
         state = step.drop("_moved")
         if step.where("_moved").isEmpty():
             return state
+        rounds -= 1
+        if rounds == 0:
+            return step.select("span_id", *[F.when(~F.col("_moved"), F.col(c)).alias(c) for c in ("root_span_id", "depth")])
 
 
 def model_price(model: Column, index: int) -> Column:

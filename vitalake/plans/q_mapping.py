@@ -262,16 +262,40 @@ def mapping_edits_applied(spark, sf):
     return m.apply_edits(_fields(spark, sf), _edits(spark, sf))[0]
 
 
+@query("mapping_edit_log", "M16", "WITH " + p.PROFILES + ",\n" + v.AUDIT_LOG + ",\n" + FIELD_ROWS + """,
+e AS (SELECT *, lag(new_value) OVER w AS before, row_number() OVER w AS n FROM ed WINDOW w AS (PARTITION BY cv_id, path ORDER BY edited_at, id))
+SELECT e.cv_id, e.path, e.id, new_value, CASE WHEN n = 1 THEN fl.value ELSE before END AS previous_value FROM e LEFT JOIN fl ON fl.cv_id = e.cv_id AND fl.path = e.path""")
+def mapping_edit_log(spark, sf):
+    return m.apply_edits(_fields(spark, sf), _edits(spark, sf))[1].select("cv_id", "path", "id", "new_value", "previous_value")
+
+
 @query("mapping_reviewer", "J21", "WITH " + v.AUDIT_LOG + """,
 mp AS (SELECT actor_user_id AS cv_id, CASE k % 3 WHEN 0 THEN 'candidate.email' WHEN 1 THEN 'skills.primarySkills' ELSE 'other.thing' END AS target_path, error_message AS value FROM audit_log)
 SELECT cv_id, count(*) FILTER (target_path <> 'other.thing' AND trim(coalesce(value, '')) <> '') AS applied,
   count(*) FILTER (target_path = 'other.thing' OR trim(coalesce(value, '')) = '') AS skipped FROM mp GROUP BY 1""")
 def mapping_reviewer(spark, sf):
-    rows = v.audit_log(spark, sf).selectExpr(
-        "actor_user_id AS cv_id", "CASE k % 3 WHEN 0 THEN 'candidate.email' WHEN 1 THEN 'skills.primarySkills' ELSE 'other.thing' END AS target_path",
+    return m.apply_reviewer_mappings(_fields(spark, sf), _mappings(spark, sf))[1]
+
+
+@query("mapping_reviewer_fields", "J21", "WITH " + p.PROFILES + ",\n" + v.AUDIT_LOG + ",\n" + FIELD_ROWS + """,
+mp AS (SELECT actor_user_id AS cv_id, id, CASE k % 3 WHEN 0 THEN 'candidate.email' WHEN 1 THEN 'skills.primarySkills' ELSE 'other.thing' END AS path, trim(error_message) AS value FROM audit_log)
+SELECT cv_id, path, value FROM fl UNION ALL SELECT cv_id, path, arg_max(value, id) FROM mp WHERE path <> 'other.thing' AND coalesce(value, '') <> '' GROUP BY 1, 2""")
+def mapping_reviewer_fields(spark, sf):
+    return m.apply_reviewer_mappings(_fields(spark, sf), _mappings(spark, sf))[0]
+
+
+@query("mapping_reviewer_log", "J21", "WITH " + v.AUDIT_LOG + """
+SELECT actor_user_id AS cv_id, CASE k % 3 WHEN 0 THEN 'candidate.email' ELSE 'skills.primarySkills' END AS field, trim(error_message) AS new_value,
+  'mapped from ' || module_name || '.' || id AS reason FROM audit_log WHERE k % 3 < 2 AND trim(coalesce(error_message, '')) <> ''""")
+def mapping_reviewer_log(spark, sf):
+    return m.apply_reviewer_mappings(_fields(spark, sf), _mappings(spark, sf))[2]
+
+
+def _mappings(spark, sf):
+    return v.audit_log(spark, sf).selectExpr(
+        "actor_user_id AS cv_id", "id AS ordinal", "CASE k % 3 WHEN 0 THEN 'candidate.email' WHEN 1 THEN 'skills.primarySkills' ELSE 'other.thing' END AS target_path",
         "error_message AS value", "module_name AS source", "CAST(id AS STRING) AS key",
     )
-    return m.apply_reviewer_mappings(_fields(spark, sf), rows)[1]
 
 
 @query("mapping_round_trip", "M18", P + " SELECT cv_id, full_name, email, phone, title, city, array_to_string(primary_skills, '|') AS primary_skills FROM profiles")

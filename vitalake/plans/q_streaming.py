@@ -21,7 +21,7 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
         "CASE WHEN user_id % 10 = 0 THEN NULL ELSE concat('user_', user_id) END AS actor_username",
         "CASE WHEN event_type = 'signup' THEN 'auth' ELSE 'other' END AS module_name",
         "CASE WHEN event_type = 'error' OR (event_type = 'signup' AND value < 50) THEN 'failed' ELSE 'success' END AS status",
-        "event_type = 'purchase' AS exported", "CAST(get_json_object(props, '$.k') AS INT) AS k", "ts AS created_at",
+        "CASE user_id % 3 WHEN 0 THEN 'web' WHEN 1 THEN 'mobile' ELSE 'api' END AS address", "event_type = 'purchase' AS exported", "CAST(get_json_object(props, '$.k') AS INT) AS k", "ts AS created_at",
     )
 
 
@@ -47,8 +47,8 @@ def stream_hourly_failures(spark, sf):
 
 
 @query("stream_login_abuse", "ST3", with_(v.AUDIT_LOG, """
-, w AS (SELECT coalesce(lower(actor_username), 'unknown') AS actor, (epoch_us(created_at) // 10000000 - unnest(range(0, 6))) * 10 AS s FROM audit_log WHERE module_name = 'auth' AND status = 'failed')
-SELECT actor, make_timestamp(s * 1000000) AS window_start, count(*) AS failures FROM w GROUP BY ALL
+, w AS (SELECT source_channel AS address, coalesce(lower(actor_username), 'unknown') AS actor, (epoch_us(created_at) // 10000000 - unnest(range(0, 6))) * 10 AS s FROM audit_log WHERE module_name = 'auth' AND status = 'failed')
+SELECT address, actor, make_timestamp(s * 1000000) AS window_start, count(*) AS failures FROM w GROUP BY ALL
 HAVING make_timestamp((s + 60) * 1000000) <= (SELECT max(created_at) FROM audit_log WHERE module_name = 'auth' AND status = 'failed') - INTERVAL 10 MINUTE""".replace("\n, w", ", w", 1)))
 def stream_login_abuse(spark, sf):
     out = _run(spark, jobs.login_abuse(_stream(spark, sf), threshold=1), "abuse")

@@ -31,13 +31,26 @@ def _start(df: DataFrame, path: str, checkpoint: str, *, available_now: bool, mo
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def ingest_audit(events: DataFrame, path: str, checkpoint: str, *, delay: str = DEFAULT_DELAY, available_now: bool = False) -> StreamingQuery:
-    """ST1, ST7: append new events once per id, partitioned by day.
+def ingest_audit(events: DataFrame, path: str, checkpoint: str, *, available_now: bool = False) -> StreamingQuery:
+    """ST1, ST7: append new events once per id, partitioned by day; an event may be any time late.
 
-    The state of seen ids is bounded by the watermark.
+    A batch is held against the ids of its own days in the sink, so no state is kept, no late row is lost, and a
+    batch that is run again after a failure adds nothing twice. Of rows with one id in a batch one is kept.
     """
-    once = _timed(events, delay).dropDuplicatesWithinWatermark(["id"]).withColumn("event_date", F.to_date("created_at"))
-    writer = once.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("event_date")
+    def append(batch: DataFrame, _batch_id: int) -> None:
+        new = batch.withColumn("created_at", F.col("created_at").cast("timestamp")).dropDuplicates(["id"]).withColumn("event_date", F.to_date("created_at"))
+        days = [r["event_date"] for r in new.select("event_date").distinct().collect()]
+        try:
+            there = batch.sparkSession.read.parquet(path)
+        except Exception as error:  # noqa: BLE001 - nothing written so far
+            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
+                raise
+        else:
+            same_days = F.col("event_date").isin([d for d in days if d is not None]) | F.col("event_date").isNull()
+            new = new.join(there.where(same_days).select("id"), "id", "left_anti")
+        new.write.mode("append").partitionBy("event_date").parquet(path)
+
+    writer = events.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
@@ -50,12 +63,13 @@ def hourly_failures(events: DataFrame, *, delay: str = DEFAULT_DELAY) -> DataFra
 
 
 def login_abuse(events: DataFrame, *, threshold: int = 10, delay: str = DEFAULT_DELAY) -> DataFrame:
-    """ST3: keys with many failed logins in a sliding minute (approximates the exact batch rate limit)."""
+    """ST3: address and user with many failed logins in a sliding minute (approximates the exact batch rate limit)."""
     failed = _timed(events, delay).where("module_name = 'auth' AND status = 'failed'")
+    address, actor = F.coalesce("address", F.lit("unknown")).alias("address"), F.coalesce(F.lower("actor_username"), F.lit("unknown")).alias("actor")
     return (
-        failed.groupBy(F.window("created_at", "60 seconds", "10 seconds"), F.coalesce(F.lower("actor_username"), F.lit("unknown")).alias("actor"))
+        failed.groupBy(F.window("created_at", "60 seconds", "10 seconds"), address, actor)
         .agg(F.count(F.lit(1)).alias("failures")).where(F.col("failures") >= threshold)
-        .select("actor", F.col("window.start").alias("window_start"), "failures")
+        .select("address", "actor", F.col("window.start").alias("window_start"), "failures")
     )
 
 
@@ -66,27 +80,39 @@ def write(df: DataFrame, path: str, checkpoint: str, *, available_now: bool = Fa
 
 def _expire(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Per session: keep the newest update time and whether it was an export; emit once when its time is over."""
+    def end(newest: int, exported: bool) -> int:
+        return newest + (EXPORT_TTL_HOURS if exported else TTL_HOURS) * 3_600_000
+
     if state.hasTimedOut:
-        (expires,) = state.get
+        expires = end(*state.get)
         state.remove()
         yield pd.DataFrame({"session_id": [key[0]], "expires_at": [pd.Timestamp(expires, unit="ms")]})
         return
-    expires = state.get[0] if state.exists else 0
+    newest, exported = state.get if state.exists else (-(2**62), False)
     for batch in batches:
-        hours = batch["exported"].map({True: EXPORT_TTL_HOURS, False: TTL_HOURS}).astype("int64")
-        newest = batch["created_at"].idxmax()
-        expires = max(expires, batch["created_at"][newest].value // 1_000_000 + int(hours[newest]) * 3_600_000)
-    state.update((expires,))
-    state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
+        rows = batch.dropna(subset=["created_at"])
+        if rows.empty:
+            continue
+        last = rows["created_at"].max()
+        at, by_export = last.value // 1_000_000, bool(rows.loc[rows["created_at"] == last, "exported"].fillna(False).astype(bool).any())
+        if at > newest:
+            newest, exported = at, by_export
+        elif at == newest:
+            exported = exported or by_export
+    if newest == -(2**62):
+        return
+    state.update((newest, exported))
+    state.setTimeoutTimestamp(max(end(newest, exported), state.getCurrentWatermarkMs() + 1))
 
 
 def session_expiry(updates: DataFrame, *, delay: str = DEFAULT_DELAY) -> DataFrame:
     """ST4: (session_id, expires_at) when event time passes 24 h after the last update, or 6 h after an export.
 
-    ``updates`` is (session_id, created_at, exported). The state is one number per open session.
+    ``updates`` is (session_id, created_at, exported). The state per open session is its newest update time and
+    whether that was an export, so the result does not depend on how updates are cut into batches.
     """
     return _timed(updates, delay).groupBy("session_id").applyInPandasWithState(
-        _expire, "session_id string, expires_at timestamp", "expires_ms long", "append", GroupStateTimeout.EventTimeTimeout
+        _expire, "session_id string, expires_at timestamp", "newest_ms long, exported boolean", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -127,8 +153,9 @@ def upsert_sessions(updates: DataFrame, path: str, checkpoint: str, *, available
 
 
 def newest_state(spark: SparkSession, path: str) -> DataFrame:
-    """State of the last finished batch of a folding job."""
+    """State of the last finished batch of a folding job; a folder without ``_SUCCESS`` was left half-written."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop)
-    batches = [int(s.getPath().getName().split("=")[1]) for s in found if s.getPath().getName().startswith("batch=")]
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [s.getPath() for s in files.listStatus(hadoop) if files.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    batches = [int(p.getName().split("=")[1]) for p in done if p.getName().startswith("batch=")]
     return spark.read.parquet(f"{path}/batch={max(batches)}")

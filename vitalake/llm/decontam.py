@@ -45,19 +45,20 @@ class Walk:
         """Keys (one row per sample) of the windows that start at ``at``; all must fit into ``symbols``."""
         out = np.full((len(self.places), at.size), self.seed + 1, np.uint64)
         last = max(max(p) for p in self.places)
-        place, limit = at.copy(), at + self.size
-        padded = np.append(symbols, np.uint64(0))
+        place, limit = at.astype(np.intp), at + self.size
+        padded = np.append(symbols, np.zeros(last + 1, np.uint64))
         for step in range(last + 1):
             if step % 64 == 0:
-                bits = vec.seeded(padded, 1000 * self.seed + step // 64)
+                coins = vec.seeded(padded, 1000 * self.seed + step // 64)
+            if step % 8 == 0:
+                bits = (coins >> np.uint64(step % 64)).astype(np.uint8)
             wanted = [k for k, p in enumerate(self.places) if step in p]
             if wanted:
-                symbol = np.where(place < limit, padded[place], np.uint64(0))
+                symbol = np.where(place < limit, padded[place], np.uint64(0))  # nothing follows a window's end
                 for k in wanted:
                     out[k] = (out[k] ^ symbol) * np.uint64(0x9E3779B97F4A7C15)
                     out[k] ^= out[k] >> np.uint64(29)
-            move = (bits[place] >> np.uint64(step % 64)) & np.uint64(1)
-            place += (move.astype(bool) & (place < limit)).astype(np.int64)
+            place += (bits[place] >> np.uint8(step % 8)) & np.uint8(1)
         return out
 
 
@@ -104,6 +105,8 @@ def index(items: list[np.ndarray], walks: int, samples: int, width: int) -> list
 def _candidates(hashes: np.ndarray, lo: np.ndarray, hi: np.ndarray, classes: list[SizeClass]) -> np.ndarray:
     """Rows ``(document, item, word at which the item would start)``, each once."""
     found = []
+    items = 1 + max((int(owner.max(initial=0)) for c in classes for _, owner, _ in c.tables), default=0)
+    words_in_all = hashes.size + 1
     for c in classes:
         many = np.maximum(0, (hi - lo - c.size) // c.stride + 1) * (hi - lo >= c.size)
         doc = np.repeat(np.arange(lo.size), many)
@@ -119,9 +122,11 @@ def _candidates(hashes: np.ndarray, lo: np.ndarray, hi: np.ndarray, classes: lis
                 maybe = np.flatnonzero(flags[(keys >> np.uint64(48)).astype(np.int64)])
                 x, y = np.searchsorted(known, keys[maybe]), np.searchsorted(known, keys[maybe], side="right")
                 rows = vec.ranges(x, y - x)
-                window = np.repeat(maybe, y - x)
-                found.append(np.stack([doc[window], owner[rows], at[window] - lo[doc[window]] - offset[rows]], 1))
-    return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), np.int64)
+                start = np.repeat(at[maybe], y - x) - offset[rows] + words_in_all  # may lie before the block
+                found.append((start * items + owner[rows]) * lo.size + np.repeat(doc[maybe], y - x))
+    codes = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+    doc, rest = codes % max(lo.size, 1), codes // max(lo.size, 1)
+    return np.stack([doc, rest % items, rest // items - words_in_all - lo[doc]], 1)
 
 
 def best_match(item: list[int], text: list[int]) -> tuple[int, int]:
@@ -149,7 +154,7 @@ def best_match(item: list[int], text: list[int]) -> tuple[int, int]:
 
 def find_leaks(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    max_share: float = 0.2, walks: int = 2, samples: int = 4, width: int = 5, items_per_block: int = 5000,
+    max_share: float = 0.2, walks: int = 3, samples: int = 4, width: int = 8, items_per_block: int = 5000,
 ) -> DataFrame:
     """Rows ``(id, item, item_words, distance, start_word)``: items within ``max_share`` of their words of a stretch of the text.
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from vitalake.llm import vec
-from vitalake.session import cut_lineage
+from vitalake.session import fresh_path
 
 #: Document frequencies are counted by hashed shingle, over all documents, in so many cells: a rare shingle gets the
 #: frequency of its cell, the same share of the corpus at any size, and only frequent ones stand out.
@@ -23,6 +23,13 @@ CELLS = 1 << 16
 _tables: dict[str, np.ndarray] = {}
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: later steps neither compute it again nor guess its size."""
+    path = fresh_path(df.sparkSession, "near")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingle hashes by document (sorted within it), their counts, and the documents' offsets."""
     starts, _, hashes = vec.word_hashes(data, offsets[:-1])
@@ -150,13 +157,11 @@ def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray
 
 
 def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, size: int) -> DataFrame:
-    """``(_a, _b, similarity)`` of the pairs ``(_a, _b)``, exactly. Texts meet by two equi-joins; the text of a
+    """``(_a, _b, similarity)`` of the pairs ``(_a, _b)``, exactly; ``texts`` has one row ``(_id, _text)`` per id. Texts meet by two equi-joins; the text of a
     document with many partners is shuffled once, and the partners' rows of a hot one can be split."""
     shared = pairs.sparkSession.sparkContext.broadcast(idf)
-    ends = pairs.select(F.explode(F.array("_a", "_b")).alias("_id")).distinct()
-    own = texts.select("_id", "_text").join(ends, "_id", "left_semi")
-    both = pairs.join(own.select(F.col("_id").alias("_b"), F.col("_text").alias("_tb")), "_b").join(
-        own.select(F.col("_id").alias("_a"), F.col("_text").alias("_ta")), "_a").select("_a", "_b", "_ta", "_tb")
+    both = pairs.join(texts.select(F.col("_id").alias("_b"), F.col("_text").alias("_tb")), "_b").join(
+        texts.select(F.col("_id").alias("_a"), F.col("_text").alias("_ta")), "_a").select("_a", "_b", "_ta", "_tb")
 
     def weighed(text: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         data = np.frombuffer(text, np.uint8)
@@ -179,20 +184,94 @@ def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, size: int) -> Da
     return both.mapInArrow(run, f"_a {kind}, _b {kind}, similarity double")
 
 
+def linkable(texts: DataFrame, ids: DataFrame, idf: np.ndarray, size: int, threshold: float) -> DataFrame:
+    """Those of ``ids`` that can have a link among each other: a text of which more than ``1 - threshold`` of the
+    weight is in shingles that none of the others has is less similar to all of them. Counted by aggregates alone."""
+    shared = texts.sparkSession.sparkContext.broadcast(idf)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            data, offsets = vec.utf8(batch.column(1))
+            for a, b in vec.blocks(offsets):
+                keys, counts, bounds = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
+                doc = np.repeat(np.arange(b - a), np.diff(bounds))
+                weights = counts * table[cell_of(keys)]
+                # one more row per text, under a key of its own, carries its whole weight
+                own = vec.seeded(batch.column(0).to_numpy()[a:b].astype(np.uint64), 1 << 20)
+                whole = np.bincount(doc, weights=weights, minlength=b - a)
+                ids_here = batch.column(0).take(pa.array(np.concatenate([doc, np.arange(b - a)]) + a))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate([keys, own]).view(np.int64)), ids_here, pa.array(np.concatenate([weights, np.zeros(b - a)])),
+                    pa.array(np.concatenate([np.zeros(keys.size), whole]))], names=["_k", "_id", "_w", "_all"])
+
+    rows = texts.join(ids, "_id", "left_semi").select("_id", "_text").mapInArrow(run, "_k long, _id long, _w double, _all double")
+    single = rows.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_id"), F.max("_w").alias("_w"), F.max("_all").alias("_all")).where("_n = 1")
+    alone = single.groupBy("_id").agg(F.sum("_w").alias("_alone"), F.max("_all").alias("_all"))
+    return ids.join(alone.where(F.col("_alone") > (1 - threshold + 1e-9) * F.col("_all")), "_id", "left_anti")
+
+
+def across(members: DataFrame, texts: DataFrame, idf: np.ndarray, size: int, threshold: float, samples: int, block: int = 400) -> DataFrame:
+    """Links between bucket members ``(_key, _id, _class, _marks, _bands)`` of different classes.
+
+    A bucket is cut into blocks by a hash of the id, and each pair of blocks is a task's group, so a group holds
+    ``2 * block`` texts or so whatever the bucket's size, and pairs that are no links never leave their task. A
+    pair of several buckets is looked at in that of its first common band; pairs that share fewer than half of
+    their samples are passed over (for a similarity of 0.8 less than one in 100,000).
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(idf)
+    sizes = members.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_y")
+    dealt = members.join(sizes, "_key").withColumn("_x", F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int")).select("*", other).join(texts, "_id")
+    grouped = dealt.groupBy("_key", F.least("_x", "_y").alias("_i"), F.greatest("_x", "_y").alias("_j"))
+
+    def run(table: pa.Table) -> pa.Table:
+        idf_here = shared.value
+        ids, label, x, key = (table[c].to_numpy() for c in ("_id", "_class", "_x", "_key"))
+        marks = np.stack(table["_marks"].to_pylist()) if ids.size else np.empty((0, samples))
+        buckets = np.stack(table["_bands"].to_pylist()) if ids.size else np.empty((0, 1))
+        data, offsets = vec.utf8(table["_text"].cast(pa.large_string()))
+        weighed: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def of(i: int) -> tuple[np.ndarray, np.ndarray]:
+            if i not in weighed:
+                part = data[offsets[i] : offsets[i + 1]]
+                keys, counts, _ = shingles(part, np.array([0, part.size]), size)
+                weighed[i] = keys, counts * idf_here[cell_of(keys)]
+            return weighed[i]
+
+        twins = x.min(initial=0) == x.max(initial=0)  # one block against itself: each pair once
+        out = []
+        for i in range(ids.size):
+            mates = np.flatnonzero((label != label[i]) & ((ids > ids[i]) if twins else (x > x[i])))
+            mates = mates[(marks[mates] == marks[i]).sum(1) * 2 >= samples]
+            common = buckets[mates] == buckets[i]
+            mates = mates[buckets[i][common.argmax(1)] == key[i]] if mates.size else mates
+            for j in mates.tolist():
+                likeness = similarity(of(i), of(j))
+                if likeness >= threshold:
+                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j]), likeness))
+        a, b, c = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table({"_a": pa.array(a, pa.int64()), "_b": pa.array(b, pa.int64()), "similarity": pa.array(c, pa.float64())})
+
+    return grouped.applyInArrow(run, "_a long, _b long, similarity double")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``(_v, _class)``: each linked vertex with the smallest one of its component. Every round points all vertices
-    at their smallest neighbour and contracts the links, so rounds follow the logarithm of the longest chain."""
-    edges = cut_lineage(links.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).where("_a <> _b").distinct())
+    at their smallest neighbour and contracts the links, so rounds follow the logarithm of the longest chain. The
+    state between rounds is a table in the shared folder."""
+    edges = kept(links.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).where("_a <> _b").distinct())
     labels = edges.select(F.explode(F.array("_a", "_b")).alias("_v")).distinct().withColumn("_class", F.col("_v"))
     while not edges.isEmpty():
         ways = edges.select(F.explode(F.array(F.struct(F.col("_a").alias("_f"), F.col("_b").alias("_t")), F.struct(F.col("_b").alias("_f"), F.col("_a").alias("_t")))).alias("e")).select("e.*")
         parent = ways.groupBy("_f").agg(F.min("_t").alias("_t")).select("_f", F.least("_f", "_t").alias("_t"))
         up = parent.select(F.col("_f").alias("_t"), F.col("_t").alias("_u"))
-        parent = cut_lineage(parent.join(up, "_t").select("_f", F.col("_u").alias("_t")))
-        labels = cut_lineage(labels.join(parent, labels["_class"] == parent["_f"], "left").select("_v", F.coalesce("_t", "_class").alias("_class")))
+        parent = kept(parent.join(up, "_t").select("_f", F.col("_u").alias("_t")))
+        labels = kept(labels.join(parent, labels["_class"] == parent["_f"], "left").select("_v", F.coalesce("_t", "_class").alias("_class")))
         for end in ("_a", "_b"):
             edges = edges.join(parent, edges[end] == parent["_f"]).drop(end, "_f").withColumnRenamed("_t", end)
-        edges = cut_lineage(edges.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).where("_a <> _b").distinct())
+        edges = kept(edges.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).where("_a <> _b").distinct())
     return labels
 
 
@@ -203,9 +282,8 @@ def classes(
 
     Two texts are linked if their weighted Jaccard is ``threshold`` or more; classes are the components of the
     links. Equal texts are one text from the start, whose smallest id stands for all. In each band bucket every
-    text is verified against the bucket's first; texts that are then still in different classes, and share half of
-    their samples, are verified against each other, so no pair that met in a band is passed over for a bucket's
-    size. At the defaults a pair of similarity 0.8 meets with probability 0.9998. ``n_links`` counts the verified
+    text is verified against three leaders (first, last, and one by hash). Texts that are then still in different
+    classes are verified against each other if they can be linked (``linkable``), block by block (``across``), so no pair that met in a band is passed over for a bucket's size. At the defaults a pair of similarity 0.8 meets with probability 0.9998. ``n_links`` counts the verified
     links of a row's text to other texts (pairs inside one class that were not needed are not verified).
 
     Words are lower-cased runs without white space. A text without words (null, empty, blank) is a class of its
@@ -213,29 +291,31 @@ def classes(
     out with null classes unless an equal or near text has an id. Texts cross a shuffle for verification only.
     """
     base = docs.select(F.col(id_col).alias("_id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"))
-    texts = base.withColumn("_copy", F.md5(F.col("_text").cast("binary"))).select("_id", "_copy", "_text")
+    texts = base.withColumn("_id", F.col("_id").cast("long")).withColumn("_copy", F.md5(F.col("_text").cast("binary"))).select("_id", "_copy", "_text")
     idf = idf_table(texts.select("_id", "_text"), size)
-    signed = cut_lineage(signatures(texts, idf, size, bands, rows))
-    firsts = cut_lineage(signed.where(F.col("_id").isNotNull()).groupBy("_copy").agg(
+    signed = kept(signatures(texts, idf, size, bands, rows))
+    firsts = kept(signed.where(F.col("_id").isNotNull()).groupBy("_copy").agg(
         F.min("_id").alias("_id"), F.max("_marks").alias("_marks"), F.max("_bands").alias("_bands")))
     met = firsts.select("_id", F.explode("_bands").alias("_key"))
-    leaders = met.groupBy("_key").agg(F.min("_id").alias("_a"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-    star = met.join(leaders, "_key").where(F.col("_id") > F.col("_a"))
-    links = cut_lineage(verify(star.select("_a", F.col("_id").alias("_b")).distinct(), texts, idf, size).where(F.col("similarity") >= threshold))
+    drawn = F.min_by("_id", F.xxhash64("_key", "_id"))
+    leaders = met.groupBy("_key").agg(F.array_distinct(F.array(F.min("_id"), F.max("_id"), drawn)).alias("_leaders"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    star = met.join(leaders, "_key").select("_key", "_id", "_n", F.explode("_leaders").alias("_a")).where(F.col("_id") != F.col("_a"))
+    pairs = star.select(F.least("_a", "_id").alias("_a"), F.greatest("_a", "_id").alias("_b")).distinct()
+    # the texts that share a bucket, taken from the corpus once for all steps below
+    own = kept(texts.select("_id", "_text").join(star.select("_id").union(star.select("_a")).distinct(), "_id", "left_semi").dropDuplicates(["_id"]))
+    links = kept(verify(pairs, own, idf, size).where(F.col("similarity") >= threshold))
     found = components(links)
 
-    # what a bucket's first did not link: members of other classes, against each other
-    placed = star.where(F.col("_n") > 2).select("_key", "_id", "_a").join(found, F.col("_id") == F.col("_v"), "left").select(
+    # what the leaders did not link: members of other classes, against each other
+    placed = met.join(leaders.where(F.col("_n") > 2).select("_key"), "_key").join(found, F.col("_id") == F.col("_v"), "left").select(
         "_key", "_id", F.coalesce("_class", "_id").alias("_class"))
     mixed = placed.groupBy("_key").agg(F.min("_class").alias("_x"), F.max("_class").alias("_y")).where(F.col("_x") != F.col("_y")).select("_key")
-    rest = placed.join(mixed, "_key", "left_semi").join(firsts.select("_id", "_marks"), "_id")
-    left, right = (rest.select("_key", F.col("_id").alias(f"_{x}"), F.col("_class").alias(f"_c{x}"), F.col("_marks").alias(f"_m{x}")) for x in "ab")
-    alike = F.aggregate(F.zip_with("_ma", "_mb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    more = cut_lineage(left.join(right, "_key").where(
-        (F.col("_a") < F.col("_b")) & (F.col("_ca") != F.col("_cb")) & (alike * 2 >= bands * rows)).select("_a", "_b").distinct())
-    if not more.isEmpty():
-        extra = verify(more, texts, idf, size).where(F.col("similarity") >= threshold)
-        links = cut_lineage(links.unionByName(extra))
+    open_ones = kept(placed.join(mixed, "_key", "left_semi"))
+    able = kept(linkable(own, open_ones.select("_id").distinct(), idf, size, threshold))
+    rest = open_ones.join(able, "_id").join(firsts, "_id").select("_key", "_id", "_class", "_marks", "_bands")
+    extra = kept(across(rest, own, idf, size, threshold, bands * rows))
+    if not extra.isEmpty():
+        links = kept(links.unionByName(extra))
         found = components(links)
 
     degree = links.select(F.explode(F.array("_a", "_b")).alias("_v")).groupBy("_v").agg(F.count(F.lit(1)).alias("n_links"))

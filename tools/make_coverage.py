@@ -11,7 +11,7 @@ sys.path.insert(0, str(ROOT))
 from vitalake.plans.catalog import ENTRIES  # noqa: E402
 
 LIBRARY = {
-    "S4": "sources.readers.read_sessions_json", "S5": "sources.readers.write_sessions_json", "S8": "operators.retrieval.save_index / load_index",
+    "S4": "sources.readers.read_sessions_json", "S5": "sources.readers.write_sessions_json", "S6": "sources.readers.decode_sessions", "S8": "operators.retrieval.save_index / load_index",
     "S9": "operators.tracing.export_spans", "S11": "sources.readers.schema_guard",
 }
 

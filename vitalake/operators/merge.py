@@ -225,8 +225,9 @@ def conflict_report(candidates: DataFrame, winners: DataFrame, *, key: str = "cv
 
 
 def consensus_vote(candidates: DataFrame, *, key: str = "cv_id") -> DataFrame:
-    """Modal value, its share, and the adjusted mean confidence per (record, path).
+    """Modal value, its share, the adjusted mean confidence, and whether (and why) a person should verify it.
 
+    A field is to be verified for ``confidence`` below 0.7, else ``consensus`` below 0.5, else fewer than two ``results``.
     Votes are counted per value first, so the second step sees one row per distinct value.
     """
     per_value = candidates.groupBy(key, "field_path", "value").agg(
@@ -238,10 +239,11 @@ def consensus_vote(candidates: DataFrame, *, key: str = "cv_id") -> DataFrame:
     )
     consensus = F.col("top") / F.col("total")
     mean = F.col("conf") / F.col("total")
+    adjusted = F.when(consensus > 0.5, F.least(F.lit(1.0), mean * (1 + 0.2 * consensus))).otherwise(mean)
+    reason = F.when(adjusted < 0.7, "confidence").when(consensus < 0.5, "consensus").when(F.col("total") < 2, "results")
     return out.select(
-        key, "field_path", "value",
-        F.round(consensus, 6).alias("consensus"),
-        F.round(F.when(consensus > 0.5, F.least(F.lit(1.0), mean * (1 + 0.2 * consensus))).otherwise(mean), 6).alias("confidence"),
+        key, "field_path", "value", F.round(consensus, 6).alias("consensus"), F.round(adjusted, 6).alias("confidence"),
+        reason.isNotNull().alias("needs_verification"), reason.alias("verification_reason"),
     )
 
 
@@ -310,3 +312,20 @@ def merge_duplicate_entries(
     merged = cut.groupBy(*group).agg(*aggs)
     rest = [c for c in merged.columns if not c.startswith("_") and c != record]
     return merged.select(record, "_first.*", *rest)
+
+
+def restore_from_snapshots(records: DataFrame, fields: list[str], *, snapshots: str = "snapshots") -> DataFrame:
+    """Empty fields (blank text, empty list, null) take the first snapshot's value that is not empty.
+
+    ``snapshots`` is an array of structs with the same fields, oldest first; a null or empty array restores nothing.
+    """
+    types = dict(records.dtypes)
+
+    def there(value: Column, name: str) -> Column:
+        return F.coalesce(F.size(value) > 0, F.lit(False)) if types[name].startswith("array") else F.coalesce(F.trim(value) != "", F.lit(False))
+
+    def restored(name: str) -> Column:
+        past = F.filter(F.transform(snapshots, lambda s: s[name]), lambda x: there(x, name))
+        return F.when(there(F.col(name), name), F.col(name)).otherwise(F.coalesce(F.get(past, F.lit(0)), F.col(name)))
+
+    return records.withColumns({name: restored(name) for name in fields})

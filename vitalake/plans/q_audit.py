@@ -195,7 +195,7 @@ def sessions_event_paths(spark, sf):
     )
 
 
-@query("sessions_integrity", "F20 S6", with_(v.SESSIONS, """
+@query("sessions_integrity", "F20", with_(v.SESSIONS, """
 , odd AS (SELECT session_id, CASE WHEN user_id % 13 = 0 THEN 0 ELSE version END AS version,
     CASE WHEN user_id % 11 = 0 THEN 'paused' ELSE status END AS status, created_at,
     CASE WHEN user_id % 7 = 0 THEN created_at - INTERVAL 1 HOUR ELSE last_updated_at END AS last_updated_at,

@@ -162,7 +162,7 @@ def merge_richer_summary(spark, sf):
     )
 
 
-@query("merge_strategies", "M13 M14 M15 M17 M19", PP + PAIRS_SQL + """
+@query("merge_strategies", "M13 M14 M17 M19", PP + PAIRS_SQL + """
 SELECT cv_id, coalesce(nullif(o.title, ''), nullif(n.title, '')) AS questionnaire_wins,
   coalesce(nullif(n.title, ''), nullif(o.title, '')) AS extracted_wins,
   coalesce(nullif(o.organization, ''), n.organization) AS fill_gap,
@@ -290,8 +290,12 @@ def merge_conflicts(spark, sf):
 @query("merge_consensus", "A15", CAND_SQL + """
 , votes AS (SELECT cv_id, field_path, value, count(*) AS n, sum(coalesce(confidence, 0.5::DOUBLE)) AS c, min(position) AS f FROM cands GROUP BY ALL)
 SELECT cv_id, field_path, arg_max(value, n * 100 - f) AS value, round(max(n) / sum(n), 6)::DOUBLE AS consensus,
-  round(CASE WHEN max(n) / sum(n) > 0.5 THEN least(1.0::DOUBLE, sum(c) / sum(n) * (1 + 0.2::DOUBLE * max(n) / sum(n))) ELSE sum(c) / sum(n) END, 6) AS confidence
-FROM votes GROUP BY ALL""".replace("\n, votes", ", votes", 1))
+  round(CASE WHEN max(n) / sum(n) > 0.5 THEN least(1.0::DOUBLE, sum(c) / sum(n) * (1 + 0.2::DOUBLE * max(n) / sum(n))) ELSE sum(c) / sum(n) END, 6) AS confidence,
+  reason IS NOT NULL AS needs_verification, reason AS verification_reason
+FROM (SELECT *, CASE WHEN sure < 0.7 THEN 'confidence' WHEN share < 0.5 THEN 'consensus' WHEN total < 2 THEN 'results' END AS reason FROM (
+  SELECT *, max(n) OVER w / sum(n) OVER w AS share, sum(n) OVER w AS total,
+    CASE WHEN max(n) OVER w / sum(n) OVER w > 0.5 THEN least(1.0::DOUBLE, sum(c) OVER w / sum(n) OVER w * (1 + 0.2::DOUBLE * max(n) OVER w / sum(n) OVER w)) ELSE sum(c) OVER w / sum(n) OVER w END AS sure
+  FROM votes WINDOW w AS (PARTITION BY cv_id, field_path))) GROUP BY ALL""".replace("\n, votes", ", votes", 1))
 def merge_consensus(spark, sf):
     cands = _candidates(spark, sf).withColumn("confidence", F.coalesce("confidence", F.lit(0.5)))
     return merge.consensus_vote(cands)
@@ -405,7 +409,7 @@ def _sightings(spark, sf):
     return unmapped.attribute_rows(_payloads(spark, sf), "payload", source=F.col("src"))
 
 
-@query("unmapped_leaves", "X1 X3 X4 X5 X7 M27 P5", LEAVES_SQL + """
+@query("unmapped_leaves", "X1 X3 X4 X5 M27 P5", LEAVES_SQL + """
 SELECT cv_id, source, label AS original_label, lower(trim(label)) AS normalized_label, 'legacy' AS source_section, path AS source_path,
   value, value_type, seen_at FROM leaves""")
 def unmapped_leaves(spark, sf):
@@ -493,3 +497,15 @@ SELECT count(*) AS records, round(avg(precision), 6) AS precision, round(avg(rec
   round(avg(validation_pass_rate), 6) AS validation_pass_rate FROM m""")
 def quality_corpus(spark, sf):
     return quality.corpus_quality(quality_metrics(spark, sf))
+
+
+@query("merge_snapshot_restore", "M15", "WITH " + p.PROFILES + """
+SELECT cv_id, CASE WHEN trim(title) <> '' THEN title WHEN cv_id % 3 = 0 THEN 'first' ELSE coalesce(nullif(trim(organization), ''), title) END AS title,
+  array_to_string(CASE WHEN len(primary_skills) > 0 THEN primary_skills WHEN len(secondary_skills) > 0 THEN secondary_skills ELSE primary_skills END, '|') AS primary_skills FROM profiles""")
+def merge_snapshot_restore(spark, sf):
+    none = F.array().cast("array<string>")
+    records = p.profiles(spark, sf).withColumn("snapshots", F.array(
+        F.struct(F.when(F.col("cv_id") % 3 == 0, "first").alias("title"), none.alias("primary_skills")),
+        F.struct(F.trim("organization").alias("title"), F.col("secondary_skills").alias("primary_skills"))))
+    out = merge.restore_from_snapshots(records, ["title", "primary_skills"])
+    return out.select("cv_id", "title", F.array_join("primary_skills", "|").alias("primary_skills"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vitalake.functions import text as t
+from vitalake.functions import text as t, values as V
 from vitalake.plans import profiles as p, texts as tx, views as v
 from vitalake.plans.registry import query
 
@@ -299,3 +299,13 @@ def text_flat_skills(spark, sf):
         F.lit("primary"), F.col("primary_skills"), F.lit("secondary"), F.col("secondary_skills"), F.lit("tools"), F.array(F.lit(" "), F.lit(" x "))
     )
     return p.profiles(spark, sf).select("cv_id", F.array_join(t.skills_flatten(groups), "|").alias("skills"))
+
+
+@query("text_truthy", "X7", T + """
+SELECT doc_id, channel, trim(coalesce(text, '')) <> '' AS text_set, length(text) % 3 <> 0 AS number_set, len(list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: true)) > 0 AS list_set,
+  doc_id % 2 = 0 AS flag_set FROM all_texts""")
+def text_truthy(spark, sf):
+    numbers = F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))
+    return tx.all_texts(spark, sf).select(
+        "doc_id", "channel", V.truthy(F.col("text"), "string").alias("text_set"), V.truthy(F.length("text") % 3, "number").alias("number_set"),
+        V.truthy(numbers, "array").alias("list_set"), V.truthy(F.col("doc_id") % 2 == 0, "boolean").alias("flag_set"))

@@ -55,7 +55,7 @@ def _operation(op: str, errors: str, warnings: str, can_export: str) -> None:
 SELECT cv_id, '{op}' AS operation, completeness, missing_mandatory, missing_recommended, errors, warnings, true AS can_save, can_export,
   can_export AND completeness >= 70 AS export_ready, nullif(split_part(errors, '|', 1), '') AS blocked_reason FROM ce"""
 
-    @query(f"validate_{op}", "V1 V17" if op == "save" else "V1", sql)
+    @query(f"validate_{op}", "V1", sql)
     def run(spark, sf):
         out = val.validate(p.profiles(spark, sf), op)
         joined = {c: F.array_join(c, "|") for c in ("missing_mandatory", "missing_recommended", "errors", "warnings")}
@@ -428,3 +428,13 @@ def validate_progress(spark, sf):
         "CAST((k % 20) / 20D AS DOUBLE) AS score",
     )
     return val.validation_progress(runs, bucket=F.date_trunc("day", "run_at"))
+
+
+@query("validate_questionnaire_thresholds", "V17", "WITH " + p.PROFILES + """,
+w AS (SELECT cv_id, len(list_filter(regexp_split_to_array(summary, '\\s+'), lambda x: x <> '')) AS n, len(primary_skills) AS k,
+  len(list_filter(list_transform(projects, lambda q: len(list_filter(regexp_split_to_array(q.name, '\\s+'), lambda x: x <> ''))), lambda c: c < 12)) > 0 AS o FROM profiles)
+SELECT cv_id, concat_ws('|', CASE WHEN n < 20 THEN 'minimum_summary_word_count' END, CASE WHEN k < 5 THEN 'minimum_skill_count' END,
+  CASE WHEN o THEN 'minimum_business_outcome_word_count' END) AS missed FROM w""")
+def validate_questionnaire_thresholds(spark, sf):
+    records = p.profiles(spark, sf).withColumn("outcomes", F.transform("projects", lambda q: q["name"]))
+    return records.select("cv_id", F.array_join(val.below_thresholds(records), "|").alias("missed"))

@@ -187,7 +187,7 @@ def test_spans_against_brute_force(spark):
             parts.insert(rng.randrange(4), rng.choice(passages))
         rows.append((i, rng.choice([" ", "\n", "  \n "]).join(parts)))
     rows += [(300, rows[7][1]), (301, None), (302, ""), (303, " \n "), (304, "The. Er. The. Er. " * 200)]
-    got = {r["doc_id"]: (r["text"], r["n_sentences"], r["n_removed"]) for r in spans.remove_repeated_spans(_docs(spark, rows).withColumn("n_removed", F.lit("clash"))).collect()}
+    got = {r["doc_id"]: (r["text"], r["n_sentences"], r["n_removed"]) for r in spans.remove_repeated_spans(_docs(spark, rows).withColumn("n_removed", F.lit("clash")), long_sentence=None).collect()}
     want = _brute_spans(rows)
     assert {k: v for k, v in got.items() if v != want[k]} == {}
     assert got[300][0] == "" and sum(v[2] for v in got.values()) > 50
@@ -196,6 +196,19 @@ def test_spans_against_brute_force(spark):
     assert spans.remove_repeated_spans(_docs(spark, [])).count() == 0
 
 
+def test_spans_in_text_without_stop_marks(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("bdkmnaeiou") for _ in range(5))
+    passage = " ".join(word() for _ in range(120))
+    rows = [(i, f"{' '.join(word() for _ in range(40))} {passage} {' '.join(word() for _ in range(40))}") for i in range(5)] + [(9, "of " * 2000)]
+    got = {r["doc_id"]: r["text"].split() for r in spans.remove_repeated_spans(_docs(spark, rows)).collect()}
+    assert got[0] == rows[0][1].split() and len(got[9]) <= 150
+    middle = passage.split()[30:90]
+    for i in range(1, 5):
+        own = rows[i][1].split()
+        assert not set(middle) & set(got[i]) and set(own[:20]) <= set(got[i]) and set(own[-20:]) <= set(got[i])
+
+
 # --- op4 -------------------------------------------------------------------------------------------------------------
 
 def _brute_suffix(rows, size):

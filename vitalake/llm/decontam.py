@@ -162,8 +162,8 @@ def find_leaks(
     is no shuffle, hence no hot key. Items are broadcast in blocks of about ``items_per_block``, so a large
     benchmark costs passes over the documents and never memory. Exact copies are always found; with the default
     walks and samples recall is above 0.95 where a tenth of an item's words is changed. Null or empty texts and items match
-    nothing; items with equal ids and different texts each count, equal rows once per document. No table may be
-    empty to work: the result is then empty.
+    nothing; items with equal ids and different texts each count, equal rows once per document. Either table may
+    be empty: so is the result then.
     """
     spark = docs.sparkSession
     whole = isinstance(items.schema[item_col].dataType, T.IntegralType)

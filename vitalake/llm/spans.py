@@ -3,6 +3,9 @@
 Every run of several consecutive sentences is hashed: from each sentence on, and back from each sentence, the
 shortest run with at least ``min_sentences`` sentences and ``min_words`` words. Runs are joined over all documents
 by their hash; sentences that any run covers which is not the first of its kind are removed.
+
+Text without stop marks would be one sentence, and a repeated passage inside it no run. A sentence of more than
+``long_sentence`` words is therefore cut where a word's hash says so, in the same places in each copy.
 """
 
 from __future__ import annotations
@@ -15,13 +18,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from vitalake.llm import vec
 
+#: One word in so many ends a piece of a long sentence.
+CUT_EVERY = 8
 STOP = np.zeros(256, bool)
 STOP[[ord(c) for c in ".!?"]] = True
 
 
-def sentence_words(data: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sentence_words(data: np.ndarray, doc_starts: np.ndarray, long_sentence: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word starts, word hashes, and the index of each sentence's first word. A sentence ends with a word that
-    ends in a stop mark, with a line, or with its document."""
+    ends in a stop mark, with a line, or with its document; a long one also by hash, and where no hash cuts it for
+    four times that length (one word over and over), after every ``long_sentence`` words."""
     starts, ends, hashes = vec.word_hashes(data, doc_starts)
     if starts.size == 0:
         return starts, hashes, starts
@@ -29,6 +35,17 @@ def sentence_words(data: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray
     first = np.ones(starts.size, bool)
     first[1:] = STOP[data[ends[:-1] - 1]] | (lines[starts[1:]] > lines[ends[:-1]])
     first[np.searchsorted(starts, doc_starts[doc_starts <= starts[-1]])] = True
+    if long_sentence is None:
+        return starts, hashes, np.flatnonzero(first)
+
+    def sized() -> tuple[np.ndarray, np.ndarray]:
+        begin = np.flatnonzero(first)
+        length = np.diff(np.append(begin, starts.size))
+        return np.repeat(begin, length), np.repeat(length, length)
+
+    first[1:] |= (sized()[1][1:] > long_sentence) & (hashes[:-1] % np.uint64(CUT_EVERY) == 0)
+    begin, length = sized()
+    first |= (length > 4 * long_sentence) & ((np.arange(starts.size) - begin) % long_sentence == 0)
     return starts, hashes, np.flatnonzero(first)
 
 
@@ -51,8 +68,8 @@ def runs(first: np.ndarray, n_words: int, lo: np.ndarray, hi: np.ndarray, min_se
 class Block:
     """The sentences and runs of a block of documents."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, min_sentences: int, min_words: int):
-        self.starts, hashes, self.first = sentence_words(data, offsets[:-1])
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, min_sentences: int, min_words: int, long_sentence: int | None):
+        self.starts, hashes, self.first = sentence_words(data, offsets[:-1], long_sentence)
         n = self.first.size
         begins = self.starts[self.first] if n else self.starts
         self.lo, self.hi = vec.per_doc(begins, offsets[:-1], offsets[1:])
@@ -93,6 +110,7 @@ class Block:
 
 def remove_repeated_spans(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 2, min_words: int = 15,
+    long_sentence: int | None = 25,
 ) -> DataFrame:
     """``docs`` with the text rewritten, and ``n_sentences``, ``n_removed`` added; one row per input row.
 
@@ -111,7 +129,7 @@ def remove_repeated_spans(
             data, offsets = vec.utf8(batch.column(1))
             for a, b in vec.blocks(offsets):
                 part, local = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                owner, keys = Block(part, local, min_sentences, min_words).firsts()
+                owner, keys = Block(part, local, min_sentences, min_words, long_sentence).firsts()
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner + a)), pa.array(keys)], names=["_id", "_h"])
 
     slim = docs.where(F.col(id_col).isNotNull()).select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
@@ -132,7 +150,7 @@ def remove_repeated_spans(
             total, removed = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for a, b in vec.blocks(offsets):
                 part, local = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                block = Block(part, local, min_sentences, min_words)
+                block = Block(part, local, min_sentences, min_words, long_sentence)
                 for i in range(b - a):
                     lost = block.covered(i, values[ends[a + i] : ends[a + i + 1]])
                     total[a + i], removed[a + i] = lost.size, lost.sum()

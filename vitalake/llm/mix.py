@@ -66,7 +66,7 @@ def mix(
     """The mix in draws: ``(id, source, size, source_size, target, epoch, finish, taken, offset)``.
 
     ``taken`` are the words of the document in this epoch, ``offset`` its place (in words) in the mix; rows that
-    take nothing are kept, so each document has ``max_epochs`` rows. Nulls: a null text has size 0, null sources
+    take nothing (offset null) are kept, so each document has ``max_epochs`` rows. Nulls: a null text has size 0, null sources
     are one source, the last. Repeated rows count each. The order of a source is that of md5(id), so reruns agree;
     rows with one id follow by size. An empty table gives no rows. Only ids, sources and sizes are shuffled.
     """
@@ -83,12 +83,15 @@ def mix(
     ).withColumns({
         "finish": F.when(F.col("target") > 0, (F.col("_start") + F.col("size")) / F.col("target")).otherwise(0.0),
         "_served": F.greatest(F.lit(0), F.least(F.col("size"), F.floor(F.col("target") - F.col("_start")))),
-    }).withColumn("_time", F.least(F.lit(slices), F.floor(F.col("finish") * slices)).cast("int")).withColumn("_all", F.lit(0))
+    }).withColumns({
+        # draws after the cut take nothing and shift no one: any slice will do, so they are spread
+        "_time": F.when(F.col("_served") > 0, F.least(F.lit(slices), F.floor(F.col("finish") * slices)).cast("int")).otherwise(F.col("_slice")), "_all": F.lit(0),
+    })
     ordered = running_sum(draws, ["_all"], "_time", ["finish", *SOURCE, "epoch", "_order", "_id", "size"], "_served", "offset")
     room = F.greatest(F.lit(0), F.floor(F.col("_budget")) - F.col("offset"))
     return ordered.select(
         F.col("_id").alias(id_col), F.col("_source").alias(source_col), "size", "source_size", "target", "epoch", "finish",
-        F.least(F.col("_served"), room).cast("long").alias("taken"), "offset",
+        F.least(F.col("_served"), room).cast("long").alias("taken"), F.when(F.col("_served") > 0, F.col("offset")).alias("offset"),
     )
 
 

@@ -137,6 +137,37 @@ def test_leaks_planted_and_clean(spark):
     assert decontam.find_leaks(_docs(spark, rows[:3]), spark.createDataFrame([], "item_id int, text string")).count() == 0
 
 
+def _edited(rng, words, edits, kind):
+    out = list(words)
+    for k in range(edits):
+        at = rng.randrange(len(out))
+        how = kind if kind != "mixed" else rng.choice(["swap", "add", "drop"])
+        if how == "add":
+            out.insert(at, f"new{k}")
+        elif how == "drop":
+            del out[at]
+        else:
+            out[at] = f"new{k}"
+    return out
+
+
+def test_leaks_with_as_many_edits_as_a_match_may_have(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("bdkmnaeiou") for _ in range(6))
+    items, rows = [], []
+    for n in (3, 5, 9, 15, 16, 24, 30, 31, 59):
+        for kind in ("swap", "add", "drop", "mixed"):
+            for _ in range(10):
+                item = [word() for _ in range(n)]
+                around = [[word() for _ in range(rng.randrange(60))] for _ in range(2)]
+                rows.append((len(items), " ".join([*around[0], *_edited(rng, item, n // 5, kind), *around[1]])))
+                items.append((len(items), " ".join(item)))
+    got = decontam.find_leaks(_docs(spark, rows), spark.createDataFrame(items, "item_id int, text string")).collect()
+    found = {r["item_id"]: r["distance"] for r in got if r["doc_id"] == r["item_id"]}
+    assert [(i, len(t.split())) for i, t in items if i not in found] == []
+    assert all(found[i] <= len(t.split()) // 5 for i, t in items)
+
+
 # --- op3 -------------------------------------------------------------------------------------------------------------
 
 def _brute_spans(rows, least=2, words=15):

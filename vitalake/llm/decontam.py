@@ -6,6 +6,9 @@ apart, because two walks that an edit drives apart soon meet again. Sampling a f
 locality-sensitive hash for that distance; several walks and samples reach the target recall. Windows have the
 size of the items: items are classed by length, and every copy of an item holds a window that starts at a multiple
 of the class's stride. Pairs that meet are verified by the exact edit distance between item and text.
+
+The walks sample, and lose copies with many edits. An item is therefore also cut into one piece more than a match
+may have edits: at least one piece stands unchanged in every match, so looking up all pieces loses none.
 """
 
 from __future__ import annotations
@@ -102,7 +105,40 @@ def index(items: list[np.ndarray], walks: int, samples: int, width: int) -> list
     return classes
 
 
-def _candidates(hashes: np.ndarray, lo: np.ndarray, hi: np.ndarray, classes: list[SizeClass]) -> np.ndarray:
+@dataclass(frozen=True)
+class Pieces:
+    """Pieces of ``size`` words of the items: sorted keys, items, offsets, and the key heads that occur."""
+
+    size: int
+    known: np.ndarray
+    owner: np.ndarray
+    offset: np.ndarray
+    heads: np.ndarray
+
+
+def pieces(items: list[np.ndarray], max_share: float) -> list[Pieces]:
+    """Every item cut evenly into one piece more than ``max_share`` of its words, by size of the pieces."""
+    rows: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+    for i, item in enumerate(items):
+        if item.size == 0:
+            continue
+        n_pieces = min(int(max_share * item.size) + 1, item.size)
+        bounds = np.arange(n_pieces + 1) * item.size // n_pieces
+        keys = vec.Prefix(item).segments(bounds[:-1], bounds[1:])
+        for size in np.unique(np.diff(bounds)).tolist():
+            own = np.diff(bounds) == size
+            rows.setdefault(size, []).append((keys[own], np.full(own.sum(), i), bounds[:-1][own]))
+    out = []
+    for size, parts in rows.items():
+        known, owner, offset = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(known, kind="stable")
+        heads = np.zeros(1 << 20, bool)
+        heads[(known >> np.uint64(44)).astype(np.int64)] = True
+        out.append(Pieces(size, known[order], owner[order], offset[order], heads))
+    return out
+
+
+def _candidates(hashes: np.ndarray, lo: np.ndarray, hi: np.ndarray, classes: list[SizeClass], parts: list[Pieces]) -> np.ndarray:
     """Rows ``(document, item, word at which the item would start)``, each once."""
     found = []
     items = 1 + max((int(owner.max(initial=0)) for c in classes for _, owner, _ in c.tables), default=0)
@@ -124,6 +160,18 @@ def _candidates(hashes: np.ndarray, lo: np.ndarray, hi: np.ndarray, classes: lis
                 rows = vec.ranges(x, y - x)
                 start = np.repeat(at[maybe], y - x) - offset[rows] + words_in_all  # may lie before the block
                 found.append((start * items + owner[rows]) * lo.size + np.repeat(doc[maybe], y - x))
+    sums = vec.Prefix(hashes) if parts else None
+    for p in parts:
+        at = np.arange(max(0, hashes.size - p.size + 1))
+        keys = sums.segments(at, at + p.size)
+        maybe = np.flatnonzero(p.heads[(keys >> np.uint64(44)).astype(np.int64)])
+        doc = np.searchsorted(hi, maybe, side="right")
+        inside = maybe + p.size <= hi[doc]
+        maybe, doc = maybe[inside], doc[inside]
+        x, y = np.searchsorted(p.known, keys[maybe]), np.searchsorted(p.known, keys[maybe], side="right")
+        rows = vec.ranges(x, y - x)
+        start = np.repeat(maybe, y - x) - p.offset[rows] + words_in_all
+        found.append((start * items + p.owner[rows]) * lo.size + np.repeat(doc, y - x))
     codes = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
     doc, rest = codes % max(lo.size, 1), codes // max(lo.size, 1)
     return np.stack([doc, rest % items, rest // items - words_in_all - lo[doc]], 1)
@@ -160,8 +208,8 @@ def find_leaks(
 
     One row per document row and item, the smallest distance (then the earliest start). Whole texts are read; there
     is no shuffle, hence no hot key. Items are broadcast in blocks of about ``items_per_block``, so a large
-    benchmark costs passes over the documents and never memory. Exact copies are always found; with the default
-    walks and samples recall is above 0.95 where a tenth of an item's words is changed. Null or empty texts and items match
+    benchmark costs passes over the documents and never memory. Every match is found, at any number of edits up to
+    ``max_share`` and any item length. Null or empty texts and items match
     nothing; items with equal ids and different texts each count, equal rows once per document. Either table may
     be empty: so is the result then.
     """
@@ -177,10 +225,10 @@ def find_leaks(
     def one_block(rows: list) -> DataFrame:
         ids = [r["_item"] for r in rows]
         sequences = [words(np.frombuffer(r["_text"].encode(), np.uint8), np.array([0]))[1] for r in rows]
-        shared = spark.sparkContext.broadcast((ids, sequences, index(sequences, walks, samples, width)))
+        shared = spark.sparkContext.broadcast((ids, sequences, index(sequences, walks, samples, width), pieces(sequences, max_share)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, known, classes = shared.value
+            names, known, classes, parts = shared.value
             lists = [x.tolist() for x in known]
             sets = [set(x) for x in lists]
             for batch in batches:
@@ -190,7 +238,7 @@ def find_leaks(
                     part, local = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                     starts, hashes = words(part, local[:-1])
                     lo, hi = vec.per_doc(starts, local[:-1], local[1:])
-                    for doc, item, start in _candidates(hashes, lo, hi, classes).tolist():
+                    for doc, item, start in _candidates(hashes, lo, hi, classes, parts).tolist():
                         n = len(lists[item])
                         slack = int(max_share * n)
                         x, y = max(0, start - slack), min(int(hi[doc] - lo[doc]), start + n + slack)

@@ -240,6 +240,39 @@ def test_spans_in_text_without_stop_marks(spark):
         assert not set(middle) & set(got[i]) and set(own[:20]) <= set(got[i]) and set(own[-20:]) <= set(got[i])
 
 
+def test_no_repeated_run_of_51_words_stays(spark):
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("bdkmnaeiou") for _ in range(6))
+
+    def prose(n):  # sentences of up to 25 words, which are not cut
+        out = []
+        while len(out) < n:
+            out += [word() for _ in range(rng.randint(6, 25))]
+            out[-1] += "."
+        return out[:n]
+
+    middle = [word() for _ in range(15)] + [word() + "."]
+    passages = [prose(n) for n in (51, 51, 52, 60, 75, 120, 300)] + [[word() for _ in range(18)] + [word() + "."] + middle + [word() for _ in range(20)]]
+    passages += [[word() for _ in range(22)] + [word() + "."] + [word() for _ in range(24)] + [word() + "."] + [word() for _ in range(22)]]
+    rows, own = [], {}
+    for i in range(90):
+        before, after = prose(rng.randint(20, 90)), prose(rng.randint(20, 90))
+        before[-1] = before[-1].rstrip(".")  # the passage starts inside a sentence, and is followed by one's rest
+        words = [*before, *passages[i % len(passages)], *after]
+        own[i] = {*before, *after}
+        rows.append((i, "".join(w + ("\n" if rng.random() < 0.03 else " ") for w in words)))
+    got = {r["doc_id"]: r for r in spans.remove_repeated_spans(_docs(spark, rows)).collect()}
+    seen, repeated = set(), []
+    for i, text in rows:
+        words = got[i]["text"].split()
+        grams = {tuple(words[k:k + 51]) for k in range(len(words) - 50)}
+        repeated += [i] * bool(grams & seen)
+        seen |= grams
+        assert own[i] <= set(words)
+        assert (got[i]["text"] == text) == (i < len(passages)) == (got[i]["n_removed"] == 0)
+    assert repeated == []
+
+
 # --- op4 -------------------------------------------------------------------------------------------------------------
 
 def _brute_suffix(rows, size):

@@ -6,6 +6,10 @@ by their hash; sentences that any run covers which is not the first of its kind
 
 Text without stop marks would be one sentence, and a repeated passage inside it no run. A sentence of more than
 ``long_sentence`` words is therefore cut where a word's hash says so, in the same places in each copy.
+
+A passage may also start and end inside sentences and hold no two whole ones. Grams of ``GRAM`` words are therefore
+hashed wherever they stand, and winnowed: of the grams in each stretch of ``passage`` words the one of the smallest
+hash joins the runs, so every repeated stretch of that length has a gram that is picked in each copy.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ from vitalake.llm import vec
 
 #: One word in so many ends a piece of a long sentence.
 CUT_EVERY = 8
+#: Words of a winnowed gram: what a passage across sentence bounds loses at a time.
+GRAM = 30
 STOP = np.zeros(256, bool)
 STOP[[ord(c) for c in ".!?"]] = True
 
@@ -65,27 +71,59 @@ def runs(first: np.ndarray, n_words: int, lo: np.ndarray, hi: np.ndarray, min_se
     return codes // n, codes % n
 
 
+def winnowed(sums: vec.Prefix, lo: np.ndarray, hi: np.ndarray, gram: int, passage: int) -> np.ndarray:
+    """First words of the grams that have the smallest hash in some stretch of ``passage`` words of a document.
+    ``lo`` and ``hi``: each document as a range of words."""
+    n, wide = int(hi.max(initial=0)) - passage + 1, passage - gram + 1  # stretches, and the grams of each
+    if n <= 0:
+        return np.empty(0, np.int64)
+    at = np.arange(n + wide - 1)
+    hashes = sums.segments(at, at + gram)
+
+    def slide(values: np.ndarray, pick: np.ufunc) -> np.ndarray:
+        step = 1
+        while 2 * step <= wide:
+            values = pick(values[:-step], values[step:])
+            step *= 2
+        return pick(values[: values.size - (wide - step)], values[wide - step :])
+
+    many = np.maximum(0, hi - lo - passage + 1)
+    inside = np.zeros(n, bool)
+    inside[vec.ranges(lo, many)] = True
+    least = np.where(inside, slide(hashes, np.minimum), np.uint64(0))
+    rim = np.zeros(wide - 1, np.uint64)
+    most = slide(np.concatenate([rim, least, rim]), np.maximum)
+    return np.flatnonzero((hashes == most) & (most > 0))
+
+
 class Block:
-    """The sentences and runs of a block of documents."""
+    """The sentences and runs of a block of documents; runs are ranges of words."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, min_sentences: int, min_words: int, long_sentence: int | None):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, min_sentences: int, min_words: int, long_sentence: int | None, passage: int):
         self.starts, hashes, self.first = sentence_words(data, offsets[:-1], long_sentence)
         n = self.first.size
         begins = self.starts[self.first] if n else self.starts
         self.lo, self.hi = vec.per_doc(begins, offsets[:-1], offsets[1:])
-        self.begins = begins
-        self.doc = np.repeat(np.arange(offsets.size - 1), self.hi - self.lo)
+        self.word_lo, self.word_hi = vec.per_doc(self.starts, offsets[:-1], offsets[1:])
         if n == 0:
             self.a = self.b = np.empty(0, np.int64)
             self.keys = np.empty(0, np.int64)
             return
-        self.a, self.b = runs(self.first, self.starts.size, self.lo[self.doc], self.hi[self.doc], min_sentences, min_words)
+        of = np.repeat(np.arange(offsets.size - 1), self.hi - self.lo)
+        a, b = runs(self.first, self.starts.size, self.lo[of], self.hi[of], min_sentences, min_words)
         bounds = np.append(self.first, self.starts.size)
-        self.keys = vec.Prefix(hashes).segments(bounds[self.a], bounds[self.b + 1]).view(np.int64)
+        a, b = bounds[a], bounds[b + 1]
+        sums = vec.Prefix(hashes)
+        if long_sentence is not None:
+            at = winnowed(sums, self.word_lo, self.word_hi, min(GRAM, passage), passage)
+            a, b = np.append(a, at), np.append(b, at + min(GRAM, passage))
+        codes = np.unique(a * np.int64(self.starts.size + 1) + b)
+        self.a, self.b = codes // (self.starts.size + 1), codes % (self.starts.size + 1)
+        self.keys = sums.segments(self.a, self.b).view(np.int64)
 
     def firsts(self) -> tuple[np.ndarray, np.ndarray]:
         """Documents and keys of the runs, each key once per document."""
-        docs = self.doc[self.a]
+        docs = np.searchsorted(self.word_hi, self.a, side="right")
         order = np.lexsort((self.keys, docs))
         docs, keys = docs[order], self.keys[order]
         new = np.ones(docs.size, bool)
@@ -93,9 +131,9 @@ class Block:
         return docs[new], keys[new]
 
     def covered(self, doc: int, repeated: np.ndarray) -> np.ndarray:
-        """Which sentences of a document are removed: those in a run that other documents had before, or that the
+        """Which words of a document are removed: those in a run that other documents had before, or that the
         document itself had before."""
-        lo, hi = self.lo[doc], self.hi[doc]
+        lo, hi = self.word_lo[doc], self.word_hi[doc]
         x, y = np.searchsorted(self.a, [lo, hi])
         keys = self.keys[x:y]
         seen = np.ones(keys.size, bool)
@@ -104,19 +142,21 @@ class Block:
         gone = seen | np.isin(keys, repeated)
         marks = np.zeros(hi - lo + 1, np.int64)
         np.add.at(marks, self.a[x:y][gone] - lo, 1)
-        np.add.at(marks, self.b[x:y][gone] - lo + 1, -1)
+        np.add.at(marks, self.b[x:y][gone] - lo, -1)
         return np.cumsum(marks)[:-1] > 0
 
 
 def remove_repeated_spans(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 2, min_words: int = 15,
-    long_sentence: int | None = 25,
+    long_sentence: int | None = 25, passage: int = 51,
 ) -> DataFrame:
     """``docs`` with the text rewritten, and ``n_sentences``, ``n_removed`` added; one row per input row.
 
-    The first of equal runs is the one with the smallest id, then the earliest start. Words are compared exactly,
+    A stretch of ``passage`` words that an earlier document has never stays whole, wherever it starts and ends; up to
+    ``passage - GRAM`` words may stay at either end of it. With ``long_sentence`` None only runs of sentences count.
+    ``n_removed`` counts the sentences that lose words. The first of equal runs is the one with the smallest id, then the earliest start. Words are compared exactly,
     white space is not. Rows of one id count as one document: they are no repeats of each other, and each loses
-    the runs that an earlier document has. Null texts stay null, texts without a removed sentence stay as they
+    the runs that an earlier document has. Null texts stay null, texts that lose nothing stay as they
     are. Only ``(hash, id)`` of each run is shuffled, with the smallest id per hash combined before the shuffle,
     so that a passage of many documents is no hot key; the removed hashes come back to their documents by id.
     Columns named like the two added ones are replaced; others are kept.
@@ -129,7 +169,7 @@ def remove_repeated_spans(
             data, offsets = vec.utf8(batch.column(1))
             for a, b in vec.blocks(offsets):
                 part, local = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                owner, keys = Block(part, local, min_sentences, min_words, long_sentence).firsts()
+                owner, keys = Block(part, local, min_sentences, min_words, long_sentence, passage).firsts()
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner + a)), pa.array(keys)], names=["_id", "_h"])
 
     slim = docs.where(F.col(id_col).isNotNull()).select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
@@ -150,15 +190,16 @@ def remove_repeated_spans(
             total, removed = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for a, b in vec.blocks(offsets):
                 part, local = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                block = Block(part, local, min_sentences, min_words, long_sentence)
+                block = Block(part, local, min_sentences, min_words, long_sentence, passage)
                 for i in range(b - a):
                     lost = block.covered(i, values[ends[a + i] : ends[a + i + 1]])
-                    total[a + i], removed[a + i] = lost.size, lost.sum()
+                    total[a + i] = block.hi[i] - block.lo[i]
                     own = part[local[i] : local[i + 1]]
                     if not lost.any():
                         out[a + i] = own.tobytes().decode()
                         continue
-                    begins = block.begins[block.lo[i] : block.hi[i]] - local[i]
+                    removed[a + i] = np.logical_or.reduceat(lost, block.first[block.lo[i] : block.hi[i]] - block.word_lo[i]).sum()
+                    begins = block.starts[block.word_lo[i] : block.word_hi[i]] - local[i]
                     stay = np.ones(own.size, bool)
                     stay[begins[0] :] = np.repeat(~lost, np.diff(np.append(begins, own.size)))
                     out[a + i] = own[stay].tobytes().decode().strip()

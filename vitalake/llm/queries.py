@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vitalake.llm import chat, decontam, divergence, langid, mix, nearcopy, sketch, spans, suffix, tokens, warc
+from vitalake.llm import chat, decontam, divergence, langid, lexical, mix, nearcopy, sketch, spans, suffix, tokens, warc
 from vitalake.session import fresh_path
 
 #: Tokenizer files of the installation; a parameter of the operator.
@@ -69,9 +69,13 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_load(spark, sf_dir, "documents"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_load(spark, sf_dir, "documents"), _load(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_benchmark_leaks, op3_sentence_spans, op4_repeated_strings, op5_language_id, op6_source_mix, op7_warc_revisits, op8_chat_perspectives,
-    op9_near_copies, op10_document_fingerprints, op11_source_divergence,
+    op9_near_copies, op10_document_fingerprints, op11_source_divergence, op12_lexical_search,
 )}
 OP7_SQL = """
 WITH coded AS (
@@ -89,4 +93,5 @@ ORACLE_SQL = {
     "op7_warc_revisits": OP7_SQL,
     "op8_chat_perspectives": chat.SQL,
     "op11_source_divergence": divergence.sql("documents"),
+    "op12_lexical_search": lexical.sql("documents", "benchmark"),
 }

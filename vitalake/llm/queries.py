@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vitalake.llm import chat, decontam, divergence, langid, lexical, mix, nearcopy, sketch, spans, suffix, tokens, warc
+from vitalake.llm import chat, decontam, divergence, langid, lexical, licenses, mix, nearcopy, sketch, spans, suffix, tokens, warc
 from vitalake.session import fresh_path
 
 #: Tokenizer files of the installation; a parameter of the operator.
@@ -73,9 +73,13 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(_load(spark, sf_dir, "documents"), _load(spark, sf_dir, "benchmark"))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(_load(spark, sf_dir, "documents")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_benchmark_leaks, op3_sentence_spans, op4_repeated_strings, op5_language_id, op6_source_mix, op7_warc_revisits, op8_chat_perspectives,
-    op9_near_copies, op10_document_fingerprints, op11_source_divergence, op12_lexical_search,
+    op9_near_copies, op10_document_fingerprints, op11_source_divergence, op12_lexical_search, op13_license_scan,
 )}
 OP7_SQL = """
 WITH coded AS (

@@ -6,20 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vitalake.functions import text as T
 from vitalake.functions.windows import previous_row
+from vitalake.operators.channels import REGISTRY
 from vitalake.operators.merge import SOURCE_ALIASES
 
-# Canonical path -> (source names in order, default). Callers may pass their own registry.
-REGISTRY: dict[str, tuple[list[str], str | None]] = {
-    "candidate.fullName": (["fullName", "full_name", "name", "candidate_name", "candidateName"], None),
-    "candidate.firstName": (["firstName", "first_name", "fname"], None),
-    "candidate.lastName": (["lastName", "last_name", "lname", "surname"], None),
-    "candidate.phoneNumber": (["phoneNumber", "phone_number", "phone", "mobile", "mobileNumber", "contact"], None),
-    "candidate.email": (["email", "emailAddress", "email_address", "mail"], None),
-    "candidate.portalId": (["portalId", "portal_id", "employeeId", "employee_id", "empId", "id"], None),
-    "candidate.dateOfBirth": (["dateOfBirth", "date_of_birth", "dob", "birthDate"], None),
-    "candidate.gender": (["gender", "sex"], None),
-    "candidate.nationality": (["nationality", "nation", "citizenship"], None),
-}
 # Roots that a reviewer may map an attribute to.
 ALLOWED_ROOTS = ["candidate", "skills", "experience", "education", "certifications", "personalDetails"]
 

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from vitalake.functions import arrays as A
 from vitalake.functions.skills import contains_any
 from vitalake.functions.text import typed_id
+from vitalake.operators.term_search import search_terms
 
 # Stop words of the three keyword modes.
 STOP_SHORT = ["the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for"]
@@ -345,6 +346,22 @@ def context_boost(scores: DataFrame, queries: DataFrame, docs: DataFrame) -> Dat
     return joined.select("query_id", "doc_id", F.round(F.col("score") * boost, 10).alias("score"))
 
 
+def context_boost_given(scores: DataFrame, context: DataFrame, docs: DataFrame) -> DataFrame:
+    """R8, given context: x1.3 if the document's role holds the context's (any case), x1.2 for an equal experience level,
+    x1.15 if the document's industries hold the context's; a part that either side lacks changes nothing.
+
+    ``context`` is (query_id, role, experience_level, industry), ``docs`` (doc_id, role, experience_level, industries).
+    """
+    joined = scores.join(context.alias("c"), "query_id", "left").join(docs.alias("d"), "doc_id", "left")
+
+    def factor(test: Column, by: float) -> Column:
+        return F.when(F.coalesce(test, F.lit(False)), by).otherwise(1.0)
+
+    boost = factor(F.lower("d.role").contains(F.lower("c.role")), 1.3) * factor(F.col("c.experience_level") == F.col("d.experience_level"), 1.2)
+    boost = boost * factor(F.array_contains("d.industries", F.col("c.industry")), 1.15)
+    return joined.select("query_id", "doc_id", F.round(F.col("score") * boost, 10).alias("score"))
+
+
 def rerank(scores: DataFrame, queries: DataFrame, docs: DataFrame, *, method: str = "signals") -> DataFrame:
     """``signals`` x1.1 with a creation time and x1.2 for the exact phrase; ``overlap`` x (1 + 0.1 shared words)."""
     joined = scores.join(queries.select("query_id", F.lower("text").alias("q")), "query_id").join(
@@ -393,12 +410,12 @@ def retrieve(
 
 
 def search(queries: DataFrame, docs: DataFrame, *, index_type: str | None = None, user_id: str | None = None, k: int = 5) -> DataFrame:
-    """Type and user filters, then substring share."""
+    """Type and user filters, then the share of the query's terms, with the terms found."""
     if index_type:
         docs = docs.where(F.col("index_type") == index_type)
     if user_id:
         docs = docs.where(F.col("user_id") == user_id)
-    return rank_results(substring_scores(queries, docs), k=k)
+    return search_terms(queries, docs, k=k)
 
 
 def similar_documents(sources: DataFrame, docs: DataFrame, *, k: int = 5, mode: str = "ordered") -> DataFrame:

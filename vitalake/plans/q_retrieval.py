@@ -192,10 +192,55 @@ sc AS (SELECT query_id, doc_id, q, d, terms, len(list_filter(terms, lambda w: co
 c AS (SELECT query_id, doc_id, hits::DOUBLE AS score FROM sc WHERE hits > 0), f AS (SELECT query_id, doc_id, round(hits / len(terms) * 0.8::DOUBLE, 6) AS score FROM sc WHERE hits > 0)
 SELECT 'count' AS kind, query_id, doc_id, score, rank FROM {_ranked('c', 3)} UNION ALL SELECT 'fuzzy', query_id, doc_id, score, rank FROM {_ranked('f', 3)}""")
 def retrieval_substring(spark, sf):
+    # one pass: both scores rank by the number of terms found
+    found = r.search_terms(_queries(spark, sf), _plain(spark, sf), k=3)
+    kinds = F.array(
+        F.struct(F.lit("count").alias("kind"), F.col("hits").cast("double").alias("score")),
+        F.struct(F.lit("fuzzy").alias("kind"), F.round(F.col("hits") / F.col("n_terms") * 0.8, 6).alias("score")),
+    )
+    return found.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.explode(kinds).alias("s")).select("s.kind", "query_id", "doc_id", "s.score", "rank")
+
+
+@query("retrieval_terms_matched", "R4 R10", PAIR_SQL + f""",
+m AS (SELECT query_id, doc_id, round(hits / len(terms), 6) AS score, array_to_string(list_filter(terms, lambda w: contains(d, w)), ' ') AS matched FROM sc WHERE hits > 0)
+SELECT query_id, doc_id, score, matched, rank FROM {_ranked('m', 5)}""")
+def retrieval_terms_matched(spark, sf):
+    found = r.search_terms(_queries(spark, sf), _plain(spark, sf))
+    return found.select("query_id", "doc_id", "score", F.array_join("matched", " ").alias("matched"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("retrieval_search", "R13 R4", PAIR_SQL.replace("FROM q, documents", "FROM q, documents WHERE source = 'src1' AND lang = 'en'") + f""",
+m AS (SELECT query_id, doc_id, round(hits / len(terms), 6) AS score FROM sc WHERE hits > 0)
+SELECT query_id, doc_id, score, rank FROM {_ranked('m', 5)}""")
+def retrieval_search(spark, sf):
+    docs = v.load(spark, sf, "documents").selectExpr("doc_id", "text", "lang AS index_type", "source AS user_id")
+    return _long(r.search(_queries(spark, sf), docs, index_type="en", user_id="src1"))
+
+
+@query("retrieval_context_given", "R8", _keyword_sql("short", "jaccard") + f""",
+t AS (SELECT * FROM {_ranked('kws', 10)}), x AS (SELECT query_id, doc_id, round(score * CASE WHEN contains(lower(d.source), 'src' || query_id % 5) THEN 1.3::DOUBLE ELSE 1 END
+  * CASE WHEN query_id % 3 > 0 AND (CASE WHEN query_id % 3 = 1 THEN 'mid' ELSE 'senior' END) = (CASE WHEN doc_id % 2 = 0 THEN 'mid' ELSE 'senior' END) THEN 1.2::DOUBLE ELSE 1 END
+  * CASE WHEN d.lang = 'en' OR query_id % 2 = 1 THEN 1.15::DOUBLE ELSE 1 END, 10) AS score FROM t JOIN documents d USING (doc_id))
+SELECT query_id, doc_id, score, rank FROM {_ranked('x', 5)}""")
+def retrieval_context_given(spark, sf):
+    queries, docs = _queries(spark, sf), _plain(spark, sf)
+    context = queries.selectExpr(
+        "query_id", "concat('SRC', query_id % 5) AS role", "CASE query_id % 3 WHEN 1 THEN 'mid' WHEN 2 THEN 'senior' END AS experience_level",
+        "CASE WHEN query_id % 2 = 1 THEN 'all' ELSE 'en' END AS industry")
+    held = docs.selectExpr("doc_id", "metadata['role'] AS role", "metadata['seniority'] AS experience_level", "array('all', metadata['lang']) AS industries")
+    top = r.rank_results(r.keyword_scores(queries, docs, mode="short"), k=10).drop("rank")
+    return _long(r.rank_results(r.context_boost_given(top, context, held), k=5))
+
+
+@query("retrieval_rerank_dated", "R9", _keyword_sql("short", "jaccard") + f""",
+t AS (SELECT * FROM {_ranked('kws', 10)}), x AS (SELECT query_id, doc_id, round(score * CASE WHEN doc_id % 3 = 0 THEN 1.1::DOUBLE ELSE 1 END
+  * CASE WHEN contains(lower(d.text), lower(b.text)) THEN 1.2::DOUBLE ELSE 1 END, 6) AS score FROM t JOIN benchmark b ON b.item_id = t.query_id JOIN documents d USING (doc_id))
+SELECT query_id, doc_id, score, rank FROM {_ranked('x', 5)}""")
+def retrieval_rerank_dated(spark, sf):
     queries, docs = _queries(spark, sf), _plain(spark, sf)
-    count = r.rank_results(r.substring_scores(queries, docs, scoring="count"), k=3)
-    fuzzy = r.rank_results(r.substring_scores(queries, docs, scoring="fuzzy"), k=3)
-    return _long(count).withColumn("kind", F.lit("count")).unionByName(_long(fuzzy).withColumn("kind", F.lit("fuzzy")))
+    dated = docs.withColumn("metadata", F.expr("CASE WHEN doc_id % 3 = 0 THEN map_concat(metadata, map('created_at', '2024-01-01')) ELSE metadata END"))
+    top = r.rank_results(r.keyword_scores(queries, docs, mode="short"), k=10).drop("rank")
+    return _long(r.rank_results(r.rerank(top, queries, dated), k=5))
 
 
 @query("retrieval_lines", "R10", f"""WITH q AS (SELECT item_id AS query_id, lower(text) AS q, {WORDS.format('lower(text)')} AS terms FROM benchmark),
@@ -225,6 +270,20 @@ def retrieval_similar(spark, sf):
     return _long(r.similar_documents(_queries(spark, sf), _plain(spark, sf)))
 
 
+@query("retrieval_similar_profiles", "R14", P + f""", q AS (SELECT cv_id AS query_id, concat_ws(' ', nullif(trim(title), ''), years::VARCHAR || ' years', array_to_string(primary_skills[1:5], ' ')) AS text FROM profiles),
+d AS (SELECT cv_id AS doc_id, 'Skills: ' || array_to_string(list_concat(primary_skills, secondary_skills), ', ') || ' ' || trim(title) AS text FROM profiles),
+dk AS MATERIALIZED {_kw('SELECT * FROM d', 'doc_id', 'ordered')}, qk AS MATERIALIZED {_kw('SELECT * FROM q', 'query_id', 'ordered')},
+mm AS (SELECT query_id, doc_id, count(*) AS m FROM dk JOIN qk USING (keyword) WHERE query_id <> doc_id GROUP BY ALL),
+b AS (SELECT query_id, max(m) AS best FROM mm GROUP BY 1), s AS (SELECT query_id, doc_id, round(m / best, 6) AS score FROM mm JOIN b USING (query_id))
+SELECT query_id, doc_id, score, rank FROM {_ranked('s', 5)}""")
+def retrieval_similar_profiles(spark, sf):
+    profiles = p.profiles(spark, sf)
+    queries = profiles.select(F.col("cv_id").alias("query_id"), r.similar_query(profiles).alias("text"), F.col("cv_id").alias("source_doc_id"))
+    skills = F.array_join(F.concat("primary_skills", "secondary_skills"), ", ")
+    docs = profiles.select(F.col("cv_id").alias("doc_id"), F.concat(F.lit("Skills: "), skills, F.lit(" "), F.trim("title")).alias("text"))
+    return _long(r.similar_documents(queries, docs))
+
+
 @query("retrieval_filtered", "R11 R13", _keyword_sql("short", "jaccard") + f"""
 SELECT query_id, doc_id, score, rank FROM {_ranked("(SELECT k.* FROM kws k JOIN documents d USING (doc_id) WHERE d.lang = 'en' AND d.doc_id % 2 = 0)", 5)}""")
 def retrieval_filtered(spark, sf):

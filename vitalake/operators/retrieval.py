@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from vitalake.functions import arrays as A
 from vitalake.functions.skills import contains_any
 from vitalake.functions.text import typed_id
-from vitalake.operators.term_search import search_terms
+from vitalake.operators.term_search import best_by_keywords, search_terms
 
 # Stop words of the three keyword modes.
 STOP_SHORT = ["the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for"]
@@ -167,6 +167,13 @@ def keyword_scores(queries: DataFrame, docs: DataFrame, *, scoring: str = "jacca
     return counts.select("query_id", "doc_id", F.round(score, 6).alias("score"))
 
 
+def best_keyword_scores(queries: DataFrame, docs: DataFrame, *, k: int, scoring: str = "jaccard", mode: str = "ordered") -> DataFrame:
+    """The rows of :func:`keyword_scores` that are among a query's ``k`` best, without a shuffle of postings."""
+    q = queries.select("query_id", keywords(F.col("text"), mode).alias("keywords"))
+    d = docs.select("doc_id", keywords(F.col("text"), mode).alias("keywords"))
+    return best_by_keywords(q, d, scoring=scoring, k=k).select("query_id", "doc_id", "score")
+
+
 def rank_results(scores: DataFrame, *, k: int | None = 5, min_score: float | None = None) -> DataFrame:
     """Rank per query by score, ties by document id; the rank limit also runs before the shuffle."""
     if min_score is not None:
@@ -395,14 +402,15 @@ def retrieve(
     if strategy != "keyword" and not {"embedding"} <= set(queries.columns) & set(docs.columns):
         strategy = "keyword"
     if strategy == "keyword":
-        scores = keyword_scores(queries, docs, mode="short")
+        scores = best_keyword_scores(queries, docs, mode="short", k=k)
     elif strategy == "semantic":
         scores = vector_scores(queries.where("embedding IS NOT NULL"), docs.where("embedding IS NOT NULL"), k=k).unionByName(
-            keyword_scores(queries.where("embedding IS NULL"), docs, mode="short"))
+            best_keyword_scores(queries.where("embedding IS NULL"), docs, mode="short", k=k))
     else:
         depth = k if strategy == "hybrid" else 2 * k
         scores = weighted_hybrid(
-            vector_scores(queries.where("embedding IS NOT NULL"), docs.where("embedding IS NOT NULL"), k=2 * depth), keyword_scores(queries, docs, mode="short"), k=depth
+            vector_scores(queries.where("embedding IS NOT NULL"), docs.where("embedding IS NOT NULL"), k=2 * depth),
+            best_keyword_scores(queries, docs, mode="short", k=2 * depth), k=depth,
         )
         if strategy == "contextual":
             scores = context_boost(rank_results(scores, k=2 * k).drop("rank"), queries, docs)
@@ -423,13 +431,12 @@ def similar_documents(sources: DataFrame, docs: DataFrame, *, k: int = 5, mode:
 
     ``sources`` is (query_id, text); where its ids are document ids, the source is excluded by ``source_doc_id``.
     """
-    counts = match_counts(postings(sources, key="query_id", mode=mode), postings(docs, mode=mode))
-    if "source_doc_id" in sources.columns:
-        own = sources.select("query_id", F.col("source_doc_id").alias("doc_id"))
-        counts = counts.join(own, ["query_id", "doc_id"], "left_anti")
-    best = counts.groupBy("query_id").agg(F.max("matches").alias("_best"))
-    scores = counts.join(best, "query_id").select("query_id", "doc_id", F.round(F.col("matches") / F.col("_best"), 6).alias("score"))
-    return rank_results(scores, k=k)
+    own = "source_doc_id" in sources.columns
+    counts = best_keyword_scores(sources, docs, scoring="count", mode=mode, k=k + own)
+    if own:
+        counts = counts.join(sources.select("query_id", F.col("source_doc_id").alias("doc_id")), ["query_id", "doc_id"], "left_anti")
+    best = F.max("score").over(W.partitionBy("query_id"))  # over the k best of a query: its best one is among them
+    return rank_results(counts.withColumn("score", F.round(F.col("score") / best, 6)), k=k)
 
 
 def similar_query(df: DataFrame) -> Column:

@@ -1,18 +1,22 @@
-"""Search for the terms of many queries in one pass over the documents (R4 d and e, R10, R13).
+"""Best documents of many queries in one pass over the documents.
 
-A query's terms are its words; a document holds a term where the term occurs anywhere in its text, inside a word too.
-All terms of a block of queries form one automaton with failure links. A term holds no white space, so the automaton
-runs over the distinct words of a document, and a task runs each word only once. The terms found lead to their
-queries through a list per term: work follows what is found and not queries times documents, and a task sends on only the
-best documents of each query.
+The terms of a block of queries are broadcast, with a list of queries for each. A document's terms lead to its
+queries, whose hits are counted at once; a task keeps the best documents of each query and what a score must reach to change them,
+and sends on only those. So nothing of the documents is shuffled but at most k rows for each task and query.
+
+Terms are either keywords or, for search in running text, found anywhere in a text, inside a word too. For this all
+terms form one automaton with failure links. A term holds no white space, so the automaton runs over the
+distinct words of a document, and a task runs each word only once.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter, deque
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -58,80 +62,143 @@ class Automaton:
         return frozenset(out)
 
 
-def _rank(value) -> tuple:
-    return value is None, value if value is not None else 0
+class Best:
+    """The ``k`` best documents of every query that a task has seen. ``floor`` is what a score must reach to change them."""
 
+    def __init__(self, n: int, k: int):
+        self.k, self.top, self.floor = k, [[] for _ in range(n)], np.zeros(n)
 
-def search_terms(queries: DataFrame, docs: DataFrame, *, k: int = 5, block_bytes: int = 1 << 20) -> DataFrame:
-    """Rows ``(query_id, doc_id, hits, n_terms, score, matched, rank)``: the ``k`` documents that hold most of a query's terms.
+    def offer(self, scores: np.ndarray, doc, matched: Callable[[int], list[int]]) -> None:
+        """Equal scores after rounding go by id, so a score within a rounding step of the floor is looked at."""
+        key = None
+        for q in np.flatnonzero((scores > 0) & (scores >= self.floor - 1e-6)).tolist():
+            key = key or (doc.as_py() is None, doc.as_py() if doc.as_py() is not None else 0)
+            top, entry = self.top[q], (-rounded(float(scores[q])), key)
+            if len(top) < self.k or entry < top[-1][:2]:
+                top.append((*entry, matched(q)))
+                top.sort(key=lambda x: x[:2])
+                del top[self.k :]
+                if len(top) == self.k:
+                    self.floor[q] = -top[-1][0]
 
-    A repeated term counts each time; ``matched`` lists the terms found in the query's order, ``score`` is their share.
-    Only documents with a hit are ranked, equal ones by id, null ids last. Letters are compared in lower case. Null texts
-    hold and ask nothing; repeated documents rank each; equal queries count once, queries of one id and different
-    texts each have their list. Queries come in blocks of about ``block_bytes`` of text, which bounds the broadcast.
-    """
-    spark = docs.sparkSession
-    wanted = queries.select("query_id", F.lower(F.coalesce("text", F.lit(""))).alias("_text")).where(F.col("_text") != "").distinct()
-    size = wanted.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+
+def rounded(score: float) -> float:
+    """Six decimals, halves away from zero on the printed number, as SQL rounds."""
+    return float(Decimal(repr(score)).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+
+
+def _in_words(terms: list[str]) -> Callable:
+    """Finds terms anywhere in a text given as bytes."""
+    automaton = Automaton([t.encode() for t in terms])
+    seen: dict[bytes, frozenset[int]] = {}
+
+    def find(text) -> tuple[set[int], int]:
+        found: set[int] = set()
+        words = set(text.as_py().split())
+        for word in words:
+            hit = seen.get(word)
+            if hit is None:
+                hit = automaton.scan(word)
+                if len(word) <= LONGEST:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen[word] = hit
+            found |= hit
+        return found, len(words)
+
+    return find
+
+
+def _as_keywords(terms: list[str]) -> Callable:
+    """Finds terms among a document's keywords."""
+    numbers = {t: i for i, t in enumerate(terms)}
+
+    def find(keywords) -> tuple[set[int], int]:
+        listed = keywords.as_py()
+        return {numbers[t] for t in listed if t in numbers}, len(listed)
+
+    return find
+
+
+def _search(wanted: DataFrame, slim: DataFrame, finder: Callable, score: Callable, k: int, block_bytes: int) -> DataFrame:
+    """``wanted`` is (query_id, _terms), ``slim`` (doc_id, what the finder reads). ``score`` takes hits and terms of all
+    queries and the size of the document. Rows ``(query_id, doc_id, score, n_terms, matched, rank)``."""
+    spark = slim.sparkSession
+    size = wanted.agg(F.sum(F.aggregate("_terms", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t) + 8))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
-    types = {f.name: f.dataType.simpleString() for f in [*docs.select("doc_id").schema, *queries.select("query_id").schema]}
-    slim = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).cast("binary").alias("_text"))
+    query_type, doc_type = (df.schema[c].dataType.simpleString() for df, c in ((wanted, "query_id"), (slim, "doc_id")))
 
     def one_block(rows: list) -> DataFrame:
-        asked = [r["_text"].encode().split() for r in rows]
+        asked = [r["_terms"] for r in rows]
         terms = sorted({t for words in asked for t in words})
         numbers = {t: i for i, t in enumerate(terms)}
-        users: list[list[tuple[int, int]]] = [[] for _ in terms]
+        users: list[list[int]] = [[] for _ in terms]
         for q, words in enumerate(asked):
-            for t, n in Counter(words).items():
-                users[numbers[t]].append((q, n))
-        shared = spark.sparkContext.broadcast((Automaton(terms), [[numbers[t] for t in words] for words in asked], users, terms))
+            for t in words:
+                users[numbers[t]].append(q)
+        shared = spark.sparkContext.broadcast((terms, [[numbers[t] for t in words] for words in asked], [np.array(u, np.int32) for u in users]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton, sequences, of_term, names = shared.value
-            best: list[list[tuple]] = [[] for _ in sequences]
-            seen: dict[bytes, frozenset[int]] = {}
+            names, sequences, of_term = shared.value
+            find, best = finder(names), Best(len(sequences), k)
+            lengths = np.array([len(x) for x in sequences], np.int64)
             id_type = None
             for batch in batches:
                 id_type = batch.column(0).type
                 for i in range(batch.num_rows):
-                    found: set[int] = set()
-                    for word in set(batch.column(1)[i].as_py().split()):
-                        hit = seen.get(word)
-                        if hit is None:
-                            hit = automaton.scan(word)
-                            if len(word) <= LONGEST:
-                                if len(seen) >= REMEMBERED:
-                                    seen.clear()
-                                seen[word] = hit
-                        found |= hit
-                    hits: Counter = Counter()
-                    for t in found:
-                        for q, n in of_term[t]:
-                            hits[q] += n
-                    doc = batch.column(0)[i].as_py() if hits else None
-                    for q, n in hits.items():
-                        top, entry = best[q], (-n, _rank(doc))
-                        if len(top) < k or entry < top[-1][:2]:
-                            top.append((*entry, [t for t in sequences[q] if t in found]))
-                            top.sort(key=lambda x: x[:2])
-                            del top[k:]
+                    found, many = find(batch.column(1)[i])
+                    if found:
+                        hits = np.bincount(np.concatenate([of_term[t] for t in found]), minlength=len(sequences))
+                        best.offer(score(hits, lengths, many), batch.column(0)[i], lambda q: [t for t in sequences[q] if t in found])
             if id_type is not None:
-                flat = [(q, None if null else doc, -n, matched) for q, top in enumerate(best) for n, (null, doc), matched in top]
+                flat = [(q, None if null else doc, -n, m) for q, top in enumerate(best.top) for n, (null, doc), m in top]
                 columns = list(zip(*flat)) or [(), (), (), ()]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(columns[0], pa.int32()), pa.array(columns[1], id_type), pa.array(columns[2], pa.int64()),
-                    pa.array([[names[t].decode() for t in m] for m in columns[3]], pa.list_(pa.string())),
-                ], names=["_q", "doc_id", "hits", "matched"])
+                    pa.array(columns[0], pa.int32()), pa.array(columns[1], id_type), pa.array(columns[2], pa.float64()),
+                    pa.array([[names[t] for t in m] for m in columns[3]], pa.list_(pa.string())),
+                ], names=["_q", "doc_id", "score", "matched"])
 
-        order = W.partitionBy("_q").orderBy(F.desc("hits"), F.col("doc_id").asc_nulls_last())
-        ranked = slim.mapInArrow(run, f"_q int, doc_id {types['doc_id']}, hits long, matched array<string>").withColumn("rank", F.row_number().over(order))
-        labels = spark.createDataFrame([(i, r["query_id"], len(words)) for i, (r, words) in enumerate(zip(rows, asked))], f"_q int, query_id {types['query_id']}, n_terms long")
-        return ranked.where(F.col("rank") <= k).join(labels, "_q").select(
-            "query_id", "doc_id", "hits", "n_terms", F.round(F.col("hits") / F.col("n_terms"), 6).alias("score"), "matched", "rank")
+        order = W.partitionBy("_q").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
+        ranked = slim.mapInArrow(run, f"_q int, doc_id {doc_type}, score double, matched array<string>").withColumn("rank", F.row_number().over(order))
+        labels = spark.createDataFrame([(i, r["query_id"], len(words)) for i, (r, words) in enumerate(zip(rows, asked))], f"_q int, query_id {query_type}, n_terms long")
+        return ranked.where(F.col("rank") <= k).join(labels, "_q").select("query_id", "doc_id", "score", "n_terms", "matched", "rank")
 
     out = None
     for b in range(blocks):
-        part = one_block(wanted.where(F.pmod(F.xxhash64("query_id", "_text"), F.lit(blocks)) == b).collect())
+        part = one_block(wanted.where(F.pmod(F.xxhash64("query_id", "_terms"), F.lit(blocks)) == b).collect())
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def search_terms(queries: DataFrame, docs: DataFrame, *, k: int = 5, block_bytes: int = 1 << 20) -> DataFrame:
+    """Rows ``(query_id, doc_id, hits, n_terms, score, matched, rank)``: the ``k`` documents that hold most of a query's terms.
+
+    A repeated term counts each time; ``matched`` lists the terms found in the query's order, ``score`` is their share.
+    Only documents with a hit are ranked, equal ones by id, null ids last. Letters are compared in lower case. Null texts
+    hold and ask nothing; repeated documents rank each; equal queries count once, queries of one id and different
+    terms each have their list. Queries come in blocks of about ``block_bytes`` of terms, which bounds the broadcast.
+    """
+    terms = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
+    wanted = queries.select("query_id", terms.alias("_terms")).where(F.size("_terms") > 0).distinct()
+    slim = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).cast("binary").alias("_text"))
+    found = _search(wanted, slim, _in_words, lambda hits, _n, _d: hits.astype(float), k, block_bytes)
+    return found.select(
+        "query_id", "doc_id", F.col("score").cast("long").alias("hits"), "n_terms", F.round(F.col("score") / F.col("n_terms"), 6).alias("score"), "matched", "rank")
+
+
+SCORES: dict[str, Callable[[np.ndarray, np.ndarray, int], np.ndarray]] = {
+    "jaccard": lambda hits, n, d: hits / (n + d - hits),
+    "share": lambda hits, n, d: np.minimum(1.0, hits / n),
+    "count": lambda hits, n, d: hits.astype(float),
+}
+
+
+def best_by_keywords(queries: DataFrame, docs: DataFrame, *, scoring: str, k: int, block_bytes: int = 1 << 20) -> DataFrame:
+    """Rows ``(query_id, doc_id, score, rank)``: the ``k`` best documents by shared keywords (J10, R4 a to c, J12).
+
+    Both sides are (id, keywords array). No posting is shuffled: a document meets the lists of its own keywords, and leaves
+    its task only if it is among the task's best of a query. Rules for ties, nulls and repeats as in :func:`search_terms`.
+    """
+    wanted = queries.select("query_id", F.col("keywords").alias("_terms")).where(F.size("_terms") > 0).distinct()
+    slim = docs.select("doc_id", F.coalesce("keywords", F.array().cast("array<string>")).alias("_words"))
+    return _search(wanted, slim, _as_keywords, SCORES[scoring], k, block_bytes).select("query_id", "doc_id", "score", "rank")

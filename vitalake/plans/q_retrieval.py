@@ -131,7 +131,7 @@ def _long(df):
 
 @query("retrieval_keyword_share", "J10 R4 O2", _keyword_sql("clean", "share") + f" SELECT query_id, doc_id, score, rank FROM {_ranked('(SELECT * FROM kws WHERE score >= 0.5)', 5)}")
 def retrieval_keyword_share(spark, sf):
-    scores = r.keyword_scores(_queries(spark, sf), _plain(spark, sf), scoring="share", mode="clean")
+    scores = r.best_keyword_scores(_queries(spark, sf), _plain(spark, sf), scoring="share", mode="clean", k=5)
     return _long(r.rank_results(scores, k=5, min_score=0.5))
 
 
@@ -168,7 +168,7 @@ f AS (SELECT query_id, doc_id, round(sum(p), 6) AS score FROM u GROUP BY ALL)
 SELECT query_id, doc_id, score, rank FROM {_ranked('f', 5)}""")
 def retrieval_rrf(spark, sf):
     queries, docs = _queries(spark, sf), _docs(spark, sf)
-    lists = [r.vector_scores(queries.where("embedding IS NOT NULL"), docs.where("embedding IS NOT NULL"), k=10), r.keyword_scores(queries, docs, mode="short")]
+    lists = [r.vector_scores(queries.where("embedding IS NOT NULL"), docs.where("embedding IS NOT NULL"), k=10), r.best_keyword_scores(queries, docs, mode="short", k=10)]
     return _long(r.rank_results(r.reciprocal_rank_fusion(lists), k=5))
 
 
@@ -179,7 +179,7 @@ o AS (SELECT query_id, doc_id, round(round(score * CASE WHEN phrase THEN 1.2::DO
 SELECT query_id, doc_id, score, rank FROM {_ranked('o', 5)}""")
 def retrieval_rerank(spark, sf):
     queries, docs = _queries(spark, sf), _plain(spark, sf)
-    top = r.rank_results(r.keyword_scores(queries, docs, mode="short"), k=10).drop("rank")
+    top = r.rank_results(r.best_keyword_scores(queries, docs, mode="short", k=10), k=10).drop("rank")
     return _long(r.rank_results(r.rerank(r.rerank(top, queries, docs), queries, docs, method="overlap"), k=5))
 
 
@@ -228,7 +228,7 @@ def retrieval_context_given(spark, sf):
         "query_id", "concat('SRC', query_id % 5) AS role", "CASE query_id % 3 WHEN 1 THEN 'mid' WHEN 2 THEN 'senior' END AS experience_level",
         "CASE WHEN query_id % 2 = 1 THEN 'all' ELSE 'en' END AS industry")
     held = docs.selectExpr("doc_id", "metadata['role'] AS role", "metadata['seniority'] AS experience_level", "array('all', metadata['lang']) AS industries")
-    top = r.rank_results(r.keyword_scores(queries, docs, mode="short"), k=10).drop("rank")
+    top = r.rank_results(r.best_keyword_scores(queries, docs, mode="short", k=10), k=10).drop("rank")
     return _long(r.rank_results(r.context_boost_given(top, context, held), k=5))
 
 
@@ -239,7 +239,7 @@ SELECT query_id, doc_id, score, rank FROM {_ranked('x', 5)}""")
 def retrieval_rerank_dated(spark, sf):
     queries, docs = _queries(spark, sf), _plain(spark, sf)
     dated = docs.withColumn("metadata", F.expr("CASE WHEN doc_id % 3 = 0 THEN map_concat(metadata, map('created_at', '2024-01-01')) ELSE metadata END"))
-    top = r.rank_results(r.keyword_scores(queries, docs, mode="short"), k=10).drop("rank")
+    top = r.rank_results(r.best_keyword_scores(queries, docs, mode="short", k=10), k=10).drop("rank")
     return _long(r.rank_results(r.rerank(top, queries, dated), k=5))
 
 

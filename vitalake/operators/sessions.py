@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from vitalake.functions.windows import number_rows, previous_row
 from vitalake.operators.audit import as_of_column
@@ -107,51 +107,35 @@ def latest_session_version(log: DataFrame) -> DataFrame:
 def optimistic_lock_check(state: DataFrame, updates: DataFrame) -> DataFrame:
     """Outcome of versioned updates applied in ``seq`` order.
 
-    ``state`` is (session_id, version), ``updates`` (session_id, seq,
-    expected_version). An update is accepted when its expected version is the
-    stored one at its turn and then raises it by one. Each round accepts, for
-    all sessions at once, the first update after the last accepted one that
-    names the current version; the round is a map-side combined ``min``, so a
-    session with very many updates costs no more than others. Rounds = longest
-    chain of accepted updates in the batch.
+    ``state`` is (session_id, version), ``updates`` (session_id, seq, expected_version). An update is accepted when its
+    expected version is the stored one at its turn and then raises it by one. So whatever is accepted next after an
+    update is the first later one that names the version it leaves: one window finds this successor for all updates.
+    The accepted ones are those reached from a session's first match. Each round doubles both how far is reached and
+    how far the pointers jump, so a chain of n accepted updates takes about log2(n) rounds.
     """
-    position = cut_lineage(
-        state.select("session_id", F.col("version").alias("_now"), F.lit(-1).cast("long").alias("_at"))
-        .join(updates.select("session_id").distinct(), "session_id", "left_semi")
+    targets = updates.select("session_id", F.col("expected_version").alias("_v"), "seq", F.lit(True).alias("_target"))
+    sources = updates.select("session_id", (F.col("expected_version") + 1).alias("_v"), "seq", F.lit(False).alias("_target"))
+    later = W.partitionBy("session_id", "_v").orderBy(F.desc("seq"), "_target").rowsBetween(W.unboundedPreceding, -1)
+    successor = F.last(F.when(F.col("_target"), F.col("seq")), ignorenulls=True).over(later)
+    jumps = cut_lineage(
+        targets.unionByName(sources).withColumn("_next", successor).where(~F.col("_target") & F.col("_next").isNotNull()).select("session_id", "seq", "_next")
+    )
+    reached = cut_lineage(
+        updates.join(state.select("session_id", F.col("version").alias("expected_version")), ["session_id", "expected_version"])
+        .groupBy("session_id").agg(F.min("seq").alias("seq"))
     )
-    # an update can only ever be accepted at or above the stored version
-    candidates = updates.join(position.select("session_id", F.col("_now").alias("_base")), "session_id").where(
-        F.col("expected_version") >= F.col("_base")
-    ).select("session_id", "seq", "expected_version")
-    candidates = cut_lineage(candidates)
-    accepted = None
     while True:
-        step = (
-            candidates.join(position, "session_id")
-            .where((F.col("expected_version") == F.col("_now")) & (F.col("seq") > F.col("_at")))
-            .groupBy("session_id")
-            .agg(F.min("seq").alias("_at"), F.first("_now").alias("_v"))
-            .select("session_id", (F.col("_v") + 1).alias("_now"), "_at")
-        )
-        step = cut_lineage(step)
+        step = cut_lineage(reached.join(jumps, ["session_id", "seq"]).select("session_id", F.col("_next").alias("seq")))
         if step.isEmpty():
             break
-        accepted = step if accepted is None else accepted.unionByName(step)
-        position = step
-    out = updates.join(
-        state.select("session_id", F.col("version").alias("_stored")), "session_id", "left"
-    )
-    if accepted is None:
-        return out.withColumn(
-            "outcome", F.when(F.col("_stored").isNull(), "not_found").otherwise("conflict")
-        ).drop("_stored").withColumn("new_version", F.lit(None).cast("long"))
-    marks = accepted.select("session_id", F.col("_at").alias("seq"), F.col("_now").alias("new_version"))
-    return out.join(marks, ["session_id", "seq"], "left").withColumn(
-        "outcome",
-        F.when(F.col("_stored").isNull(), "not_found")
-        .when(F.col("new_version").isNotNull(), "accepted")
-        .otherwise("conflict"),
-    ).drop("_stored")
+        reached = reached.unionByName(step)
+        after = jumps.select("session_id", F.col("seq").alias("_next"), F.col("_next").alias("_after"))
+        jumps = cut_lineage(jumps.join(after, ["session_id", "_next"]).select("session_id", "seq", F.col("_after").alias("_next")))
+    out = updates.join(state.select("session_id", F.col("version").alias("_stored")), "session_id", "left")
+    return out.join(reached.withColumn("_hit", F.lit(True)), ["session_id", "seq"], "left").withColumns({
+        "new_version": F.when(F.col("_hit"), F.col("expected_version") + 1),
+        "outcome": F.when(F.col("_stored").isNull(), "not_found").when(F.col("_hit"), "accepted").otherwise("conflict"),
+    }).drop("_stored", "_hit")
 
 
 def session_version_history(events: DataFrame, *, bucket: Column) -> DataFrame:

@@ -308,7 +308,7 @@ SPOKEN_YEAR = "coalesce(" + ", ".join(
         _rx(r"(?:^|[^A-Za-z0-9_])(19[0-9]{2}|20[0-2][0-9])(?:[^A-Za-z0-9_]|$)", 1, "entry"))) + ")"
 
 
-@query("extract_spoken_education", "E8 E20", T + f""", a AS (SELECT doc_id, channel, regexp_extract(text, '(?is)(?:educational background|education)(.*)$', 1) AS part FROM transcripts),
+@query("extract_spoken_education", "E8 E20", T + f""", a AS (SELECT doc_id, channel, regexp_extract(text, '(?is)(?:educational background|education)(.*)$', 1) AS part FROM all_texts),
 b AS (SELECT doc_id, channel, list_filter(string_split(regexp_replace(part, '(?i)(Then |Next, )', chr(1) || '\\1', 'g'), chr(1)), lambda x: trim(x) <> '') AS es FROM a),
 c AS (SELECT doc_id, channel, unnest(es) AS entry, generate_subscripts(es, 1) - 1 AS position FROM b),
 d AS (SELECT doc_id, channel, position, trim({_cues(e.EDUCATION_CUES['degree'], 'entry')}) AS degree, trim({_cues(e.EDUCATION_CUES['field'], 'entry')}) AS field,
@@ -316,7 +316,7 @@ d AS (SELECT doc_id, channel, position, trim({_cues(e.EDUCATION_CUES['degree'],
 r AS (SELECT doc_id, channel, position, degree, field, CASE WHEN length(school) >= 4 AND NOT regexp_matches(school, '{e.BAD_SCHOOL}') THEN school END AS institution, year, gpa FROM d)
 SELECT * FROM r WHERE degree IS NOT NULL OR institution IS NOT NULL""")
 def extract_spoken_education(spark, sf):
-    return e.spoken_education(tx.transcripts(spark, sf)).withColumn("position", F.col("position").cast("long"))
+    return e.spoken_education(tx.all_texts(spark, sf)).withColumn("position", F.col("position").cast("long"))
 
 
 # --- choosing and scoring
@@ -329,7 +329,9 @@ SELECT cv_id, coalesce(a, 0)::BIGINT AS project_points, coalesce(b, 0)::BIGINT A
 def extract_best_parse(spark, sf):
     df = p.profiles(spark, sf)
     thin = F.filter("projects", lambda x: x["client"] != "")
-    best = e.best_of(thin, F.col("projects"), e.projects_richness)
+    # the thin parse comes first for even ids and second for odd ones, so either can win
+    even = F.col("cv_id") % 2 == 0
+    best = e.best_of(F.when(even, thin).otherwise(F.col("projects")), F.when(even, F.col("projects")).otherwise(thin), e.projects_richness)
     return df.select("cv_id", e.projects_richness(best).cast("long").alias("project_points"), e.education_richness(F.col("education")).cast("long").alias("education_points"))
 
 

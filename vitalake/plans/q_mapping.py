@@ -93,13 +93,22 @@ def questions_mapped_answers(spark, sf):
     return mapped.select("session_id", "ordinal", "section", "field", plain.alias("plain"))
 
 
-@query("questions_loss_guards", "M26", MAP_SQL + """
-SELECT session_id, 'questionnaire' AS source, 'no canonical field for: ' || question AS warning FROM ma WHERE field IS NULL""")
+@query("questions_loss_guards", "M26 U4", MAP_SQL + """,
+un AS (SELECT session_id, 'extraction' AS source, 'topic_' || ordinal % 3 AS label, question AS value FROM answers WHERE trim(question) <> ''),
+attrs AS (SELECT session_id, 'questionnaire' AS source, question AS label, answer AS value FROM ma WHERE field IS NULL UNION ALL SELECT * FROM un)
+SELECT 'attribute' AS kind, * FROM attrs UNION ALL SELECT 'warning', session_id, source, 'no canonical field for: ' || label, NULL FROM attrs
+UNION ALL SELECT 'snapshot', session_id, 'questionnaire', question, answer FROM answers""")
 def questions_loss_guards(spark, sf):
     answers = v.answers(spark, sf)
     mapped, _ = qn.map_answers(answers, _mapping(spark, sf))
-    unknown = answers.limit(0).selectExpr("session_id", "question AS key", "answer AS value")
-    return unmapped.loss_guard_rows(answers, mapped, unknown)["warnings"]
+    # what an extraction of each answer returned: one known key, and one by topic that no field takes
+    extracted = F.map_from_arrays(F.array(F.lit("summary"), F.concat(F.lit("topic_"), (F.col("ordinal") % 3).cast("string"))), F.array("answer", "question"))
+    unknown = answers.select("session_id", F.explode(unmapped.unknown_keys(extracted, ["summary"])).alias("key", "value"))
+    rows = unmapped.loss_guard_rows(answers, mapped, unknown)
+    return rows["attributes"].select(F.lit("attribute").alias("kind"), "session_id", "source", F.col("original_label").alias("label"), "value").unionByName(
+        rows["warnings"].select(F.lit("warning").alias("kind"), "session_id", "source", F.col("warning").alias("label"), F.lit(None).cast("string").alias("value"))
+    ).unionByName(
+        rows["snapshots"].select(F.lit("snapshot").alias("kind"), "session_id", F.lit("questionnaire").alias("source"), F.col("question").alias("label"), F.col("answer").alias("value")))
 
 
 @query("questions_followup_text", "V14", "WITH " + v.ANSWERS + f""",

@@ -38,9 +38,9 @@ def test_no_updates_and_no_state(spark):
 
 def test_a_chain_of_ten_thousand_takes_at_most_sixteen_rounds(spark, monkeypatch):
     cuts = []
-    cut = sessions.cut_lineage
-    monkeypatch.setattr(sessions, "cut_lineage", lambda df: cuts.append(1) or cut(df))
+    stored = sessions.stored
+    monkeypatch.setattr(sessions, "stored", lambda df, label: cuts.append(1) or stored(df, label))
     updates = [("a", 2 * i, i + 1) for i in range(10_000)] + [("a", 2 * i + 1, i + 1) for i in range(10_000)]
     got = _check(spark, [("a", 1)], updates)
     assert sum(r[2] == "accepted" for r in got) == 10_000 and all((r[2] == "accepted") == (r[1] % 2 == 0) for r in got)
-    assert len(cuts) <= 2 + 2 * 16
+    assert len(cuts) <= 3 + 2 * 16

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from vitalake.functions.windows import number_rows, previous_row
 from vitalake.operators.audit import as_of_column
-from vitalake.session import cut_lineage
+from vitalake.session import stored
 
 # Fixed values.
 SESSION_STATUSES = ["active", "exported", "deleted"]
@@ -113,24 +113,25 @@ def optimistic_lock_check(state: DataFrame, updates: DataFrame) -> DataFrame:
     The accepted ones are those reached from a session's first match. Each round doubles both how far is reached and
     how far the pointers jump, so a chain of n accepted updates takes about log2(n) rounds.
     """
+    updates = stored(updates, "lock-updates")
     targets = updates.select("session_id", F.col("expected_version").alias("_v"), "seq", F.lit(True).alias("_target"))
     sources = updates.select("session_id", (F.col("expected_version") + 1).alias("_v"), "seq", F.lit(False).alias("_target"))
     later = W.partitionBy("session_id", "_v").orderBy(F.desc("seq"), "_target").rowsBetween(W.unboundedPreceding, -1)
     successor = F.last(F.when(F.col("_target"), F.col("seq")), ignorenulls=True).over(later)
-    jumps = cut_lineage(
-        targets.unionByName(sources).withColumn("_next", successor).where(~F.col("_target") & F.col("_next").isNotNull()).select("session_id", "seq", "_next")
+    jumps = stored(
+        targets.unionByName(sources).withColumn("_next", successor).where(~F.col("_target") & F.col("_next").isNotNull()).select("session_id", "seq", "_next"), "lock-jumps"
     )
-    reached = cut_lineage(
+    reached = stored(
         updates.join(state.select("session_id", F.col("version").alias("expected_version")), ["session_id", "expected_version"])
-        .groupBy("session_id").agg(F.min("seq").alias("seq"))
+        .groupBy("session_id").agg(F.min("seq").alias("seq")), "lock-reached"
     )
     while True:
-        step = cut_lineage(reached.join(jumps, ["session_id", "seq"]).select("session_id", F.col("_next").alias("seq")))
+        step = stored(reached.join(jumps, ["session_id", "seq"]).select("session_id", F.col("_next").alias("seq")), "lock-reached")
         if step.isEmpty():
             break
         reached = reached.unionByName(step)
         after = jumps.select("session_id", F.col("seq").alias("_next"), F.col("_next").alias("_after"))
-        jumps = cut_lineage(jumps.join(after, ["session_id", "_next"]).select("session_id", "seq", F.col("_after").alias("_next")))
+        jumps = stored(jumps.join(after, ["session_id", "_next"]).select("session_id", "seq", F.col("_after").alias("_next")), "lock-jumps")
     out = updates.join(state.select("session_id", F.col("version").alias("_stored")), "session_id", "left")
     return out.join(reached.withColumn("_hit", F.lit(True)), ["session_id", "seq"], "left").withColumns({
         "new_version": F.when(F.col("_hit"), F.col("expected_version") + 1),

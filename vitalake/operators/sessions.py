@@ -86,8 +86,8 @@ def integrity_check(df: DataFrame) -> DataFrame:
     ]
     rules = [F.when(F.col(c).isNull(), F.lit(f"missing {c}")) for c in required]
     rules += [
-        F.when(F.trim("session_id") == "", F.lit("session_id must be a non-empty string")),
-        F.when(F.col("version") < 1, F.lit("version must be a positive integer")),
+        F.when(F.trim("session_id") == "", F.lit("blank session id")),
+        F.when(F.col("version") < 1, F.lit("version below one")),
         F.when(~F.lower("status").isin(SESSION_STATUSES), F.lit("status is not allowed")),
         F.when(F.col("last_updated_at") < F.col("created_at"), F.lit("last_updated_at before created_at")),
     ]

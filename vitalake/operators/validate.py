@@ -133,7 +133,7 @@ def validate(df: DataFrame, operation: str = "save") -> DataFrame:
         return F.array_compact(F.array(*[F.when(test, F.lit(text)) for test, text in pairs]))
 
     if operation == "save":
-        errors, warnings = none, notes((~full, "mandatory fields missing"), (low, "completeness below 50"))
+        errors, warnings = none, notes((~full, "fields to fill before export"), (low, "under half complete"))
         can_export = full
     elif operation == "save_and_validate":
         errors = none
@@ -141,12 +141,12 @@ def validate(df: DataFrame, operation: str = "save") -> DataFrame:
         for name in ("primary_skills", "secondary_skills", "technical_skills", "functional_skills"):
             no_skills = no_skills & (F.size(_list_or_empty(df, name)) == 0)
         warnings = notes(
-            (no_experience, "no experience"), (no_skills, "no skills"), (_size("education") == 0, "no education"),
-            (~full, "required for export"), (F.size("missing_recommended") > 0, "recommended to add"),
+            (no_experience, "neither work nor projects"), (no_skills, "no skill list is filled"), (_size("education") == 0, "education is empty"),
+            (~full, "not ready for export"), (F.size("missing_recommended") > 0, "optional fields are open"),
         )
         can_export = full
     elif operation == "export":
-        errors = notes((~full, "mandatory fields missing"), (no_experience, "no experience"), (low, "too incomplete"))
+        errors = notes((~full, "fields to fill before export"), (no_experience, "neither work nor projects"), (low, "under 40 percent complete"))
         warnings = none
         can_export = F.size(errors) == 0
     else:
@@ -214,23 +214,23 @@ def rule_table_issues(df: DataFrame) -> DataFrame:
     base = df.withColumn("_shown", shown).withColumn("_unmatched", unmatched)
     name = _text("full_name")
     rules = [
-        Rule("required_full_name", "completeness", "critical", "full_name", "Full name is required", F.trim(name) == ""),
-        Rule("required_email", "completeness", "critical", "email", "Email address is required", F.trim(_text("email")) == ""),
-        Rule("required_contact", "completeness", "critical", "phone", "Contact number is required", F.trim(_text("phone")) == ""),
-        Rule("required_skills", "completeness", "error", "skills", "At least one skill is required", _size("primary_skills") == 0),
-        Rule("email_format", "format", "error", "email", "Invalid email format", ~_blank("email") & ~_valid_email()),
-        Rule("phone_format", "format", "warning", "phone", "Invalid phone number format",
+        Rule("required_full_name", "completeness", "critical", "full_name", "no full name", F.trim(name) == ""),
+        Rule("required_email", "completeness", "critical", "email", "no e-mail address", F.trim(_text("email")) == ""),
+        Rule("required_contact", "completeness", "critical", "phone", "no phone number", F.trim(_text("phone")) == ""),
+        Rule("required_skills", "completeness", "error", "skills", "no skill named", _size("primary_skills") == 0),
+        Rule("email_format", "format", "error", "email", "e-mail address is malformed", ~_blank("email") & ~_valid_email()),
+        Rule("phone_format", "format", "warning", "phone", "phone number has too few or too many digits",
              ~_blank("phone") & ~_has_digit_count(10, 12, "[- ()]")),
-        Rule("experience_years", "business_rule", "warning", "years", "Experience years seem unusual",
+        Rule("experience_years", "business_rule", "warning", "years", "years of experience above 50",
              F.abs("years") > 50),
-        Rule("minimum_education", "business_rule", "warning", "education", "At least one education entry recommended",
+        Rule("minimum_education", "business_rule", "warning", "education", "no education entry",
              _size("education") == 0),
-        Rule("name_quality", "data_quality", "warning", "full_name", "Name may contain invalid characters",
+        Rule("name_quality", "data_quality", "warning", "full_name", "name has signs other than letters",
              (name != "") & name.rlike(r"[^a-zA-Z\s.\-]")),
-        Rule("summary_quality", "data_quality", "info", "summary", "Summary is too short",
+        Rule("summary_quality", "data_quality", "info", "summary", "summary under 50 characters",
              ~_blank("summary") & (F.length("summary") < 50)),
         Rule("skills_project_alignment", "cross_field", "warning", "skills",
-             F.concat(F.lit("Some skills not reflected in projects: "), F.array_join("_unmatched", ", ")),
+             F.concat(F.lit("skills that no project shows: "), F.array_join("_unmatched", ", ")),
              (_size("projects") > 0) & (F.size("_unmatched") > 0)),
     ]
     out = base.select("*", R.record_issues(rules).alias("issues"))
@@ -255,26 +255,26 @@ def staged_issues(df: DataFrame) -> DataFrame:
     skills = F.concat(F.coalesce("primary_skills", A.empty("string")), F.coalesce("secondary_skills", A.empty("string")))
     base = df.withColumns({"_repeated": A.repeated(skills), "_acronyms": F.size(F.regexp_extract_all("summary", F.lit(r"\b[A-Z]{2,}\b"), F.lit(0)))})
     rules = [
-        Rule("missing_header", "completeness", "critical", "header", "Header information is missing or empty", ~has_header),
-        Rule("missing_summary", "completeness", "critical", "summary", "Professional summary is missing or empty", summary == ""),
-        Rule("missing_skills", "completeness", "critical", "skills", "Skills section is missing or empty", _size("primary_skills") == 0),
-        Rule("missing_work", "completeness", "critical", "work", "Work experience is missing or empty", _size("work") == 0),
-        Rule("no_name", "completeness", "error", "full_name", "Full Name is missing", has_header & _blank("full_name")),
-        Rule("no_email", "completeness", "error", "email", "Email is missing", has_header & _blank("email")),
-        Rule("no_phone", "completeness", "error", "phone", "Contact Number is missing", has_header & _blank("phone")),
-        Rule("short_summary", "quality", "warning", "summary", "Professional summary is too short",
+        Rule("missing_header", "completeness", "critical", "header", "no header field is filled", ~has_header),
+        Rule("missing_summary", "completeness", "critical", "summary", "no summary", summary == ""),
+        Rule("missing_skills", "completeness", "critical", "skills", "no primary skill", _size("primary_skills") == 0),
+        Rule("missing_work", "completeness", "critical", "work", "no work entry", _size("work") == 0),
+        Rule("no_name", "completeness", "error", "full_name", "header lacks the full name", has_header & _blank("full_name")),
+        Rule("no_email", "completeness", "error", "email", "header lacks the e-mail address", has_header & _blank("email")),
+        Rule("no_phone", "completeness", "error", "phone", "header lacks the phone number", has_header & _blank("phone")),
+        Rule("short_summary", "quality", "warning", "summary", "summary under 100 characters",
              (summary != "") & (F.length(summary) < 100)),
-        Rule("few_skills", "completeness", "warning", "primary_skills", "Few primary skills found", _size("primary_skills") < 3),
-        Rule("no_work", "completeness", "error", "work", "No work experience entries found", _size("work") == 0),
-        Rule("email_format", "format", "error", "email", "Email format appears invalid", ~_blank("email") & ~_valid_email()),
-        Rule("phone_format", "format", "warning", "phone", "Phone number format may be invalid",
+        Rule("few_skills", "completeness", "warning", "primary_skills", "under three primary skills", _size("primary_skills") < 3),
+        Rule("no_work", "completeness", "error", "work", "work list has no entry", _size("work") == 0),
+        Rule("email_format", "format", "error", "email", "e-mail address is malformed", ~_blank("email") & ~_valid_email()),
+        Rule("phone_format", "format", "warning", "phone", "phone number is malformed",
              ~_blank("phone") & ~clean.rlike(r"^(\+91)?[0-9]{10}$")),
-        *[Rule(f"generic_{i}", "quality", "info", "summary", f"Consider replacing generic phrase: {p}", low.contains(p))
+        *[Rule(f"generic_{i}", "quality", "info", "summary", f"generic phrase: {p}", low.contains(p))
           for i, p in enumerate(GENERIC_PHRASES)],
-        Rule("repeated_skills", "quality", "warning", "skills", "Duplicate skills found", F.size("_repeated") > 0),
-        *[Rule(f"wording_{i}", "professional", "warning", "summary", f"Unprofessional language detected: {w}", low.contains(w))
+        Rule("repeated_skills", "quality", "warning", "skills", "a skill is named twice", F.size("_repeated") > 0),
+        *[Rule(f"wording_{i}", "professional", "warning", "summary", f"informal word: {w}", low.contains(w))
           for i, w in enumerate(UNPROFESSIONAL_WORDS)],
-        Rule("acronyms", "professional", "info", "summary", "Many acronyms found", F.col("_acronyms") > 5),
+        Rule("acronyms", "professional", "info", "summary", "over five acronyms", F.col("_acronyms") > 5),
     ]
     fixable = F.filter("issues", lambda x: x["rule"].isin("phone_format", "repeated_skills"))
     return base.select("cv_id", R.record_issues(rules).alias("issues")).withColumn("auto_fixable", F.size(fixable))
@@ -299,28 +299,28 @@ def engine_issues(df: DataFrame) -> DataFrame:
     clean = F.regexp_replace(_text("phone"), r"[\s\-()]", "")
     no_years = F.coalesce(F.col("years") == 0, F.lit(True))
     rules = [
-        Rule("required_full_name", "structural", "error", "full_name", "Required field is missing or empty", _blank("full_name")),
-        Rule("required_email", "structural", "error", "email", "Required field is missing or empty", _blank("email")),
-        Rule("required_phone", "structural", "error", "phone", "Required field is missing or empty", _blank("phone")),
-        Rule("required_years", "structural", "error", "years", "Required field is missing or empty", no_years),
-        Rule("email_format", "semantic", "error", "email", "Email format appears invalid", ~_blank("email") & ~_valid_email()),
-        Rule("phone_format", "semantic", "warning", "phone", "Phone number format may be invalid",
+        Rule("required_full_name", "structural", "error", "full_name", "mandatory field has no value", _blank("full_name")),
+        Rule("required_email", "structural", "error", "email", "mandatory field has no value", _blank("email")),
+        Rule("required_phone", "structural", "error", "phone", "mandatory field has no value", _blank("phone")),
+        Rule("required_years", "structural", "error", "years", "mandatory field has no value", no_years),
+        Rule("email_format", "semantic", "error", "email", "e-mail address is malformed", ~_blank("email") & ~_valid_email()),
+        Rule("phone_format", "semantic", "warning", "phone", "phone number is malformed",
              ~_blank("phone") & ~(clean.rlike("^[0-9]+$") & (F.length(clean) >= 10))),
-        Rule("experience_range", "semantic", "warning", "years", "Experience outside normal range", F.abs("years") > 50),
-        Rule("few_skills", "business_rule", "warning", "skills", "Few skills listed", _size("primary_skills") < 3),
-        Rule("brief_summary", "data_quality", "suggestion", "summary", "Summary seems too brief",
+        Rule("experience_range", "semantic", "warning", "years", "years of experience above 50", F.abs("years") > 50),
+        Rule("few_skills", "business_rule", "warning", "skills", "under three skills", _size("primary_skills") < 3),
+        Rule("brief_summary", "data_quality", "suggestion", "summary", "summary under 50 characters",
              F.col("summary").isNotNull() & (F.length(summary) < 50)),
-        Rule("repetitive_summary", "data_quality", "info", "summary", "Summary contains repetitive words",
+        Rule("repetitive_summary", "data_quality", "info", "summary", "one word makes up a fifth of the summary",
              (F.size("_words") > 10) & (F.col("_top") > F.size("_words") * 0.2)),
-        Rule("optional_summary", "completeness", "suggestion", "summary", "Optional field is missing", summary == ""),
-        Rule("optional_certs", "completeness", "suggestion", "certs", "Optional field is missing", _size("certs") == 0),
-        Rule("timeline", "consistency", "warning", "projects", "Project timeline inconsistent with experience",
+        Rule("optional_summary", "completeness", "suggestion", "summary", "optional field has no value", summary == ""),
+        Rule("optional_certs", "completeness", "suggestion", "certs", "optional field has no value", _size("certs") == 0),
+        Rule("timeline", "consistency", "warning", "projects", "projects last longer than the years of experience",
              ~no_years & (project_years > F.abs("years") * 1.5)),
     ]
     years = R.entry_issues(F.col("education"), "education", lambda e, i: [
-        Rule("education_year", "business_rule", "info", "", "Education entry missing graduation year", e["year"] == "")])
+        Rule("education_year", "business_rule", "info", "", "education entry without a year", e["year"] == "")])
     thin = R.entry_issues(F.col("projects"), "projects", lambda p, i: [
-        Rule("thin_project", "data_quality", "suggestion", ".description", "Project description could be more detailed",
+        Rule("thin_project", "data_quality", "suggestion", ".description", "thin project description",
              F.length(F.coalesce(p["description"], F.lit(""))) < 100)])
     out = base.select("cv_id", F.concat(R.record_issues(rules), years, thin).alias("issues"))
     weights = {"error": 0.25, "warning": 0.10, "info": 0.05, "suggestion": 0.02}
@@ -467,25 +467,25 @@ def chronology_issues(df: DataFrame) -> DataFrame:
     """Entries whose start is after their end, compared as text."""
     bad = F.filter("work", lambda w: (w["start_date"] != "") & (w["end_date"] != "") & (w["start_date"] > w["end_date"]))
     return A.explode_items(df, ["cv_id"], bad, "w").select(
-        "cv_id", F.concat(F.lit("Invalid chronology: "), "w.start_date", F.lit(" is after "), "w.end_date", F.lit(".")).alias("message")
+        "cv_id", F.concat(F.lit("start after end: "), "w.start_date", F.lit(" follows "), "w.end_date", F.lit(".")).alias("message")
     )
 
 
 def quality_rule_issues(df: DataFrame, leadership: Column | None = None) -> DataFrame:
     """Completeness and wording rules; ``leadership`` is a text list tested for measurable impact."""
     rules = [
-        Rule("full_name", "completeness", "error", "full_name", "Full name required", _blank("full_name")),
-        Rule("location", "completeness", "error", "city", "Location required", _blank("city")),
-        Rule("summary", "completeness", "error", "summary", "Summary required", F.trim(_text("summary")) == ""),
-        Rule("skills", "completeness", "error", "skills", "Skills required", _size("primary_skills") == 0),
-        Rule("short_summary", "quality", "warning", "summary", "Professional summary is very short.",
+        Rule("full_name", "completeness", "error", "full_name", "no full name", _blank("full_name")),
+        Rule("location", "completeness", "error", "city", "no city", _blank("city")),
+        Rule("summary", "completeness", "error", "summary", "no summary", F.trim(_text("summary")) == ""),
+        Rule("skills", "completeness", "error", "skills", "no primary skill", _size("primary_skills") == 0),
+        Rule("short_summary", "quality", "warning", "summary", "summary of few words",
              (F.trim(_text("summary")) != "") & (V.word_count(F.col("summary")) < 8)),
     ]
     issues = R.record_issues(rules)
     if leadership is not None:
         metric = ["%", "improved", "reduced", "saved", "increased"]
         issues = F.concat(issues, R.entry_issues(leadership, "leadership", lambda t, i: [
-            Rule("no_metric", "quality", "warning", "", "May be missing measurable impact.", ~contains_any(F.lower(t), metric))]))
+            Rule("no_metric", "quality", "warning", "", "no figure or result named", ~contains_any(F.lower(t), metric))]))
     return df.select("cv_id", issues.alias("issues"))
 
 
@@ -568,8 +568,8 @@ def structure_check(df: DataFrame) -> DataFrame:
     """Missing sections are errors, missing recommended fields warnings; tests the table's columns too."""
     needed = {"experience": "work", "education": "education", "skills": "primary_skills", "summary": "summary"}
     errors = [
-        F.lit(f"Missing required section: {n}") if c not in df.columns
-        else F.when(F.col(c).isNull(), F.lit(f"Missing required section: {n}"))
+        F.lit(f"no section {n}") if c not in df.columns
+        else F.when(F.col(c).isNull(), F.lit(f"no section {n}"))
         for n, c in needed.items()
     ]
     errors += [
@@ -578,7 +578,7 @@ def structure_check(df: DataFrame) -> DataFrame:
         if c in df.columns and not dict(df.dtypes)[c].startswith("array")
     ]
     warnings = [
-        F.when(_blank(c), F.lit(f"Missing recommended field: personal_details.{c}")) for c in ("full_name", "email")
+        F.when(_blank(c), F.lit(f"no value in personal_details.{c}")) for c in ("full_name", "email")
     ]
     return df.select("cv_id", F.array_compact(F.array(*errors)).alias("errors"), F.array_compact(F.array(*warnings)).alias("warnings"))
 
@@ -586,24 +586,24 @@ def structure_check(df: DataFrame) -> DataFrame:
 def operational_issues(df: DataFrame) -> DataFrame:
     """The validator that decides on export."""
     rules = [
-        Rule("name", "candidate", "error", "full_name", "Candidate full name is required", F.trim(_text("full_name")) == ""),
-        Rule("title", "candidate", "error", "title", "Current designation/title is required", _blank("title")),
-        Rule("email", "candidate", "error", "email", "Valid email address is required", ~_text("email").contains("@")),
-        Rule("years", "candidate", "error", "years", "Total experience years cannot be negative", F.col("years") < 0),
-        Rule("experience", "experience", "error", "experience", "At least one project or work experience entry is required",
+        Rule("name", "candidate", "error", "full_name", "record without a name", F.trim(_text("full_name")) == ""),
+        Rule("title", "candidate", "error", "title", "record without a position", _blank("title")),
+        Rule("email", "candidate", "error", "email", "e-mail address without an @", ~_text("email").contains("@")),
+        Rule("years", "candidate", "error", "years", "negative years of experience", F.col("years") < 0),
+        Rule("experience", "experience", "error", "experience", "neither a project nor a job",
              (_size("work") == 0) & (_size("projects") == 0)),
-        Rule("education", "education", "error", "education", "At least one education entry is required", _size("education") == 0),
-        Rule("no_skills", "skills", "warning", "skills", "No primary skills listed", _size("primary_skills") == 0),
-        Rule("few_skills", "skills", "warning", "skills", "Less than 3 primary skills", _size("primary_skills") < 3),
+        Rule("education", "education", "error", "education", "no education entry", _size("education") == 0),
+        Rule("no_skills", "skills", "warning", "skills", "no primary skill", _size("primary_skills") == 0),
+        Rule("few_skills", "skills", "warning", "skills", "under three primary skills", _size("primary_skills") < 3),
     ]
     fields = [f.name for f in df.schema["projects"].dataType.elementType.fields]
     projects = R.entry_issues(F.col("projects"), "projects", lambda p, i: [
-        Rule("project_name", "experience", "error", ".name", "Project name is required", p["name"] == ""),
+        Rule("project_name", "experience", "error", ".name", "project without a name", p["name"] == ""),
         *([Rule("project_role", "experience", "error", ".role", "Role/designation is required", p["role"] == "")] if "role" in fields else []),
     ])
     education = R.entry_issues(F.col("education"), "education", lambda e, i: [
-        Rule("degree", "education", "error", ".degree", "Degree is required", e["degree"] == ""),
-        Rule("institution", "education", "error", ".institution", "Institution name is required", e["institution"] == ""),
+        Rule("degree", "education", "error", ".degree", "education entry without a degree", e["degree"] == ""),
+        Rule("institution", "education", "error", ".institution", "education entry without a school", e["institution"] == ""),
     ])
     out = df.select("cv_id", F.concat(R.record_issues(rules), projects, education).alias("issues"))
     return out.withColumn("can_export", R.level_count(F.col("issues"), "error") == 0)
@@ -613,13 +613,13 @@ def scaffold_issues(df: DataFrame) -> DataFrame:
     """Required sections, short summary and the question about few skills."""
     has_header = ~(_blank("full_name") & _blank("email") & _blank("phone") & _blank("title"))
     rules = [
-        Rule("header", "structure", "error", "header", "Required section is missing or empty", ~has_header),
-        Rule("summary", "structure", "error", "summary", "Required section is missing or empty", _blank("summary")),
-        Rule("skills", "structure", "error", "skills", "Required section is missing or empty", _size("primary_skills") == 0),
-        Rule("work", "structure", "error", "work", "Required section is missing or empty", _size("work") == 0),
-        Rule("short_summary", "quality", "warning", "summary", "Professional summary is too short",
+        Rule("header", "structure", "error", "header", "mandatory section is empty", ~has_header),
+        Rule("summary", "structure", "error", "summary", "mandatory section is empty", _blank("summary")),
+        Rule("skills", "structure", "error", "skills", "mandatory section is empty", _size("primary_skills") == 0),
+        Rule("work", "structure", "error", "work", "mandatory section is empty", _size("work") == 0),
+        Rule("short_summary", "quality", "warning", "summary", "summary under 100 characters",
              ~_blank("summary") & (F.length("summary") < 50)),
-        Rule("ask_skills", "followup", "question", "skills", "Fewer than 3 primary skills. Add more?", _size("primary_skills") < 3),
+        Rule("ask_skills", "followup", "question", "skills", "Which skills could join the few that are listed?", _size("primary_skills") < 3),
     ]
     return df.select("cv_id", R.record_issues(rules).alias("issues"))
 

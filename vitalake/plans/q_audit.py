@@ -201,7 +201,7 @@ def sessions_event_paths(spark, sf):
     CASE WHEN user_id % 7 = 0 THEN created_at - INTERVAL 1 HOUR ELSE last_updated_at END AS last_updated_at,
     CASE WHEN user_id % 19 <> 0 THEN expires_at END AS expires_at FROM sessions)
 SELECT session_id, concat_ws(';', CASE WHEN expires_at IS NULL THEN 'missing expires_at' END,
-  CASE WHEN version < 1 THEN 'version must be a positive integer' END,
+  CASE WHEN version < 1 THEN 'version below one' END,
   CASE WHEN status NOT IN ('active', 'exported', 'deleted') THEN 'status is not allowed' END,
   CASE WHEN last_updated_at < created_at THEN 'last_updated_at before created_at' END) AS violations
 FROM odd WHERE violations <> ''""".replace("\n, odd", ", odd", 1)))

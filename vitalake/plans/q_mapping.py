@@ -145,7 +145,7 @@ def questions_followups(spark, sf):
   SELECT cv_id, 'full_name' AS field, 'critical' AS level FROM profiles WHERE trim(full_name) = '' UNION ALL SELECT cv_id, 'email', 'critical' FROM profiles WHERE email = ''
   UNION ALL SELECT cv_id, 'phone', 'critical' FROM profiles WHERE phone = '' UNION ALL SELECT cv_id, 'primary_skills', 'error' FROM profiles WHERE len(primary_skills) = 0
   UNION ALL SELECT cv_id, 'education', 'warning' FROM profiles WHERE len(education) = 0)
-SELECT cv_id, field, CASE field WHEN 'full_name' THEN 'What is your full name?' WHEN 'email' THEN 'What is your email address?' ELSE 'Could you provide information for ' || replace(field, '_', ' ') || '?' END AS question,
+SELECT cv_id, field, CASE field WHEN 'full_name' THEN 'Which name should the profile carry?' WHEN 'email' THEN 'Which e-mail address may be shown?' ELSE 'What should stand under ' || replace(field, '_', ' ') || '?' END AS question,
   CASE WHEN level = 'warning' THEN 'high' ELSE 'critical' END AS priority FROM i""")
 def questions_from_issues(spark, sf):
     issues = R.issue_rows(val.rule_table_issues(p.profiles(spark, sf)).select("cv_id", "issues"))

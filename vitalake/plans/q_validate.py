@@ -62,13 +62,13 @@ SELECT cv_id, '{op}' AS operation, completeness, missing_mandatory, missing_reco
         return out.withColumns(joined)
 
 
-_operation("save", "''", _rules(("mandatory fields missing", "missing_mandatory <> ''"), ("completeness below 50", "completeness < 50")), "missing_mandatory = ''")
+_operation("save", "''", _rules(("fields to fill before export", "missing_mandatory <> ''"), ("under half complete", "completeness < 50")), "missing_mandatory = ''")
 _operation("save_and_validate", "''", _rules(
-    ("no experience", "len(work) = 0 AND len(projects) = 0"), ("no skills", "len(primary_skills) = 0 AND len(secondary_skills) = 0"),
-    ("no education", "len(education) = 0"), ("required for export", "missing_mandatory <> ''"), ("recommended to add", "missing_recommended <> ''"),
+    ("neither work nor projects", "len(work) = 0 AND len(projects) = 0"), ("no skill list is filled", "len(primary_skills) = 0 AND len(secondary_skills) = 0"),
+    ("education is empty", "len(education) = 0"), ("not ready for export", "missing_mandatory <> ''"), ("optional fields are open", "missing_recommended <> ''"),
 ), "missing_mandatory = ''")
-_operation("export", _rules(("mandatory fields missing", "missing_mandatory <> ''"), ("no experience", "len(work) = 0 AND len(projects) = 0"),
-                            ("too incomplete", "completeness < 40")), "''", "errors = ''")
+_operation("export", _rules(("fields to fill before export", "missing_mandatory <> ''"), ("neither work nor projects", "len(work) = 0 AND len(projects) = 0"),
+                            ("under 40 percent complete", "completeness < 40")), "''", "errors = ''")
 
 
 @query("validate_session_score", "V3", SCORE_SQL + """,
@@ -236,7 +236,7 @@ def validate_impact(spark, sf):
 
 
 @query("validate_chronology", "V11 T6", P + """
-SELECT cv_id, 'Invalid chronology: ' || w.start_date || ' is after ' || w.end_date || '.' AS message
+SELECT cv_id, 'start after end: ' || w.start_date || ' follows ' || w.end_date || '.' AS message
 FROM (SELECT cv_id, unnest(work) AS w FROM profiles) WHERE w.end_date <> '' AND w.start_date > w.end_date""")
 def validate_chronology(spark, sf):
     return val.chronology_issues(p.profiles(spark, sf))
@@ -308,7 +308,7 @@ def validate_role_required(spark, sf):
 @query("validate_sections_present", "V19 V20", P + """, s AS (SELECT cv_id, concat_ws('|', CASE WHEN full_name <> '' OR email <> '' THEN 'personal_details' END,
   CASE WHEN summary <> '' THEN 'summary' END, CASE WHEN len(primary_skills) > 0 THEN 'skills' END, CASE WHEN len(work) > 0 THEN 'experience' END,
   CASE WHEN len(projects) > 0 THEN 'project_experience' END, CASE WHEN len(education) > 0 THEN 'education' END, CASE WHEN len(certs) > 0 THEN 'certifications' END) AS present,
-  concat_ws('|', CASE WHEN full_name = '' THEN 'Missing recommended field: personal_details.full_name' END, CASE WHEN email = '' THEN 'Missing recommended field: personal_details.email' END) AS warnings FROM profiles)
+  concat_ws('|', CASE WHEN full_name = '' THEN 'no value in personal_details.full_name' END, CASE WHEN email = '' THEN 'no value in personal_details.email' END) AS warnings FROM profiles)
 SELECT cv_id, present, round(CASE WHEN present = '' THEN 0 ELSE len(string_split(present, '|')) END / 10 * 100, 6) AS share, warnings FROM s""")
 def validate_sections_present(spark, sf):
     df = p.profiles(spark, sf)

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from vitalake.llm import bytewords, divergence, lexical, licenses
+from vitalake.llm import bytewords, divergence, lexical, licenses, spans
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 LETTERS = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
@@ -205,3 +205,15 @@ def test_license_wordings_and_digest(spark):
 def test_bad_templates_are_refused(markup):
     with pytest.raises(ValueError):
         licenses.compile_templates([licenses.Template("bad", markup)])
+
+
+# --- op3 -------------------------------------------------------------------------------------------------------------
+
+def test_spans_keep_columns_of_any_name(spark):
+    passage = "The quick brown fox jumps over the lazy dog today. Nobody in the whole wide town had ever seen it before that. "
+    rows = [(1, passage + "One ends here.", *"abcdefg"), (2, passage + "Two ends there.", *"hijklmn"), (None, passage, *"opqrstu")]
+    names = ["_id", "_gone", "_h", "_t", "_first", "_span", "_span_id"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = {r["doc_id"]: r for r in spans.remove_repeated_spans(docs).collect()}
+    assert [got[i]["text"] for i in (1, 2, None)] == [passage + "One ends here.", "Two ends there.", passage]
+    assert [got[2][n] for n in names] == list("hijklmn") and got[2]["n_removed"] == 2

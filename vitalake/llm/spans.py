@@ -159,7 +159,8 @@ def remove_repeated_spans(
     the runs that an earlier document has. Null texts stay null, texts that lose nothing stay as they
     are. Only ``(hash, id)`` of each run is shuffled, with the smallest id per hash combined before the shuffle,
     so that a passage of many documents is no hot key; the removed hashes come back to their documents by id.
-    Columns named like the two added ones are replaced; others are kept.
+    Columns named like the two added ones are replaced; others are kept, whatever their names. Rows with a null id
+    lose nothing and take nothing from others.
     """
     columns = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
     kind = docs.schema[id_col].dataType.simpleString()
@@ -176,8 +177,11 @@ def remove_repeated_spans(
     spans = slim.mapInArrow(emit, f"_id {kind}, _h long")
     repeated = spans.groupBy("_h").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where(F.col("_first") < F.col("_last")).drop("_last")
     later = spans.join(repeated, "_h").where(F.col("_id") > F.col("_first"))
-    by_doc = later.groupBy("_id").agg(F.collect_set("_h").alias("_gone"))
-    joined = docs.select(*columns).join(by_doc, F.col(id_col) == F.col("_id"), "left").drop("_id")
+    own = "_span"  # names that no column of the documents has
+    while any(c.lower().startswith(own) for c in columns):
+        own += "_"
+    by_doc = later.groupBy(F.col("_id").alias(f"{own}_id")).agg(F.collect_set("_h").alias(f"{own}_gone"))
+    joined = docs.select(*columns).join(by_doc, F.col(id_col) == F.col(f"{own}_id"), "left").drop(f"{own}_id")
     at = columns.index(text_col)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

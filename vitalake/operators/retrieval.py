@@ -12,13 +12,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from vitalake.functions import arrays as A
 from vitalake.functions.skills import contains_any
 from vitalake.functions.text import typed_id
+from vitalake.operators.vectors import best_by_vectors
 from vitalake.operators.term_search import best_by_keywords, search_terms
 
 # Stop words of the three keyword modes.
@@ -209,37 +208,8 @@ def tiled(queries: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def vector_scores(queries: DataFrame, docs: DataFrame, *, k: int) -> DataFrame:
-    """Cosine of every query and document vector, the best k per query and cell.
-
-    A length mismatch or a zero norm scores 0. Numbers are doubles. The result
-    still needs :func:`rank_results` over the cells.
-    """
-    left, right = tiled(
-        queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")),
-        docs.select("doc_id", F.col("embedding").cast("array<double>").alias("embedding")),
-    )
-
-    def cell(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        out: list[pd.DataFrame] = []
-        if len(q) and len(d):
-            d = d.sort_values("doc_id", kind="stable").reset_index(drop=True)
-            scores = np.zeros((len(q), len(d)))
-            q_len, d_len = q["embedding"].map(len).to_numpy(), d["embedding"].map(len).to_numpy()
-            for size in set(q_len) & set(d_len):
-                qi, di = np.flatnonzero(q_len == size), np.flatnonzero(d_len == size)
-                a, b = np.stack(q["embedding"].to_numpy()[qi]), np.stack(d["embedding"].to_numpy()[di])
-                norms = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    scores[np.ix_(qi, di)] = np.where(norms > 0, (a @ b.T) / norms, 0.0)
-            scores = np.round(scores, 6)
-            for row, query_id in enumerate(q["query_id"]):
-                best = np.argsort(-scores[row], kind="stable")[:k]
-                out.append(pd.DataFrame({"query_id": query_id, "doc_id": d["doc_id"].to_numpy()[best], "score": scores[row, best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
-
-    types = {f.name: f.dataType.simpleString() for f in [*queries.schema, *docs.schema]}
-    schema = f"query_id {types['query_id']}, doc_id {types['doc_id']}, score double"
-    return left.groupBy("_tile", "_block").cogroup(right.groupBy("_tile", "_block")).applyInPandas(cell, schema)
+    """Cosine of the ``k`` best documents of every query, see :func:`vectors.best_by_vectors`."""
+    return best_by_vectors(queries, docs, k=k).drop("rank")
 
 
 def _levels(terms: Column) -> Column:

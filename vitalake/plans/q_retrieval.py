@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vitalake.operators import retrieval as r
+from vitalake.operators import retrieval as r, vectors
 from vitalake.plans import profiles as p, texts as tx, views as v
 from vitalake.plans.registry import query
+from vitalake.session import fresh_path
 
 P = "WITH " + p.PROFILES
 
@@ -140,6 +141,18 @@ def retrieval_vector(spark, sf):
     return _long(r.retrieve(_queries(spark, sf), _docs(spark, sf), strategy="semantic"))
 
 
+@query("retrieval_vector_lists", "R5 J11")
+def retrieval_vector_lists(spark, sf):
+    # every document is in one of 16 lists, written by list; a query meets as many as a recall of 0.97 takes
+    docs = v.load(spark, sf, "embeddings").selectExpr("vec_id AS doc_id", "embedding")
+    centres = vectors.fit_lists(docs, 16)
+    path = fresh_path(spark, "vector-lists")
+    vectors.assign_lists(docs, centres).write.partitionBy("list").parquet(path)
+    listed = spark.read.parquet(path)
+    probes, _ = vectors.probes_for_recall(listed, centres, k=5, target=0.97)
+    return _long(vectors.best_by_vectors(_queries(spark, sf), listed, k=5, centres=centres, probes=probes))
+
+
 HYBRID_SQL = _keyword_sql("short", "jaccard") + VEC_SQL + """,
 sv AS {S}, wv AS {W},
 hy AS MATERIALIZED (SELECT coalesce(s.query_id, w.query_id) AS query_id, coalesce(s.doc_id, w.doc_id) AS doc_id, round(coalesce(s.score, 0) * 0.7::DOUBLE + coalesce(w.score, 0) * 0.3::DOUBLE, 8) AS score

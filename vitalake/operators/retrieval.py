@@ -438,10 +438,12 @@ def profile_documents(df: DataFrame) -> DataFrame:
 
 
 def index_stats(docs: DataFrame) -> DataFrame:
-    """Per type: documents, with keywords, mean keywords and characters, megabytes."""
+    """Per type: documents, with keywords, with vectors (where there is a column ``embedding``), mean keywords and
+    characters, megabytes."""
     found = docs.withColumn("_k", F.size(keywords(F.col("content"))))
+    held = [F.count(F.when(F.size("embedding") > 0, 1)).alias("with_embeddings")] if "embedding" in docs.columns else []
     return found.groupBy("index_type").agg(
-        F.count(F.lit(1)).alias("documents"), F.count(F.when(F.col("_k") > 0, 1)).alias("with_keywords"),
+        F.count(F.lit(1)).alias("documents"), F.count(F.when(F.col("_k") > 0, 1)).alias("with_keywords"), *held,
         F.round(F.avg("_k"), 6).alias("avg_keywords"), F.round(F.avg(F.length("content")), 6).alias("avg_length"),
         F.round(F.sum(F.octet_length("content")) / 1048576, 6).alias("size_mb"),
     )

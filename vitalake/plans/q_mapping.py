@@ -111,6 +111,14 @@ def questions_loss_guards(spark, sf):
         rows["snapshots"].select(F.lit("snapshot").alias("kind"), "session_id", F.lit("questionnaire").alias("source"), F.col("question").alias("label"), F.col("answer").alias("value")))
 
 
+@query("questions_low_confidence", "V15", "WITH " + v.EXTRACTIONS + """
+SELECT extraction_id AS cv_id, field_path AS field, 'Found ' || chr(39) || source_type || chr(39) || ' for ' || field_path || '. Is that right?' AS question, 'high' AS priority
+FROM field_conf JOIN extractions USING (extraction_id) WHERE confidence_score < 0.6""")
+def questions_low_confidence(spark, sf):
+    held = v.extractions(spark, sf).select(F.col("extraction_id").alias("cv_id"), F.col("source_type").alias("value"), F.explode("field_confidence").alias("field", "confidence"))
+    return qn.low_confidence_questions(held).select("cv_id", "field", "question", "priority")
+
+
 @query("questions_followup_text", "V14", "WITH " + v.ANSWERS + f""",
 f AS (SELECT *, 'skills ' || lower(trim(question)) AS q, len(regexp_split_to_array(trim(answer), '\\s+')) AS n FROM answers)
 SELECT session_id, ordinal, CASE WHEN trim(answer) = '' THEN 'more_details' WHEN contains(q, 'professional profile') AND n < 8 THEN 'expand_summary' WHEN n < 8 THEN 'add_skills' END AS followup FROM f""")

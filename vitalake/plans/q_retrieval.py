@@ -325,6 +325,14 @@ def retrieval_index_stats(spark, sf):
     return r.index_stats(r.profile_documents(p.profiles(spark, sf)))
 
 
+@query("retrieval_index_stats_vectors", "A22", f"""WITH n AS (SELECT doc_id, lang AS index_type, text AS content, len(list_distinct(list_filter(list_transform({WORDS.format('lower(text)')}, lambda x: regexp_replace(x, '[^\\pL\\pN]', '', 'g')),
+  lambda u: length(u) > 2 AND u NOT IN {_stop(r.STOP_LONG)}))) AS k FROM documents)
+SELECT index_type, count(*) AS documents, count(*) FILTER (k > 0) AS with_keywords, count(*) FILTER (e.vec_id IS NOT NULL) AS with_embeddings, round(avg(k), 6) AS avg_keywords,
+  round(avg(length(content)), 6) AS avg_length, round(sum(strlen(content)) / 1048576, 6) AS size_mb FROM n LEFT JOIN embeddings e ON e.vec_id = n.doc_id GROUP BY 1""")
+def retrieval_index_stats_vectors(spark, sf):
+    return r.index_stats(_docs(spark, sf).select(F.col("metadata")["lang"].alias("index_type"), F.col("text").alias("content"), "embedding"))
+
+
 @query("retrieval_deleted", "R15", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
 def retrieval_deleted(spark, sf):
     return r.delete_documents(_docs(spark, sf), v.load(spark, sf, "labels").where("quality = 0")).select("doc_id")

@@ -309,3 +309,10 @@ def text_truthy(spark, sf):
     return tx.all_texts(spark, sf).select(
         "doc_id", "channel", V.truthy(F.col("text"), "string").alias("text_set"), V.truthy(F.length("text") % 3, "number").alias("number_set"),
         V.truthy(numbers, "array").alias("list_set"), V.truthy(F.col("doc_id") % 2 == 0, "boolean").alias("flag_set"))
+
+
+@query("text_whole_word_domains", "X28", "WITH " + tx.TEXTS + """
+SELECT doc_id, channel, array_to_string(list_filter(['Healthcare', 'Insurance', 'Banking', 'Finance', 'Retail', 'Telecom', 'Manufacturing', 'Pharma', 'Energy', 'Education'],
+  lambda d: regexp_matches(lower(text), '\\b' || lower(d) || '\\b')), '|') AS domains FROM all_texts""")
+def text_whole_word_domains(spark, sf):
+    return tx.all_texts(spark, sf).select("doc_id", "channel", F.array_join(t.whole_word_domains(F.col("text")), "|").alias("domains"))

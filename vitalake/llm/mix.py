@@ -2,8 +2,10 @@
 
 Documents of a source are put in a hash order and served in that order, again from the start after the last one.
 A document's virtual finish time is the number of its source's words up to its end over the source's target, so
-all sources reach their targets at virtual time 1. The mix is the global order of finish times, cut at the total
-budget; a document in service at the cut is taken as far as it had come.
+all sources come near their targets at virtual time 1. The mix is the global order of finish times: documents are
+taken whole until the total budget is used, and only the one that reaches it is taken in part. What a source lacks
+of its target, or has beyond it, is less than the words of one of its documents, but for the part-taken one and
+the documents that fill up what others leave.
 """
 
 from __future__ import annotations
@@ -66,7 +68,7 @@ def mix(
     """The mix in draws: ``(id, source, size, source_size, target, epoch, finish, taken, offset)``.
 
     ``taken`` are the words of the document in this epoch, ``offset`` its place (in words) in the mix; rows that
-    take nothing (offset null) are kept, so each document has ``max_epochs`` rows. Nulls: a null text has size 0, null sources
+    take nothing (offset null: empty, or after the cut) are kept, so each document has ``max_epochs`` rows. Nulls: a null text has size 0, null sources
     are one source, the last. Repeated rows count each. The order of a source is that of md5(id), so reruns agree;
     rows with one id follow by size. An empty table gives no rows. Only ids, sources and sizes are shuffled.
     """
@@ -80,18 +82,19 @@ def mix(
     known = shuffled.join(source_targets(sized, weights, budget_share, max_epochs), SOURCE)
     draws = known.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1)))).withColumn(
         "_start", F.col("_before") + F.col("epoch") * F.col("source_size")
+    ).withColumn(
+        "finish", F.when(F.col("target") > 0, (F.col("_start") + F.col("size")) / F.col("target")).otherwise(0.0)
     ).withColumns({
-        "finish": F.when(F.col("target") > 0, (F.col("_start") + F.col("size")) / F.col("target")).otherwise(0.0),
-        "_served": F.greatest(F.lit(0), F.least(F.col("size"), F.floor(F.col("target") - F.col("_start")))),
-    }).withColumns({
-        # draws after the cut take nothing and shift no one: any slice will do, so they are spread
-        "_time": F.when(F.col("_served") > 0, F.least(F.lit(slices), F.floor(F.col("finish") * slices)).cast("int")).otherwise(F.col("_slice")), "_all": F.lit(0),
+        # finish times have no upper bound: 1 - 1 / (1 + finish) rises with them and stays below 1. Empty documents
+        # shift no one, so any slice will do and they are spread
+        "_time": F.when(F.col("size") > 0, F.floor((1 - 1 / (1 + F.col("finish"))) * (2 * slices)).cast("int")).otherwise(F.col("_slice")),
+        "_all": F.lit(0),
     })
-    ordered = running_sum(draws, ["_all"], "_time", ["finish", *SOURCE, "epoch", "_order", "_id", "size"], "_served", "offset")
-    room = F.greatest(F.lit(0), F.floor(F.col("_budget")) - F.col("offset"))
-    return ordered.select(
-        F.col("_id").alias(id_col), F.col("_source").alias(source_col), "size", "source_size", "target", "epoch", "finish",
-        F.least(F.col("_served"), room).cast("long").alias("taken"), F.when(F.col("_served") > 0, F.col("offset")).alias("offset"),
+    ordered = running_sum(draws, ["_all"], "_time", ["finish", *SOURCE, "epoch", "_order", "_id", "size"], "size", "offset")
+    taken = F.greatest(F.lit(0), F.least(F.col("size"), F.floor(F.col("_budget")) - F.col("offset"))).cast("long")
+    return ordered.withColumn("taken", taken).select(
+        F.col("_id").alias(id_col), F.col("_source").alias(source_col), "size", "source_size", "target", "epoch", "finish", "taken",
+        F.when(F.col("taken") > 0, F.col("offset")).alias("offset"),
     )
 
 
@@ -127,11 +130,11 @@ placed AS (
   SELECT z.*, t.source_size, t.target, t.budget,
     coalesce(sum(size) OVER (PARTITION BY z.n, z.s ORDER BY o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
   FROM sized z JOIN targets t ON z.n = t.n AND z.s = t.s),
-served AS (
-  SELECT p.*, e.epoch, greatest(0, least(size, floor(target - (before + e.epoch * source_size))))::BIGINT AS words,
+timed AS (
+  SELECT p.*, e.epoch,
     CASE WHEN target > 0 THEN (before + e.epoch * source_size + size) / target ELSE 0 END AS finish
   FROM placed p, range({max_epochs}) e(epoch)),
 cut AS (
-  SELECT *, coalesce(sum(words) OVER (ORDER BY finish, n, s, epoch, o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS offset_words FROM served)
-SELECT doc_id, size, source_size, target, sum(least(words, greatest(0, floor(budget) - offset_words)))::BIGINT AS taken
+  SELECT *, coalesce(sum(size) OVER (ORDER BY finish, n, s, epoch, o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS offset_words FROM timed)
+SELECT doc_id, size, source_size, target, sum(greatest(0, least(size, floor(budget) - offset_words)))::BIGINT AS taken
 FROM cut GROUP BY doc_id, n, s, o, size, source_size, target, before"""

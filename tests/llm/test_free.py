@@ -1,6 +1,7 @@
 """Token counts, language, leaks, spans, suffixes, archives and near copies on small inputs, against plain Python."""
 
 import hashlib
+import inspect
 import random
 import re
 
@@ -162,10 +163,32 @@ def test_leaks_with_as_many_edits_as_a_match_may_have(spark):
                 around = [[word() for _ in range(rng.randrange(60))] for _ in range(2)]
                 rows.append((len(items), " ".join([*around[0], *_edited(rng, item, n // 5, kind), *around[1]])))
                 items.append((len(items), " ".join(item)))
-    got = decontam.find_leaks(_docs(spark, rows), spark.createDataFrame(items, "item_id int, text string")).collect()
+    table = spark.createDataFrame(items, "item_id int, text string")
+    got = decontam.find_leaks(_docs(spark, rows), table, exact=True).collect()
     found = {r["item_id"]: r["distance"] for r in got if r["doc_id"] == r["item_id"]}
     assert [(i, len(t.split())) for i, t in items if i not in found] == []
     assert all(found[i] <= len(t.split()) // 5 for i, t in items)
+    walked = {(r["doc_id"], r["item_id"], r["distance"], r["start_word"]) for r in decontam.find_leaks(_docs(spark, rows), table).collect()}
+    assert walked <= {(r["doc_id"], r["item_id"], r["distance"], r["start_word"]) for r in got}
+
+
+@pytest.mark.parametrize("n", [3, 5, 9, 15, 16, 24, 31, 59, 117, 400])
+def test_walks_alone_reach_the_recall(n):
+    """Item lengths one by one, so that each is the smallest of its class; a fifth of the words edited."""
+    rng = random.Random(n)
+    items = [np.array([rng.getrandbits(60) for _ in range(n)], np.uint64) for _ in range(200)]
+    texts = []
+    for i, item in enumerate(items):
+        around = [[rng.getrandbits(60) for _ in range(rng.randrange(60))] for _ in range(2)]
+        edited = [w if isinstance(w, int) else rng.getrandbits(60) for w in _edited(rng, item.tolist(), n // 5, ("swap", "add", "drop", "mixed")[i % 4])]
+        texts.append([*around[0], *edited, *around[1]])
+    hi = np.cumsum([len(t) for t in texts])
+    lo = hi - [len(t) for t in texts]
+    defaults = {k: p.default for k, p in inspect.signature(decontam.find_leaks).parameters.items()}
+    classes = decontam.index(items, defaults["walks"], defaults["samples"], defaults["width"])
+    met = decontam._candidates(np.array([w for t in texts for w in t], np.uint64), lo, hi, classes, [])
+    found = sum(doc == item for doc, item in {(doc, item) for doc, item, _ in met.tolist()})
+    assert found >= 0.95 * len(items)
 
 
 # --- op3 -------------------------------------------------------------------------------------------------------------

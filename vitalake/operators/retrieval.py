@@ -52,40 +52,30 @@ def chunk_words(df: DataFrame, *, size: int = 500, overlap: int = 50, key: str =
     """R1 b, e: windows of ``size`` words that start every ``size - overlap`` words."""
     step = size - overlap
     words = df.select(key, _words(F.col("text")).alias("_w")).where(F.size("_w") > 0)
-    starts = words.select(key, "_w", F.posexplode(F.sequence(F.lit(0), F.size("_w") - 1, F.lit(step))).alias("chunk_no", "_s"))
-    return starts.select(key, "chunk_no", F.array_join(F.slice("_w", F.col("_s") + 1, F.lit(size)), " ").alias("content"))
+    # the chunks are cut before the explode: after it every chunk would carry all words
+    chunks = F.transform(
+        F.sequence(F.lit(0), F.size("_w") - 1, F.lit(step)), lambda s: F.array_join(F.slice("_w", s + 1, F.lit(size)), " "))
+    return words.select(key, F.posexplode_outer(chunks).alias("chunk_no", "content"))
 
 
 def chunk_chars(df: DataFrame, *, size: int = 400, key: str = "doc_id") -> DataFrame:
     """R1 a: words joined until the chunk has ``size`` characters.
 
-    The fold keeps the chunk number of every word, not the growing text.
+    On words one space apart a chunk is ``size`` characters and the rest of the word they end in (the next word, if
+    they end in a space): one pass of a pattern over the text, however long.
     """
-    words = _words(F.col("text"))
-    start = F.struct(F.lit(0).alias("len"), F.lit(0).alias("no"), F.array().cast("array<int>").alias("nos"))
+    joined = F.array_join(_words(F.col("text")), " ")
+    chunks = F.regexp_extract_all("_t", F.lit(rf"(?s)\S.{{{size - 1}}}\S*|\S.*"), F.lit(0))
+    return df.select(key, joined.alias("_t")).where(F.col("_t") != "").select(key, F.posexplode_outer(chunks).alias("chunk_no", "content"))
 
-    def step(acc: Column, w: Column) -> Column:
-        length = F.when(acc["len"] == 0, F.length(w)).otherwise(acc["len"] + 1 + F.length(w))
-        full = length >= size
-        return F.struct(
-            F.when(full, 0).otherwise(length).alias("len"), F.when(full, acc["no"] + 1).otherwise(acc["no"]).alias("no"),
-            F.concat(acc["nos"], F.array(acc["no"])).alias("nos"),
-        )
 
-    numbered = df.select(key, words.alias("_w")).withColumn("_nos", F.aggregate("_w", start, step)["nos"])
-    spans = F.transform(
-        F.sequence(F.lit(0), F.array_max("_nos")),
-        lambda n: A.let(
-            F.array_position("_nos", n).cast("int"),
-            lambda first: F.array_join(F.slice("_w", first, F.size(F.filter("_nos", lambda x: x == n))), " "),
-        ),
-    )
-    return numbered.where(F.size("_w") > 0).select(key, F.posexplode_outer(spans).alias("chunk_no", "content"))
+def _marked(opens: Column) -> Column:
+    """Positions at which ``opens`` is true."""
+    return F.filter(F.transform(opens, lambda o, i: F.when(o, i)), lambda i: i.isNotNull())
 
 
-def _grouped(parts: Column, opens: Column, joiner: str) -> Column:
-    """Parts joined per group; ``opens`` marks by position which parts start a new group."""
-    starts = F.filter(F.transform(opens, lambda o, i: F.when(o, i)), lambda i: i.isNotNull())
+def _grouped(parts: Column, starts: Column, joiner: str) -> Column:
+    """Parts joined per group; ``starts`` are the positions of the parts that start a new group."""
     return A.let(
         F.struct(parts.alias("p"), starts.alias("s")),
         lambda b: F.transform(
@@ -99,11 +89,14 @@ def chunk_paragraphs(df: DataFrame, *, max_words: int = 500, separator: str = "\
     """R1 c: paragraphs joined while they stay within ``max_words``."""
     parts = F.split("text", separator)
     sizes = F.transform(parts, lambda x: F.size(_words(x)))
-    start = F.struct(F.lit(-1).alias("n"), F.array().cast("array<boolean>").alias("o"))
+    start = F.struct(F.lit(-1).alias("n"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("o"))
 
     def step(acc: Column, n: Column) -> Column:
         opens = (acc["n"] < 0) | (acc["n"] + n > max_words)
-        return F.struct(F.when(opens, n).otherwise(acc["n"] + n).alias("n"), F.concat(acc["o"], F.array(opens)).alias("o"))
+        return F.struct(
+            F.when(opens, n).otherwise(acc["n"] + n).alias("n"), (acc["i"] + 1).alias("i"),
+            F.when(opens, F.concat(acc["o"], F.array(acc["i"]))).otherwise(acc["o"]).alias("o"),
+        )
 
     marked = df.select(key, parts.alias("_p"), F.aggregate(sizes, start, step)["o"].alias("_o"))
     return marked.select(key, F.posexplode_outer(_grouped(F.col("_p"), F.col("_o"), " ")).alias("chunk_no", "content"))
@@ -113,7 +106,7 @@ def chunk_sections(df: DataFrame, *, key: str = "doc_id") -> DataFrame:
     """R1 d: a line that contains a section marker starts a chunk."""
     lines = F.split("text", "\n")
     opens = F.transform(lines, lambda x, i: (i == 0) | contains_any(F.upper(x), SECTION_MARKERS))
-    marked = df.select(key, lines.alias("_p"), opens.alias("_o"))
+    marked = df.select(key, lines.alias("_p"), _marked(opens).alias("_o"))
     return marked.select(key, F.posexplode_outer(_grouped(F.col("_p"), F.col("_o"), "\n")).alias("chunk_no", "content"))
 
 

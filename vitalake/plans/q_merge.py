@@ -20,7 +20,7 @@ def J(name: str):
     return F.array_join(name, "|").alias(name)
 
 
-@query("profile_records", "S7 S12", PP + """
+@query("profile_records", "S12", PP + """
 SELECT 'document' AS kind, cv_id, full_name, email, phone, title, organization, years, summary, city, country,
   array_to_string(primary_skills, '|') AS primary_skills, array_to_string(secondary_skills, '|') AS secondary_skills,
   array_to_string(certs, '|') AS certs, len(projects) AS projects,

@@ -121,6 +121,15 @@ for _mode in ("short", "clean", "ordered"):
     _register(_mode)
 
 
+@query("retrieval_index_reloaded", "S8 R3", f"SELECT doc_id, n_chars, count(*) AS postings FROM {_kw(DOC_SRC, 'doc_id', 'ordered')} JOIN (SELECT doc_id, n_chars FROM documents) USING (doc_id) GROUP BY ALL")
+def retrieval_index_reloaded(spark, sf):
+    path = fresh_path(spark, "retrieval-index")
+    r.save_index(v.load(spark, sf, "documents").select("doc_id", "text", "n_chars"), path)
+    docs, posts = r.load_index(spark, path)
+    counted = posts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("postings"))
+    return docs.select("doc_id", "n_chars").join(counted, "doc_id")
+
+
 @query("retrieval_keyword_jaccard", "J10 R4 O1 W8", _keyword_sql("short", "jaccard") + f" SELECT query_id, doc_id, score, rank FROM {_ranked('kws', 5)}")
 def retrieval_keyword_jaccard(spark, sf):
     return _long(r.retrieve(_queries(spark, sf), _plain(spark, sf), strategy="keyword"))

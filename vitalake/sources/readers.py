@@ -21,6 +21,9 @@ SESSION_SCHEMA = T.StructType([
     T.StructField("uploaded_artifacts", T.StringType()), T.StructField("metadata", T.StringType()), T.StructField("workflow_state", T.StringType()),
     T.StructField("version", T.LongType()),
 ])
+#: Times keep their microseconds in JSON; the default pattern ends at milliseconds.
+MICROS = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
+CORRUPT = "_corrupt_record"
 HISTORY = "array<struct<source_type:string,event_at:timestamp_ntz,description:string,payload_metadata:map<string,string>>>"
 ARTIFACTS = (
     "array<struct<artifact_id:string,artifact_type:string,file_name:string,content_type:string,size_bytes:bigint,storage_path:string,"
@@ -48,14 +51,34 @@ def append_audit_events(events: DataFrame, path: str) -> None:
     )
 
 
-def read_sessions_json(spark: SparkSession, path: str, schema: T.StructType = SESSION_SCHEMA) -> DataFrame:
-    """A directory with one JSON file per session."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_sessions_json(spark: SparkSession, path: str, schema: T.StructType = SESSION_SCHEMA, *, one_per_file: bool = True) -> DataFrame:
+    """A directory with one JSON file per session, or with a session per line, as ``write_sessions_json`` leaves it."""
+    return spark.read.schema(schema).options(multiLine=one_per_file, timestampNTZFormat=MICROS).json(path)
+
+
+def read_json_checked(
+    spark: SparkSession, path: str, schema: T.StructType, *, required: list[str], defaults: dict[str, object] | None = None, one_per_file: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """S4 with a contract: ``(good, bad)``. Rows that do not parse, hold a value of another type or lack a required
+    column are bad: ``(reason, raw)``, the text as it stands in the file or, where that parses, the row as JSON.
+    Good rows have ``schema``; ``defaults`` replace nulls. An empty folder gives two empty tables.
+    """
+    columns = [f.name for f in schema.fields]
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])).options(
+        multiLine=one_per_file, timestampNTZFormat=MICROS, columnNameOfCorruptRecord=CORRUPT).json(path)
+    reason = F.when(F.col(CORRUPT).isNotNull(), "malformed")
+    for name in required:
+        reason = reason.when(F.col(name).isNull(), f"missing {name}")
+    judged = rows.withColumn("reason", reason)
+    bad = judged.where(F.col("reason").isNotNull()).select("reason", F.coalesce(CORRUPT, F.to_json(F.struct(*columns))).alias("raw"))
+    good = judged.where(F.col("reason").isNull()).select(
+        [F.coalesce(name, F.lit((defaults or {}).get(name))).cast(schema[name].dataType).alias(name) for name in columns])
+    return good, bad
 
 
 def write_sessions_json(sessions: DataFrame, path: str) -> None:
     """Whole snapshot; the commit protocol publishes it only when every task is done."""
-    sessions.write.mode("error").json(path)
+    sessions.write.mode("error").option("timestampNTZFormat", MICROS).json(path)
 
 
 def decode_sessions(raw: DataFrame) -> DataFrame:

@@ -413,3 +413,36 @@ def test_expiry_state_keeps_the_newest_update():
         state.hasTimedOut = True
         (done,) = jobs._expire(("s",), iter([]), state)
         assert done["expires_at"][0] == day + pd.Timedelta(hours=16)
+
+
+def test_expiry_handles_the_sessions_of_a_bucket_at_once():
+    class State:
+        exists, hasTimedOut, value, at, now = False, False, None, None, 0
+        get = property(lambda self: self.value)
+
+        def update(self, value):
+            self.exists, self.value = True, value
+
+        def setTimeoutTimestamp(self, at):
+            self.at = at
+
+        def getCurrentWatermarkMs(self):
+            return self.now
+
+        def remove(self):
+            self.exists = False
+
+    day, state = pd.Timestamp("2024-01-01"), State()
+    rows = [("a", day, False), ("b", day, None), (None, day, True), ("b", day, True), ("c", None, True)]
+    frame = pd.DataFrame(rows, columns=["session_id", "created_at", "exported"])
+    assert list(jobs._expire((0,), iter([frame]), state)) == []
+    assert state.at == (day + pd.Timedelta(hours=6)).value // 1_000_000
+    state.hasTimedOut, state.now = True, state.at + 1
+    (done,) = jobs._expire((0,), iter([]), state)
+    assert sorted(map(str, done["session_id"])) == ["None", "b"] and set(done["expires_at"]) == {day + pd.Timedelta(hours=6)}
+    assert state.value[0] == ["a"] and state.at == (day + pd.Timedelta(hours=24)).value // 1_000_000
+    state.hasTimedOut = False
+    assert list(jobs._expire((0,), iter([frame[:1].assign(created_at=day + pd.Timedelta(hours=9))]), state)) == []
+    state.now = state.at + 1
+    (done,) = jobs._expire((0,), iter([frame[2:3].assign(created_at=day + pd.Timedelta(days=9))]), state)
+    assert list(done["session_id"]) == ["a"] and [x if isinstance(x, str) else None for x in state.value[0]] == [None]

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -78,42 +79,50 @@ def write(df: DataFrame, path: str, checkpoint: str, *, available_now: bool = Fa
     return _start(df, path, checkpoint, available_now=available_now)
 
 
-def _expire(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per session: keep the newest update time and whether it was an export; emit once when its time is over."""
-    def end(newest: int, exported: bool) -> int:
-        return newest + (EXPORT_TTL_HOURS if exported else TTL_HOURS) * 3_600_000
+#: Groups that sessions are hashed into. A group is one call of Python, whatever its number of sessions; the number is
+#: part of a checkpoint.
+BUCKETS = 2048
 
-    if state.hasTimedOut:
-        expires = end(*state.get)
-        state.remove()
-        yield pd.DataFrame({"session_id": [key[0]], "expires_at": [pd.Timestamp(expires, unit="ms")]})
-        return
-    newest, exported = state.get if state.exists else (-(2**62), False)
-    for batch in batches:
-        rows = batch.dropna(subset=["created_at"])
-        if rows.empty:
-            continue
-        last = rows["created_at"].max()
-        at, by_export = last.value // 1_000_000, bool(rows.loc[rows["created_at"] == last, "exported"].fillna(False).astype(bool).any())
-        if at > newest:
-            newest, exported = at, by_export
-        elif at == newest:
-            exported = exported or by_export
-    if newest == -(2**62):
+
+def _expire(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Per bucket of sessions: keep each one's newest update time and whether it was an export; emit once when its time is over."""
+    held = {name: (ms, exported) for name, ms, exported in zip(*state.get)} if state.exists else {}
+    for batch in () if state.hasTimedOut else batches:
+        at = batch["created_at"].to_numpy("datetime64[ms]")
+        names = batch["session_id"] if "session_id" in batch else [key[0]] * len(batch)
+        for name, ms, none, flag in zip(names, at.astype("int64").tolist(), np.isnat(at).tolist(), batch["exported"]):
+            if none:
+                continue
+            newest, exported = held.get(name, (ms, False))
+            if ms >= newest:
+                held[name] = ms, flag is not None and flag == True or exported and ms == newest  # noqa: E712 - a missing flag is no export
+    if not held:
         return
-    state.update((newest, exported))
-    state.setTimeoutTimestamp(max(end(newest, exported), state.getCurrentWatermarkMs() + 1))
+    ends = {name: ms + (EXPORT_TTL_HOURS if exported else TTL_HOURS) * 3_600_000 for name, (ms, exported) in held.items()}
+    watermark = state.getCurrentWatermarkMs()
+    limit = max(watermark, min(ends.values()) + 1) if state.hasTimedOut else watermark
+    over = [name for name, end in ends.items() if end < limit]
+    left = [(name, *held[name]) for name, end in ends.items() if end >= limit]
+    if left:
+        state.update(tuple(map(list, zip(*left))))
+        state.setTimeoutTimestamp(max(min(end for end in ends.values() if end >= limit), watermark + 1))
+    elif state.exists:
+        state.remove()
+    if over:
+        yield pd.DataFrame({"session_id": over, "expires_at": pd.to_datetime([ends[name] for name in over], unit="ms")})
 
 
-def session_expiry(updates: DataFrame, *, delay: str = DEFAULT_DELAY) -> DataFrame:
+def session_expiry(updates: DataFrame, *, delay: str = DEFAULT_DELAY, buckets: int = BUCKETS) -> DataFrame:
     """ST4: (session_id, expires_at) when event time passes 24 h after the last update, or 6 h after an export.
 
     ``updates`` is (session_id, created_at, exported). The state per open session is its newest update time and
-    whether that was an export, so the result does not depend on how updates are cut into batches.
+    whether that was an export, so the result does not depend on how updates are cut into batches. Sessions are hashed
+    into ``buckets``, whose state is handled at once: a call of Python for each session would take most of the time.
     """
-    return _timed(updates, delay).groupBy("session_id").applyInPandasWithState(
-        _expire, "session_id string, expires_at timestamp", "newest_ms long, exported boolean", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    hashed = _timed(updates, delay).withColumn("_bucket", F.pmod(F.xxhash64("session_id"), F.lit(buckets)))
+    return hashed.groupBy("_bucket").applyInPandasWithState(
+        _expire, "session_id string, expires_at timestamp", "session_id array<string>, newest_ms array<long>, exported array<boolean>", "append",
+        GroupStateTimeout.EventTimeTimeout)
 
 
 def _folder(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:

@@ -23,7 +23,7 @@ NEW = """CASE WHEN o_orderkey % 17 <> 1 THEN '{"audio":{"notes":["b","c' || o_cu
 
 
 def _sides(spark, sf) -> tuple[DataFrame, DataFrame]:
-    orders = v.load(spark, sf, "orders")
+    orders = v.load_spread(spark, sf, "orders", "o_orderkey")
     return tuple(orders.selectExpr("o_orderkey AS cv_id", f"{text} AS document") for text in (OLD, NEW))
 
 

@@ -62,3 +62,17 @@ def test_rounding_is_that_of_sql(spark):
     values = [1 / 128, 0.1234565, 2 / 3, 1.0, 5e-7, 0.0000015]
     got = [x[0] for x in spark.createDataFrame([(v,) for v in values], "v double").selectExpr("round(v, 6)").collect()]
     assert got == [ts.rounded(v) for v in values]
+
+
+def test_one_pass_equals_the_complete_score_tables(spark):
+    rng = random.Random(5)
+    words = ["engine", "engineer", "gin", "data", "database", "the", "xy", "ab", "Ünder", "cost-cut", "cost"]
+    texts = [rng.choice([" ", "\n"]).join(rng.choice(words) for _ in range(rng.randrange(9))) for _ in range(60)] + [None, "", "a\n\nb  c"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(rng.randrange(5)))) for i in range(12)] + [(90, ""), (91, "  "), (92, None)], "query_id long, text string")
+    lists = [r.keyword_scores(asked, docs, scoring="share"), r.substring_scores(asked, docs, scoring="fuzzy")]
+    # as in SQL a null text has no line; the complete table gives it a score
+    there = [df.where("text IS NOT NULL") for df in (asked, docs)]
+    for whole, best in ((r.combine_first(lists), r.best_combined_scores), (r.substring_scores(*there, scoring="lines"), r.best_line_scores)):
+        want = sorted(map(tuple, r.rank_results(whole, k=5).collect()))
+        assert sorted(map(tuple, r.rank_results(best(asked, docs, k=5), k=5).collect())) == want and len(want) > 20

@@ -18,7 +18,7 @@ from vitalake.functions import arrays as A
 from vitalake.functions.skills import contains_any
 from vitalake.functions.text import typed_id
 from vitalake.operators.vectors import best_by_vectors
-from vitalake.operators.term_search import best_by_keywords, search_terms
+from vitalake.operators.term_search import best_by_keywords, best_by_keywords_or_terms, best_by_lines, search_terms
 
 # Stop words of the three keyword modes.
 STOP_SHORT = ["the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for"]
@@ -166,6 +166,21 @@ def best_keyword_scores(queries: DataFrame, docs: DataFrame, *, k: int, scoring:
     return best_by_keywords(q, d, scoring=scoring, k=k).select("query_id", "doc_id", "score")
 
 
+def best_line_scores(queries: DataFrame, docs: DataFrame, *, k: int) -> DataFrame:
+    """The rows of :func:`substring_scores` by ``lines`` that are among a query's ``k`` best, in one pass. A query without a
+    word is searched as a text, like there."""
+    found = best_by_lines(queries, docs, k=k).select("query_id", "doc_id", "score")
+    blank = queries.where(F.size(_words(F.col("text"))) == 0)
+    return found if blank.isEmpty() else found.unionByName(rank_results(substring_scores(blank, docs.where("text IS NOT NULL"), scoring="lines"), k=k).drop("rank"))
+
+
+def best_combined_scores(queries: DataFrame, docs: DataFrame, *, k: int) -> DataFrame:
+    """The rows of :func:`combine_first` over :func:`keyword_scores` by ``share`` and :func:`substring_scores` by ``fuzzy`` that
+    are among a query's ``k`` best, in one pass."""
+    q, d = (df.select(key, "text", keywords(F.col("text")).alias("keywords")) for df, key in ((queries, "query_id"), (docs, "doc_id")))
+    return best_by_keywords_or_terms(q, d, k=k).select("query_id", "doc_id", "score")
+
+
 def rank_results(scores: DataFrame, *, k: int | None = 5, min_score: float | None = None) -> DataFrame:
     """Rank per query by score, ties by document id; the rank limit also runs before the shuffle."""
     if min_score is not None:

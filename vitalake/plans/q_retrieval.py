@@ -271,7 +271,7 @@ sc AS (SELECT query_id, doc_id, n, sum(CASE WHEN contains(l, q) THEN 1 ELSE len(
 s AS (SELECT query_id, doc_id, round(least(1, t / n), 6) AS score FROM sc WHERE round(least(1, t / n), 6) > 0)
 SELECT query_id, doc_id, score, rank FROM {_ranked('s', 5)}""")
 def retrieval_lines(spark, sf):
-    scores = r.substring_scores(_queries(spark, sf), _plain(spark, sf), scoring="lines")
+    scores = r.best_line_scores(_queries(spark, sf), _plain(spark, sf), k=5)
     return _long(r.rank_results(scores, k=5))
 
 
@@ -280,9 +280,7 @@ f AS (SELECT query_id, doc_id, round(hits / len(terms) * 0.8::DOUBLE, 6) AS scor
 u AS (SELECT query_id, doc_id, coalesce(k.score, f.score) AS score FROM f FULL JOIN kws k USING (query_id, doc_id))
 SELECT query_id, doc_id, score, rank FROM {_ranked('u', 5)}""")
 def retrieval_combined_modes(spark, sf):
-    queries, docs = _queries(spark, sf), _plain(spark, sf)
-    lists = [r.keyword_scores(queries, docs, scoring="share"), r.substring_scores(queries, docs, scoring="fuzzy")]
-    return _long(r.rank_results(r.combine_first(lists), k=5))
+    return _long(r.rank_results(r.best_combined_scores(_queries(spark, sf), _plain(spark, sf), k=5), k=5))
 
 
 @query("retrieval_similar", "J12 R14", _keyword_sql("ordered", "share") + f""",

@@ -76,3 +76,22 @@ def test_one_pass_equals_the_complete_score_tables(spark):
     for whole, best in ((r.combine_first(lists), r.best_combined_scores), (r.substring_scores(*there, scoring="lines"), r.best_line_scores)):
         want = sorted(map(tuple, r.rank_results(whole, k=5).collect()))
         assert sorted(map(tuple, r.rank_results(best(asked, docs, k=5), k=5).collect())) == want and len(want) > 20
+
+
+def test_similar_documents_search_equal_keywords_once(spark, monkeypatch):
+    texts = ["data engine", "engine data", "data engine core", "core", "", "data"] * 8
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sources = docs.selectExpr("doc_id AS query_id", "text", "doc_id AS source_doc_id")
+    sizes, search = [], r.best_by_keywords
+
+    def counted(queries, held, **more):
+        sizes.append((queries.count(), held.count()))
+        return search(queries, held, **more)
+
+    monkeypatch.setattr(r, "best_by_keywords", counted)
+    got = sorted(map(tuple, r.similar_documents(sources, docs, k=2).select("query_id", "doc_id", "score", "rank").collect()))
+    want = []
+    for q, text in enumerate(texts):
+        hits = sorted((-len(set(text.split()) & set(t.split())), d) for d, t in enumerate(texts) if d != q and set(text.split()) & set(t.split()))[:2]
+        want += [(q, d, round(n / hits[0][0], 6), i + 1) for i, (n, d) in enumerate(hits)]
+    assert got == sorted(want) and sizes == [(4, 12)]

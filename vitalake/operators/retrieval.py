@@ -18,6 +18,7 @@ from vitalake.functions import arrays as A
 from vitalake.functions.skills import contains_any
 from vitalake.functions.text import typed_id
 from vitalake.operators.vectors import best_by_vectors
+from vitalake.session import stored
 from vitalake.operators.term_search import best_by_keywords, best_by_keywords_or_terms, best_by_lines, search_terms
 
 # Stop words of the three keyword modes.
@@ -408,9 +409,20 @@ def similar_documents(sources: DataFrame, docs: DataFrame, *, k: int = 5, mode:
     """Documents by shared keywords with each source, score relative to the source's best; never itself.
 
     ``sources`` is (query_id, text); where its ids are document ids, the source is excluded by ``source_doc_id``.
+    Sources of equal keywords are searched once. Where documents are searched with one another, only the first documents of each
+    set of keywords meet them, since equal sets score alike: the work grows with the pairs of different sets.
     """
     own = "source_doc_id" in sources.columns
-    counts = best_keyword_scores(sources, docs, scoring="count", mode=mode, k=k + own)
+    asked = sources.select("query_id", F.array_sort(keywords(F.col("text"), mode)).alias("keywords")).where(F.size("keywords") > 0).distinct().withColumn(
+        "_set", F.array_join("keywords", " "))
+    held = docs.select("doc_id", F.array_sort(keywords(F.col("text"), mode)).alias("keywords")).where(F.size("keywords") > 0)
+    if own:
+        order = W.partitionBy(F.array_join("keywords", " ")).orderBy(F.col("doc_id").asc_nulls_last())
+        first = held.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1).drop("_n")
+        asked, held = stored(asked, "similar-asked"), stored(first, "similar-held")
+    sets = asked.select(F.col("_set").alias("query_id"), "keywords").distinct()
+    found = best_by_keywords(sets, held, scoring="count", k=k + own).select(F.col("query_id").alias("_set"), "doc_id", "score")
+    counts = asked.select("query_id", "_set").join(found, "_set").drop("_set")
     if own:
         counts = counts.join(sources.select("query_id", F.col("source_doc_id").alias("doc_id")), ["query_id", "doc_id"], "left_anti")
     best = F.max("score").over(W.partitionBy("query_id"))  # over the k best of a query: its best one is among them

@@ -141,7 +141,7 @@ SELECT * FROM lists"""
 @query("merge_project_lists", "M8 M9 M5", MERGED_SQL)
 def merge_project_lists(spark, sf):
     merged = merge.merge_profiles(p.profiles(spark, sf), p.page_profiles(spark, sf), "document_upload")
-    return merged.select("cv_id", F.explode("projects").alias("x")).select(
+    return A.explode_items(merged, ["cv_id"], F.col("projects"), "x").select(
         "cv_id", "x.name", "x.client", "x.description", F.array_join("x.technologies", "|").alias("technologies"),
         F.size("x.responsibilities").alias("responsibilities"),
     )

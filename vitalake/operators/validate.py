@@ -345,16 +345,17 @@ def layered_checks(df: DataFrame) -> DataFrame:
     )
     base = df.withColumns({"_texts": texts, "_plain": plain})
     entries = F.size("_texts")
-    weak = F.size(F.filter("_texts", lambda t: contains_any(F.lower(t), WEAK_VERBS)))
+    weak = F.size(F.filter("_texts", lambda t: A.let(F.lower(t), lambda low: contains_any(low, WEAK_VERBS))))
     vague = F.aggregate(
         "_plain", F.lit(0),
         lambda acc, t: acc + sum((F.when(t.contains(w), 1).otherwise(0) for w in VAGUE_TERMS), F.lit(0)),
     )
-    metric = F.size(F.filter("_texts", lambda t: t.rlike(QUANTIFIED)))
+    metric = F.size(F.filter("_texts", lambda t: t.rlike(f"(?=[0-9$])(?:{QUANTIFIED})")))  # tried at what it can begin with only
     listed = F.array_distinct(F.transform(F.coalesce("primary_skills", A.empty("string")), lambda s: F.lower(s)))
     used = F.expr("transform(flatten(transform(coalesce(projects, array()), x -> x.technologies)), t -> lower(t))")
     base = base.withColumns({"_listed": listed, "_used": used})
-    in_text = F.filter("_listed", lambda s: F.exists("_plain", lambda t: t.contains(s)))
+    # the union below has the used ones already: only the others are looked for in the texts
+    in_text = F.filter(F.array_except("_listed", "_used"), lambda s: F.exists("_plain", lambda t: t.contains(s)))
     demonstrated = F.size(F.array_union("_used", in_text))
     base = base.withColumns(
         {"_weak": weak, "_vague": vague, "_metric": metric, "_shown": demonstrated, "_n": entries}

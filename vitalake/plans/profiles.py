@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from vitalake.functions.markup import page_text
 from vitalake.plans import views as v
 
+# first and second word of a line, without taking the rest apart; '' if there is none
+_W1 = "regexp_extract(l, '[A-Za-z]+', 0)"
+_W2 = "regexp_extract(l, '[A-Za-z]++[^A-Za-z]++([A-Za-z]+)', 1)"
+
 _SPARK_STEPS = [
     {
         "words": r"regexp_extract_all(text, '[A-Za-z]+', 0)",
@@ -18,8 +22,8 @@ _SPARK_STEPS = [
     },
     {
         "full_name": "CASE WHEN cv_id % 9 = 0 THEN '' ELSE concat_ws(' ', get(words, 0), get(words, 1)) END",
-        "email": r"regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', 0)",
-        "phone": r"regexp_extract(text, '[+]?[0-9][0-9 ()-]{7,}[0-9]', 0)",
+        "email": r"CASE WHEN NOT contains(text, '@') THEN '' ELSE regexp_extract(text, '[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', 0) END",
+        "phone": r"regexp_extract(text, '(?=[+0-9])[+]?[0-9][0-9 ()-]{7,}[0-9]', 0)",
         "title": "CASE cv_id % 8 WHEN 0 THEN 'Software Engineer' WHEN 1 THEN 'technical manager' WHEN 2 THEN ' Solution Architect' "
         "WHEN 3 THEN 'Project Manager' WHEN 4 THEN 'Data Analyst' WHEN 5 THEN '' WHEN 6 THEN 'HR Manager' ELSE 'Senior Developer' END",
         "organization": "CASE WHEN cv_id % 5 = 0 THEN '' ELSE upper(coalesce(get(words, 2), '')) END",
@@ -31,20 +35,20 @@ _SPARK_STEPS = [
         "secondary_skills": "filter(words, w -> length(w) = 8)",
         "certs": "array_distinct(filter(words, w -> length(w) = 9 AND upper(left(w, 1)) = left(w, 1)))",
         "projects": "transform(lines, (l, i) -> named_struct("
-        "'name', lower(concat_ws(' ', slice(regexp_extract_all(l, '[A-Za-z]+', 0), 1, 2))), "
+        f"'name', lower(rtrim(concat({_W1}, ' ', {_W2}))), "
         "'client', CASE WHEN i % 2 = 0 THEN 'internal' ELSE '' END, "
         "'description', CASE WHEN length(l) % 10 = 0 THEN '' ELSE l END, "
         "'technologies', filter(regexp_extract_all(l, '[A-Za-z]+', 0), w -> length(w) >= 9), "
         r"'responsibilities', filter(split(l, '[.] ?'), p -> length(p) >= 20)))",
         "work": "transform(lines, (l, i) -> named_struct("
-        "'organization', upper(coalesce(get(regexp_extract_all(l, '[A-Za-z]+', 0), 0), '')), "
-        "'designation', coalesce(get(regexp_extract_all(l, '[A-Za-z]+', 0), 1), ''), "
+        f"'organization', upper({_W1}), "
+        f"'designation', {_W2}, "
         "'start_date', concat(CAST(1990 + length(l) % 30 AS STRING), '-01'), "
         "'end_date', CASE WHEN length(l) % 7 = 0 THEN '' ELSE concat(CAST(1990 + length(l) % 30 + length(l) % 5 - 1 AS STRING), '-06') END, "
         "'description', l))",
         "education": "transform(filter(lines, l -> length(l) < 60), l -> named_struct("
         "'degree', CASE length(l) % 4 WHEN 0 THEN 'Bachelor of Science' WHEN 1 THEN 'MBA' WHEN 2 THEN 'PhD' ELSE '' END, "
-        "'institution', coalesce(get(regexp_extract_all(l, '[A-Za-z]+', 0), 1), ''), "
+        f"'institution', {_W2}, "
         "'year', CASE WHEN length(l) % 3 = 0 THEN '' ELSE CAST(1970 + length(l) AS STRING) END))",
     },
 ]

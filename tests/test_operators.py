@@ -171,6 +171,25 @@ def test_flatten_json(spark):
     }
 
 
+def test_flatten_json_copies_equal_texts(spark):
+    # equal texts share their leaves, more rows leave than one batch holds; a long id next to a null one stays exact
+    rows = [(2**53 + i if i else None, '{"a": [1, "x"], "b": 2.0}' if i % 3 else (None, "", "oops")[i % 9 // 3]) for i in range(40_000)]
+    df = spark.createDataFrame(rows, "k long, j string").coalesce(1)
+    got = sorted((r.k or 0, r.path, r.leaf_label, r.value, r.value_type) for r in flatten_json(df, "j", ["k"]).collect())
+    want = [("a[0]", "a", "1", "integer"), ("a[1]", "a", '"x"', "string"), ("b", "b", "2.0", "number")]
+    assert got == sorted((k or 0, *leaf) for k, j in rows for leaf in ([("raw", "raw", '"oops"', "string")] if j == "oops" else want if j else []))
+
+
+def test_attribute_upsert_labels_of_first_sighting(spark):
+    early, late = dt.timedelta(0), dt.timedelta(1)
+    rows = [(1, "s", "p", '"v"', "New", "new", "string", TS + late), (1, "s", "p", '"v"', "Old", "old", "string", TS + early), (1, "s", "p", '"v"', "None", "none", "string", None)]
+    cols = "cv_id long, source string, source_path string, value string, original_label string, normalized_label string, value_type string, seen_at timestamp_ntz"
+    out = unmapped.upsert_attributes(spark.createDataFrame(rows, cols))
+    assert [tuple(r) for r in out.collect()] == [(1, "s", "p", '"v"', "Old", "old", "string", 3, TS, TS + late)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("HashAggregate") > plan.rindex("SortAggregate")  # sightings are counted before anything is sorted
+
+
 def test_list_helpers(spark):
     lit = lambda xs: F.array(*[F.lit(x) for x in xs])
     assert one(spark, A.union_ignore_case(lit(["Java", " SQL"]), lit(["java", "Go"]))) == ["Java", "SQL", "Go"]

@@ -25,6 +25,12 @@ def test_layer_checks_lower_each_text_once(spark):
     assert "array_except(" in plan
 
 
+def test_upserted_payloads_are_taken_apart_once(spark):
+    """The halves of the batch were told apart above the Python step, which therefore read all payloads for each half."""
+    steps = re.findall(r"Filter|MapIn\w+", _optimized(entry.queries()["unmapped_upsert"](spark, SF)))
+    assert steps == ["MapInArrow", "Filter", "MapInArrow", "Filter"]
+
+
 def test_profile_lines_are_not_taken_apart_for_their_first_words(spark):
     from vitalake.plans import profiles
 

@@ -29,7 +29,9 @@ def upsert_attributes(sightings: DataFrame, prior: DataFrame | None = None) -> D
     """One row per (record, source, path, value) with count and first/last sighting.
 
     ``prior`` is the stored state (same shape as the result); it is folded in
-    by adding counts, so the state is never read row by row.
+    by adding counts, so the state is never read row by row. Sightings are first
+    counted with the labels among the keys: that is hashed, and combined before
+    the shuffle, while ``min_by`` of texts sorts its input.
     """
     keys = ["cv_id", "source", "source_path", "value"]
     labels = ["original_label", "normalized_label", "value_type"]
@@ -39,12 +41,13 @@ def upsert_attributes(sightings: DataFrame, prior: DataFrame | None = None) -> D
     )
     if prior is not None:
         rows = rows.unionByName(prior.select(*rows.columns))
-    return rows.groupBy(*keys).agg(
-        *[F.min_by(c, "first_seen_at").alias(c) for c in labels],
+    counts = [
         F.sum("occurrence_count").alias("occurrence_count"),
         F.min("first_seen_at").alias("first_seen_at"),
         F.max("last_seen_at").alias("last_seen_at"),
-    )
+    ]
+    labelled = rows.groupBy(*keys, *labels).agg(*counts)
+    return labelled.groupBy(*keys).agg(*[F.min_by(c, "first_seen_at").alias(c) for c in labels], *counts)
 
 
 def unmapped_frequency(attributes: DataFrame) -> DataFrame:

@@ -405,15 +405,15 @@ def _payloads(spark, sf):
     )
 
 
-def _sightings(spark, sf):
-    return unmapped.attribute_rows(_payloads(spark, sf), "payload", source=F.col("src"))
+def _sightings(payloads):
+    return unmapped.attribute_rows(payloads, "payload", source=F.col("src"))
 
 
 @query("unmapped_leaves", "X1 X3 X4 X5 M27 P5", LEAVES_SQL + """
 SELECT cv_id, source, label AS original_label, lower(trim(label)) AS normalized_label, 'legacy' AS source_section, path AS source_path,
   value, value_type, seen_at FROM leaves""")
 def unmapped_leaves(spark, sf):
-    return _sightings(spark, sf)
+    return _sightings(_payloads(spark, sf))
 
 
 @query("unmapped_upsert", "A8", LEAVES_SQL + """
@@ -421,16 +421,16 @@ SELECT cv_id, source, path AS source_path, value, any_value(label) AS original_l
   any_value(value_type) AS value_type, count(*) AS occurrence_count, min(seen_at) AS first_seen_at, max(seen_at) AS last_seen_at
 FROM leaves GROUP BY cv_id, source, path, value""")
 def unmapped_upsert(spark, sf):
-    # half of the batch is folded into the state that the other half left behind
-    rows = _sightings(spark, sf)
+    # half of the batch is folded into the state that the other half left behind; a payload is taken apart in its half only
+    payloads = _payloads(spark, sf)
     early = F.col("seen_at") < F.lit("1998-01-01").cast("timestamp_ntz")
-    return unmapped.upsert_attributes(rows.where(~early), unmapped.upsert_attributes(rows.where(early)))
+    return unmapped.upsert_attributes(_sightings(payloads.where(~early)), unmapped.upsert_attributes(_sightings(payloads.where(early))))
 
 
 @query("unmapped_frequency", "A7", LEAVES_SQL + """
 SELECT lower(trim(label)) AS normalized_label, count(*) AS occurrences FROM leaves GROUP BY 1""")
 def unmapped_frequency(spark, sf):
-    return unmapped.unmapped_frequency(unmapped.upsert_attributes(_sightings(spark, sf)))
+    return unmapped.unmapped_frequency(unmapped.upsert_attributes(_sightings(_payloads(spark, sf))))
 
 
 @query("unmapped_unknown_keys", "U4", """

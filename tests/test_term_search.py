@@ -95,3 +95,21 @@ def test_similar_documents_search_equal_keywords_once(spark, monkeypatch):
         hits = sorted((-len(set(text.split()) & set(t.split())), d) for d, t in enumerate(texts) if d != q and set(text.split()) & set(t.split()))[:2]
         want += [(q, d, round(n / hits[0][0], 6), i + 1) for i, (n, d) in enumerate(hits)]
     assert got == sorted(want) and sizes == [(4, 12)]
+
+
+def test_only_asked_keywords_reach_python(spark, monkeypatch):
+    """All keywords of a document went to Python, so a batch grew with the words of its documents."""
+    sent, plain = [], type(spark.range(1)).mapInArrow
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, *a, **b: (sent.append(self), plain(self, *a, **b))[1])
+    docs = [(i, [f"k{i * 1000 + j}" for j in range(1000 + i)] + ["a", "a", None, f"b{i}"]) for i in range(6)] + [(6, []), (7, None), (None, ["a"])]
+    queries = [(i, ["a", f"b{i}", "k3007"]) for i in range(3)] + [(5, []), (6, ["none"])]
+    asked = spark.createDataFrame(queries, "query_id long, keywords array<string>")
+    held = spark.createDataFrame(docs, "doc_id long, keywords array<string>").coalesce(2)
+    got = [tuple(x) for x in ts.best_by_keywords(asked, held, scoring="jaccard", k=9).collect()]
+    want = []
+    for q, words in queries:
+        found = [(-round(n / (len(words) + len(k) - n), 6), i is None, i) for i, k in docs if k and (n := len(set(words) & set(k)))]
+        want += [(q, i, -s, rank + 1) for rank, (s, _, i) in enumerate(sorted(found))]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    row = sent[-1].selectExpr("max(length(to_json(struct(*)))) AS n").first()
+    assert row.n < 3000

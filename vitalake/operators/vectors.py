@@ -167,7 +167,8 @@ def best_by_vectors(
                         if matrix.shape[1] in of_length:
                             who, asked = of_length[matrix.shape[1]]
                             scores[np.ix_(who, cols)] = asked @ unit(matrix).T
-                    scores = np.round(scores, 6) + 0.0
+                    np.round(scores, 6, out=scores)
+                    scores += 0.0
                     if of_query is None:
                         for q in range(n):
                             best.offer(q, scores[q], ids, tie)

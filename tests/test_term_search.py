@@ -113,3 +113,27 @@ def test_only_asked_keywords_reach_python(spark, monkeypatch):
     assert sorted(got, key=repr) == sorted(want, key=repr)
     row = sent[-1].selectExpr("max(length(to_json(struct(*)))) AS n").first()
     assert row.n < 3000
+
+
+def test_blocks_are_searched_one_after_another(spark, monkeypatch):
+    """All blocks of queries were one plan: the driver held the plans, marks and broadcasts of all of them."""
+    frame = type(spark.range(1))
+    plain, before, sent, destroyed = frame.mapInArrow, ts.Broadcast.destroy, [], []
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, *a, **b: (sent.append(len(destroyed)), plain(self, *a, **b))[1])
+    monkeypatch.setattr(ts.Broadcast, "destroy", lambda self, *a: (destroyed.append(self), before(self, *a))[1])
+    rng = random.Random(5)
+    words = [f"word{i}" for i in range(12)]
+    docs = [(i, rng.sample(words, rng.randint(0, 9))) for i in rng.sample(range(200), 150)] + [(None, words), (None, words[:2]), (7, None), (8, [None, "word1"])]
+    queries = [(i, rng.sample(words, rng.randint(1, 5))) for i in range(40)]
+    asked = spark.createDataFrame(queries, "query_id long, keywords array<string>")
+    held = spark.createDataFrame(docs, "doc_id long, keywords array<string>").repartition(3)
+    for scoring in ("count", "jaccard"):
+        sent.clear(), destroyed.clear()
+        found = ts.best_by_keywords(asked, held, scoring=scoring, k=4, block_bytes=200)
+        assert len(sent) > 5 and sent == list(range(len(sent))) and "MapInArrow" not in found._jdf.queryExecution().toString()
+        want = []
+        for q, terms in queries:
+            hits = [(len(set(terms) & set(k or ())), len(terms), len(k or ()), i) for i, k in docs]
+            rows = sorted((-(n if scoring == "count" else round(n / (t + d - n), 6)), i is None, i or 0) for n, t, d, i in hits if n)[:4]
+            want += [(q, None if null else i, -s, rank + 1) for rank, (s, null, i) in enumerate(rows)]
+        assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)

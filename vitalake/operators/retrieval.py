@@ -419,7 +419,7 @@ def similar_documents(sources: DataFrame, docs: DataFrame, *, k: int = 5, mode:
     if own:
         order = W.partitionBy(F.array_join("keywords", " ")).orderBy(F.col("doc_id").asc_nulls_last())
         first = held.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1).drop("_n")
-        asked, held = stored(asked, "similar-asked"), stored(first, "similar-held")
+        asked, held = stored(asked, "similar-asked"), first
     sets = asked.select(F.col("_set").alias("query_id"), "keywords").distinct()
     found = best_by_keywords(sets, held, scoring="count", k=k + own).select(F.col("query_id").alias("_set"), "doc_id", "score")
     counts = asked.select("query_id", "_set").join(found, "_set").drop("_set")

@@ -153,3 +153,13 @@ def test_no_python_in_native_plans(spark, capsys):
         df.explain()
         plan = capsys.readouterr().out
         assert not any(w in plan for w in itertools.chain(("Python", "Pandas", "Arrow")))
+
+
+def test_mix_reads_the_texts_once(spark, tmp_path):
+    """Each use of the sizes scanned the documents and counted their words again: four scans in one plan."""
+    path = str(tmp_path / "documents")
+    spark.range(50).selectExpr("id AS doc_id", "repeat('word ', int(id % 7)) AS text", "concat('s', id % 3) AS source").write.parquet(path)
+    draws = mix.mix(spark.read.parquet(path))
+    plan = draws._jdf.queryExecution().executedPlan().toString()
+    assert path not in plan and "text" not in plan
+    assert draws.agg({"size": "sum"}).first()[0] == 2 * sum(i % 7 for i in range(50))

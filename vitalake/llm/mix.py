@@ -14,6 +14,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from vitalake.session import stored
+
 #: Words are runs of other characters than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SOURCE = ["_null", "_src"]
@@ -70,7 +72,8 @@ def mix(
     ``taken`` are the words of the document in this epoch, ``offset`` its place (in words) in the mix; rows that
     take nothing (offset null: empty, or after the cut) are kept, so each document has ``max_epochs`` rows. Nulls: a null text has size 0, null sources
     are one source, the last. Repeated rows count each. The order of a source is that of md5(id), so reruns agree;
-    rows with one id follow by size. An empty table gives no rows. Only ids, sources and sizes are shuffled.
+    rows with one id follow by size. An empty table gives no rows. Only ids, sources and sizes are shuffled; they
+    are written once to the shared folder, so that the texts are read and their words counted once.
     """
     sized = docs.select(
         F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("size"),
@@ -78,6 +81,7 @@ def mix(
         "_null": F.col("_source").isNull(), "_src": F.coalesce(F.col("_source"), F.lit("")),
         "_order": F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("")).cast("binary")),
     }).withColumn("_slice", (F.conv(F.substring("_order", 1, 6), 16, 10).cast("long") * slices / 16**6).cast("int"))
+    sized = stored(sized, "mix")
     shuffled = running_sum(sized, SOURCE, "_slice", ["_order", "_id", "size"], "size", "_before")
     known = shuffled.join(source_targets(sized, weights, budget_share, max_epochs), SOURCE)
     draws = known.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1)))).withColumn(

@@ -434,3 +434,10 @@ def test_words_do_not_cross_documents():
     starts, ends, hashes = vec.word_hashes(data, np.array([0, 5, 7, 7]))
     assert [data[a:b].tobytes() for a, b in zip(starts, ends, strict=True)] == [b"ab", b"cd", b"ef", b"g"]
     assert len(set(hashes.tolist())) == 4
+
+
+def test_spans_are_made_and_shuffled_once(spark):
+    """The smallest id per hash and the rows it was joined to each cut the texts into spans again."""
+    docs = spark.createDataFrame([(i, f"One two three four five six seven eight {i % 3}. Nine ten eleven twelve thirteen fourteen fifteen {i % 2}.") for i in range(9)], "doc_id long, text string")
+    plan = spans.remove_repeated_spans(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2  # the spans, and the texts without them

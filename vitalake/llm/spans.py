@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from vitalake.llm import vec
 
@@ -157,8 +157,8 @@ def remove_repeated_spans(
     ``n_removed`` counts the sentences that lose words. The first of equal runs is the one with the smallest id, then the earliest start. Words are compared exactly,
     white space is not. Rows of one id count as one document: they are no repeats of each other, and each loses
     the runs that an earlier document has. Null texts stay null, texts that lose nothing stay as they
-    are. Only ``(hash, id)`` of each run is shuffled, with the smallest id per hash combined before the shuffle,
-    so that a passage of many documents is no hot key; the removed hashes come back to their documents by id.
+    are. Only ``(hash, id)`` of each run is shuffled, once: a document sends a hash once, so a passage of
+    many documents adds one narrow row for each of them; the removed hashes come back to their documents by id.
     Columns named like the two added ones are replaced; others are kept, whatever their names. Rows with a null id
     lose nothing and take nothing from others.
     """
@@ -175,8 +175,7 @@ def remove_repeated_spans(
 
     slim = docs.where(F.col(id_col).isNotNull()).select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     spans = slim.mapInArrow(emit, f"_id {kind}, _h long")
-    repeated = spans.groupBy("_h").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where(F.col("_first") < F.col("_last")).drop("_last")
-    later = spans.join(repeated, "_h").where(F.col("_id") > F.col("_first"))
+    later = spans.withColumn("_first", F.min("_id").over(W.partitionBy("_h"))).where(F.col("_id") > F.col("_first"))
     own = "_span"  # names that no column of the documents has
     while any(c.lower().startswith(own) for c in columns):
         own += "_"
